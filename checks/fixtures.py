@@ -296,7 +296,7 @@ class Spark:
             "CASE WHEN event_type <> 'click' THEN concat('http://site', event_id % 9, '.example/', event_id) END AS url",
             "CASE WHEN event_type = 'view' THEN props END AS text", "cast(user_id AS STRING) AS by",
             "cast(floor(value) AS BIGINT) AS score",
-            "CASE WHEN event_id % 23 = 0 THEN 0 ELSE unix_seconds(ts) END AS time",
+            "CASE WHEN event_id % 23 = 0 THEN 0 ELSE timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts) END AS time",
             "CASE WHEN event_id % 13 <> 0 THEN user_id % 7 END AS descendants",
             "event_id % 17 = 0 AS deleted", "event_id % 19 = 0 AS dead",
         )
