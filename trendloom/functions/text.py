@@ -81,3 +81,8 @@ def present(text: Column) -> Column:
 def line(label: str, text: Column) -> Column:
     """``label`` followed by ``text`` when the text is present, else ``NULL``."""
     return F.when(present(text), F.concat(F.lit(label), text))
+
+
+def two_decimals(x: Column) -> Column:
+    """Two decimals, exact ties to even; ``NULL`` stays ``NULL``."""
+    return F.call_function("format_number", x, F.lit("0.00"))

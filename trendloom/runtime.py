@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -41,3 +42,25 @@ def require(condition: bool, message: str) -> None:
     """Plan-time parameter check."""
     if not condition:
         raise ValueError(message)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark a lookup table for broadcast only after its size was checked.
+
+    At most ``max_rows + 1`` rows are looked at; a larger table is left to an
+    ordinary shuffled join.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+
+    For rows that grow later (texts into tokens): with a given number, adaptive
+    execution does not merge the still small partitions into few tasks, and all
+    later grouping by these keys needs no further shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
