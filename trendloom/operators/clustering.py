@@ -77,7 +77,7 @@ def update_centroids(clusters: DataFrame, assigned: DataFrame, embeddings: DataF
 
 
 def drop_noise(labelled: DataFrame, label: str = "label") -> DataFrame:
-    return labelled.where(F.col(label) != -1)
+    return labelled.where(F.col(label).cast("string") != "-1")
 
 
 def cluster_centroids(rows: DataFrame, dim: int, keys: list[str] | None = None) -> DataFrame:

@@ -94,8 +94,10 @@ def scan_blocks(visits: DataFrame, corpus: DataFrame, kernel: Kernel, schema: T.
     sizes = n_q.join(n_c, ["grp", "lst"])
 
     def blocks(side: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+        # fresh column identities: both sides may come from one table
+        fresh = side.select(*[F.col(c).alias(c) for c in side.columns])
         return (
-            side.join(sizes, ["grp", "lst"])
+            fresh.join(sizes, ["grp", "lst"])
             .withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
             .drop("nq", "nc")
