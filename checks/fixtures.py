@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trendloom import schemas
 from trendloom.functions.scores import combine_scores
 from trendloom.operators import clustering, timeseries
-from trendloom.runtime import shared_dir
+from trendloom.runtime import cut_lineage, shared_dir
 from trendloom.sources import landed
 
 DIM = 64
@@ -199,6 +199,13 @@ class Spark:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table written once per query, as the engine's own tables are."""
+        if name not in self._stored:
+            self._stored[name] = cut_lineage(build(), name)
+        return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -221,9 +228,18 @@ class Spark:
         )
 
     def centroids(self) -> DataFrame:
-        return clustering.cluster_centroids(self.embeddings().withColumnRenamed("label", "cluster_id"), DIM)
+        return self.stored("centroids", self._centroids)
 
     def members(self) -> DataFrame:
+        return self.stored("members", self._members)
+
+    def clusters(self) -> DataFrame:
+        return self.stored("clusters", self._clusters)
+
+    def _centroids(self) -> DataFrame:
+        return clustering.cluster_centroids(self.embeddings().withColumnRenamed("label", "cluster_id"), DIM)
+
+    def _members(self) -> DataFrame:
         rows = self.embeddings().withColumnRenamed("label", "cluster_id")
         known = rows.join(self.documents().select(F.col("id").alias("document_id")), "document_id", "left_semi")
         return clustering.membership_strength(known, self.centroids()).select("cluster_id", "document_id", "membership_strength")
@@ -236,7 +252,7 @@ class Spark:
         )
         return scored.withColumn("combined_score", combine_scores(F.col("vader"), F.col("distilbert_score")))
 
-    def clusters(self) -> DataFrame:
+    def _clusters(self) -> DataFrame:
         mean = clustering.cluster_avg_sentiment(self.members(), self.sentiments())
         return self.centroids().join(mean, "cluster_id", "left").selectExpr(
             "cluster_id AS id", "cluster_id % 5 AS user_id", "centroid", "document_count", "avg_sentiment",

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.fixtures import AS_OF, DIM, STOP_WORDS
-from checks.q_series import FORECAST, A_VIEWS
+from checks.flagship import ranked_clusters
+from checks.q_series import A_VIEWS, FORECAST, K_VIEWS
 from checks.q_serving import PAIRS
 from checks.registry import day_text, query, r6, rounded
 from trendloom.functions.scores import combine_scores
@@ -133,6 +134,16 @@ P_VIEWS = {
 }
 
 
+R_VIEWS = {**{k: t.replace("d_series", "s_series") for k, t in K_VIEWS.items()}, **P_VIEWS}
+
+
+@query("k8_ranked_clusters", f"""
+    SELECT id, user_id, name, document_count, {r6('avg_sentiment')} AS avg_sentiment, {r6('coalesce(k.trending_score, 0)')} AS trending_score
+    FROM d_clusters c LEFT JOIN k_score k ON k.cluster_id = c.id""", **R_VIEWS)
+def _(v):
+    return rounded(ranked_clusters(v.spark, v.dir), "avg_sentiment", "trending_score")
+
+
 def _signals(v):
     members = cut_lineage(v.members(), "members")
     return signal_stage(_empty_store(v), _known_clusters(v), members, _settings())
