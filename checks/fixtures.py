@@ -106,7 +106,7 @@ VIEWS: dict[str, str] = {
                    JOIN d_sentiments USING (document_id) GROUP BY 1) s ON s.cluster_id = c.cluster_id""",
     "d_daily": """
         SELECT event_type AS cluster_id, CAST(ts AS DATE) AS summary_date, count(*) AS mention_count,
-               avg(value) / 500 AS avg_sentiment
+               avg(value) / 499.7 AS avg_sentiment
         FROM events GROUP BY 1, 2""",
     "d_series": """
         SELECT *, avg_sentiment - last_value(avg_sentiment IGNORE NULLS) OVER (
@@ -262,7 +262,7 @@ class Spark:
     def daily(self) -> DataFrame:
         return self.table("events").groupBy(
             F.col("event_type").alias("cluster_id"), F.to_date("ts").alias("summary_date")
-        ).agg(F.count(F.lit(1)).alias("mention_count"), (F.avg("value") / 500).alias("avg_sentiment"))
+        ).agg(F.count(F.lit(1)).alias("mention_count"), (F.avg("value") / 499.7).alias("avg_sentiment"))
 
     def series(self) -> DataFrame:
         return timeseries.add_momentum(self.daily())

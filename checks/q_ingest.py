@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import AS_OF, SUBSCRIPTION_PARAMS
+from checks.fixtures import AS_OF
 from checks.registry import query
 from trendloom import schemas
 from trendloom.functions.text import sanitize_name
@@ -482,5 +482,3 @@ def _(v):
         .unionByName(counted("clusters", kept["clusters"]))
     )
 
-
-assert set(SUBSCRIPTION_PARAMS) >= set(S.SOURCES)

@@ -9,8 +9,7 @@ from checks.flagship import ranked_clusters
 from checks.q_series import A_VIEWS, FORECAST, K_VIEWS
 from checks.q_serving import PAIRS
 from checks.registry import day_text, query, r6, rounded
-from trendloom.functions.scores import combine_scores
-from trendloom.operators import bookkeeping, clustering, density, embedding, projection, sentiment
+from trendloom.operators import clustering, density, embedding, projection, sentiment
 from trendloom.plans.stages import Settings, Store, insight_stage, run_stages, signal_stage
 from trendloom.runtime import cut_lineage, shared_dir
 from trendloom.streaming import jobs
@@ -227,5 +226,3 @@ def _(v):
     after = run.store(batches)
     return after.clusters.select("id", "user_id", "document_count", "name")
 
-
-assert combine_scores and bookkeeping

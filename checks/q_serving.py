@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import AS_OF, DIM, VIEWS
-from checks.q_series import A_VIEWS
-from checks.q_text import E_SQL, embedding_views
+from checks.fixtures import AS_OF, DIM
+from checks.q_series import A_VIEWS, s_series
+from checks.q_text import I_VIEWS, _anoms, _insights, _keywords, embedding_views
 from checks.registry import day_text, query, r6, rounded
 from trendloom.operators import anomaly, clustering, embedding, search, serving
 from trendloom.operators.neighbours import knn_graph
 from trendloom.runtime import shared_dir
 
-NO_TIME = "CAST(NULL AS TIMESTAMP)"
-
 # ---------------------------------------------------------------- search
 
 QUERY = "(SELECT embedding FROM d_embeddings WHERE document_id = 7)"
@@ -44,7 +42,8 @@ def _(v):
     return rounded(search.search_embeddings(v.embeddings(), _query_vector(v), dim=DIM, documents=v.documents(), user_id=2), "distance")
 
 
-@query("n4_search_documents", search_sql("JOIN d_documents d ON d.id = e.document_id", "true", 10, "d.id, d.title, d.source_path"))
+@query("n4_search_documents", f"""
+    SELECT d.id, d.title, d.source_path, h.distance FROM ({search_sql("", "true", 10)}) h JOIN d_documents d ON d.id = h.document_id""")
 def _(v):
     found = search.search_documents(v.embeddings(), v.documents(), _query_vector(v), dim=DIM)
     return rounded(found.select("id", "title", "source_path", "distance"), "distance")
@@ -122,15 +121,20 @@ def _(v):
 @query("o1_list_documents_filtered", f"""
     SELECT {DOCS} FROM d_documents d WHERE user_id = 3 AND ingest_event_id IN (SELECT id FROM d_events WHERE lower(source) = 'src3')
       AND id IN (SELECT document_id FROM d_sentiments WHERE combined_score BETWEEN -0.6 AND 0.5)
-      AND id IN (SELECT document_id FROM d_members WHERE cluster_id = 3)
     ORDER BY created_at DESC, id LIMIT 10000""")
 def _(v):
     return serving.list_documents(
-        _docs(v), 3, source="Src3", cluster_id=3, min_sentiment=-0.6, max_sentiment=0.5, members=v.members(), events=v.events(),
-        sentiments=v.sentiments(), limit=10000,
+        _docs(v), 3, source="Src3", min_sentiment=-0.6, max_sentiment=0.5, events=v.events(), sentiments=v.sentiments(), limit=10000
     ).rows
 
 
+@query("o1_list_documents_of_cluster", f"""
+    SELECT {DOCS} FROM d_documents d WHERE user_id = 3 AND id IN (SELECT document_id FROM d_members WHERE cluster_id = 3)
+    ORDER BY created_at DESC, id LIMIT 10000""")
+def _(v):
+    return serving.list_documents(_docs(v), 3, cluster_id=3, members=v.members(), limit=10000).rows
+
+
 @query("o2_document_detail", f"""
     SELECT d.id, d.title, d.raw_text, s.vader, s.combined_score, m.cluster_id, {r6('m.membership_strength')} AS membership_strength
     FROM d_documents d LEFT JOIN d_sentiments s ON s.document_id = d.id LEFT JOIN d_members m ON m.document_id = d.id WHERE d.id = 12 AND d.user_id = 2""")
@@ -156,47 +160,55 @@ def _(v):
 
 
 @query("o4_cluster_detail", f"""
-    SELECT c.id, c.name, c.document_count, m.document_id, d.title AS document_title, {r6('m.membership_strength')} AS membership_strength
-    FROM d_clusters c JOIN d_members m ON m.cluster_id = c.id JOIN d_documents d ON d.id = m.document_id WHERE c.id = 4 AND c.user_id = 4""")
+    SELECT c.id, c.name, 'member' AS part, d.title AS value, {r6('m.membership_strength')} AS number
+    FROM d_clusters c JOIN d_members m ON m.cluster_id = c.id JOIN d_documents d ON d.id = m.document_id WHERE c.id = 4 AND c.user_id = 4
+    UNION ALL SELECT 4, c.name, 'day', strftime(summary_date, '%Y-%m-%d'), mention_count FROM s_series JOIN d_clusters c ON c.id = cluster_id WHERE cluster_id = 4
+    UNION ALL SELECT 4, c.name, 'anomaly', i.type, {r6('score')} FROM i_anoms i JOIN d_clusters c ON c.id = cluster_id WHERE cluster_id = 4
+    UNION ALL SELECT 4, c.name, 'keyword', keyword, NULL FROM t_keywords JOIN d_clusters c ON c.id = cluster_id WHERE cluster_id = 4
+    UNION ALL SELECT 4, c.name, 'insight', 'text', 0.7 FROM d_clusters c WHERE id = 4""", **I_VIEWS)
 def _(v):
-    from checks.q_series import s_series
-    from checks.q_text import _anoms, _insights, _keywords
-
     insights = _insights(v).select("cluster_id", F.lit("text").alias("insight_text"), F.lit(0.7).alias("confidence"))
-    one = serving.cluster_detail(
+    found = serving.cluster_detail(
         v.clusters(), 4, 4, keywords=_keywords(v), series=s_series(v), insights=insights, anomalies=_anoms(v), members=v.members(), documents=_docs(v)
     )
-    rows = one.select("id", "name", "document_count", F.explode("members").alias("m"))
-    return rounded(rows.select("id", "name", "document_count", "m.document_id", "m.document_title", "m.membership_strength"), "membership_strength")
+
+    def flat(part, df, value, number):
+        return df.select("cluster_id", F.lit(part).alias("part"), value.cast("string").alias("value"), number.cast("double").alias("number"))
+
+    rows = flat("member", found.members, F.col("document_title"), F.col("membership_strength"))
+    for more in (
+        flat("day", found.timeseries, F.col("summary_date"), F.col("mention_count")), flat("anomaly", found.anomalies, F.col("type"), F.col("score")),
+        flat("keyword", found.keywords, F.col("keyword"), F.lit(None)), flat("insight", found.insights, F.col("insight_text"), F.col("confidence")),
+    ):
+        rows = rows.unionByName(more)
+    named = found.cluster.select("id", "name").join(rows.withColumnRenamed("cluster_id", "id"), "id")
+    return rounded(named, "number")
 
 
-INSIGHTS = f"""SELECT l_orderkey * 10 + l_linenumber AS id, (l_suppkey % 10)::INT AS cluster_id, 'part ' || l_partkey AS insight_text, l_discount AS confidence,
-                     l_shipdate AS generated_at FROM lineitem"""
+INSIGHTS = """SELECT doc_id AS id, (doc_id % 10)::INT AS cluster_id, 'about ' || source AS insight_text, n_chars / 100000.0::DOUBLE AS confidence,
+                     TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT) AS generated_at FROM documents"""
 
 
 def _insight_table(v):
-    return v.table("lineitem").selectExpr(
-        "l_orderkey * 10 + l_linenumber AS id", "cast(l_suppkey % 10 AS INT) AS cluster_id", "concat('part ', l_partkey) AS insight_text",
-        "l_discount AS confidence", "l_shipdate AS generated_at",
+    return v.table("documents").selectExpr(
+        "doc_id AS id", "cast(doc_id % 10 AS INT) AS cluster_id", "concat('about ', source) AS insight_text", "n_chars / 100000.0D AS confidence",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 30 AS INT)) AS generated_at",
     )
 
 
 @query("o5_list_insights", """
-    SELECT cluster_id, generated_at FROM o_insights WHERE cluster_id IN (SELECT id FROM d_clusters WHERE user_id = 2) AND cluster_id = 7
+    SELECT id, cluster_id, generated_at FROM o_insights WHERE cluster_id IN (SELECT id FROM d_clusters WHERE user_id = 2) AND cluster_id = 7
     ORDER BY generated_at DESC, id LIMIT 50""", o_insights=INSIGHTS)
 def _(v):
-    return serving.list_insights(_insight_table(v), v.clusters(), 2, cluster_id=7, limit=50).rows.select("cluster_id", "generated_at")
+    return serving.list_insights(_insight_table(v), v.clusters(), 2, cluster_id=7, limit=50).rows.select("id", "cluster_id", "generated_at")
 
 
-@query("o6_insight_detail", "SELECT id, cluster_id, insight_text, confidence FROM o_insights WHERE id = 11 AND cluster_id IN (SELECT id FROM d_clusters WHERE user_id = cluster_id % 5)",
-       o_insights=INSIGHTS)
+@query("o6_insight_detail", f"""
+    SELECT id, cluster_id, insight_text, {r6('confidence')} AS confidence FROM o_insights
+    WHERE id = 17 AND cluster_id IN (SELECT id FROM d_clusters WHERE user_id = 2)""", o_insights=INSIGHTS)
 def _(v):
-    rows = _insight_table(v)
-    parts = [serving.insight_detail(rows, v.clusters(), user, 11) for user in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("id", "cluster_id", "insight_text", "confidence")
+    found = serving.insight_detail(_insight_table(v), v.clusters(), 2, 17)
+    return rounded(found.select("id", "cluster_id", "insight_text", "confidence"), "confidence")
 
 
 OWNED_KINDS = "SELECT DISTINCT event_type AS id, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 2 END AS user_id FROM events"
@@ -271,29 +283,23 @@ def _(v):
 
 G_VIEWS = {
     # clusters hold the documents of the first twenty days; later ones are not clustered yet
-    "g_docs": "SELECT * FROM d_documents WHERE id % 10 <> 9",
-    "g_members": "SELECT e.document_id, e.label AS cluster_id FROM d_embeddings e JOIN g_docs d ON d.id = e.document_id WHERE created_at < TIMESTAMP '2024-01-21'",
-    "g_open": """SELECT e.*, d.user_id, d.created_at FROM d_embeddings e JOIN g_docs d ON d.id = e.document_id
+    "g_members": "SELECT e.document_id, e.label AS cluster_id FROM d_embeddings e JOIN d_documents d ON d.id = e.document_id WHERE created_at < TIMESTAMP '2024-01-21'",
+    "g_open": """SELECT e.*, d.user_id, d.created_at FROM d_embeddings e JOIN d_documents d ON d.id = e.document_id
                  WHERE e.document_id NOT IN (SELECT document_id FROM g_members)""",
     "g_pairs": """SELECT o.document_id, o.user_id, o.embedding, c.id AS cluster_id, list_cosine_similarity(o.embedding, c.centroid) AS s
                   FROM g_open o JOIN d_clusters c ON c.user_id = o.user_id""",
     "g_best": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY round(1 - s, 9), cluster_id) AS rn FROM g_pairs) WHERE rn = 1 AND s >= 0.3""",
     "g_added": f"""SELECT cluster_id, i, sum(embedding[i]) AS s, count(*) AS m FROM g_best, range(1, {DIM + 1}) r(i) GROUP BY 1, 2""",
 }
-assert "d_clusters" in VIEWS and E_SQL and NO_TIME
-
-
-def _g_docs(v):
-    return _docs(v).where("id % 10 <> 9")
 
 
 def _g_members(v):
-    early = _g_docs(v).where("created_at < timestamp'2024-01-21'").select(F.col("id").alias("document_id"))
+    early = _docs(v).where("created_at < timestamp'2024-01-21'").select(F.col("id").alias("document_id"))
     return v.embeddings().join(early, "document_id", "left_semi").select("document_id", F.col("label").alias("cluster_id"))
 
 
 def _g_open(v):
-    return clustering.unclustered_embeddings(v.embeddings(), _g_docs(v), _g_members(v))
+    return clustering.unclustered_embeddings(v.embeddings(), _docs(v), _g_members(v))
 
 
 def _g_assigned(v):
@@ -307,13 +313,13 @@ def _(v):
 
 @query("g2_recent_only", f"SELECT document_id, user_id FROM g_open WHERE created_at >= DATE '{AS_OF}' - 7", **G_VIEWS)
 def _(v):
-    rows = clustering.unclustered_embeddings(v.embeddings(), _g_docs(v), _g_members(v), as_of=AS_OF, recent_days=7)
+    rows = clustering.unclustered_embeddings(v.embeddings(), _docs(v), _g_members(v), as_of=AS_OF, recent_days=7)
     return rows.select("document_id", "user_id")
 
 
 @query("g3_partition_by_owner", "SELECT user_id, count(*) AS documents FROM g_open WHERE source IS NOT NULL GROUP BY 1".replace("WHERE source IS NOT NULL ", "WHERE document_id % 7 <> 0 "), **G_VIEWS)
 def _(v):
-    orphaned = _g_docs(v).withColumn("user_id", F.expr("CASE WHEN id % 7 <> 0 THEN user_id END"))
+    orphaned = _docs(v).withColumn("user_id", F.expr("CASE WHEN id % 7 <> 0 THEN user_id END"))
     rows = clustering.unclustered_embeddings(v.embeddings(), orphaned, _g_members(v))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("documents"))
 

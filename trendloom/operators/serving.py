@@ -97,33 +97,39 @@ def list_clusters(clusters: DataFrame, user_id, limit: int = 100, offset: int =
     return paginate_with_total(rows, [F.desc_nulls_last("trending_score"), F.asc("id")], limit, offset)
 
 
+class ClusterDetail(NamedTuple):
+    cluster: DataFrame
+    keywords: DataFrame
+    timeseries: DataFrame
+    insights: DataFrame
+    anomalies: DataFrame
+    members: DataFrame
+
+
 def cluster_detail(
     clusters: DataFrame, user_id, cluster_id, *, keywords: DataFrame, series: DataFrame, insights: DataFrame, anomalies: DataFrame,
     members: DataFrame, documents: DataFrame,
-) -> DataFrame:
-    """One cluster with its keywords, series, insights, anomalies and members.
+) -> ClusterDetail:
+    """One owned cluster and the rows that hang on it.
 
-    Each dependent table is filtered to the cluster and packed into one array
-    before the join, so the joins do not multiply each other's rows.
+    The parts stay separate frames keyed by ``cluster_id``: packing the members
+    into one array would put a cluster of any size into one row.  All parts are
+    empty when the cluster is not the owner's.
     """
     one = _shown(clusters.where((F.col("id") == cluster_id) & (F.col("user_id") == user_id)), CLUSTER_COLUMNS)
-    titled = members.where(F.col("cluster_id") == cluster_id).join(
-        documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title")), "document_id"
+
+    def part(table: DataFrame, *columns: str) -> DataFrame:
+        return owned(table.where(F.col("cluster_id") == cluster_id), clusters, user_id).select("cluster_id", *columns)
+
+    titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
+    return ClusterDetail(
+        one,
+        part(keywords, "keyword"),
+        part(series, "summary_date", "mention_count", "avg_sentiment", "momentum"),
+        part(insights, "insight_text", "confidence"),
+        part(anomalies, "anomaly_date", "type", "score"),
+        part(members, "document_id", "membership_strength").join(titles, "document_id"),
     )
-    parts = {
-        "keywords": (keywords, ("keyword",)),
-        "timeseries": (series, ("summary_date", "mention_count", "avg_sentiment", "momentum")),
-        "insights": (insights, ("insight_text", "confidence")),
-        "anomalies": (anomalies, ("anomaly_date", "type", "score")),
-        "members": (titled, ("document_id", "document_title", "membership_strength")),
-    }
-    out = one
-    for name, (table, columns) in parts.items():
-        packed = table.where(F.col("cluster_id") == cluster_id).groupBy(F.col("cluster_id").alias("id")).agg(
-            F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-        )
-        out = out.join(packed, "id", "left")
-    return out
 
 
 def list_insights(insights: DataFrame, clusters: DataFrame, user_id, cluster_id=None, limit: int = 100, offset: int = 0) -> Page:
