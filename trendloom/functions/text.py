@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trendloom.functions.arrays import let
+
 # Characters replaced in file names.
 UNSAFE_NAME_CHARS = r'[<>:"/\\|?*]'
 # Fixed value: one token is a run of letters, digits and underscores.
@@ -63,9 +65,13 @@ def ngrams(text: Column, stop_words: list[str], max_ngram: int = 2) -> Column:
         words = F.filter(words, lambda t: ~t.isin(*stop_words))
     if max_ngram == 1:
         return words
-    shifted = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.concat(words, F.zip_with(heads, shifted, lambda a, b: F.concat_ws(" ", a, b)))
+
+    def with_pairs(w: Column) -> Column:
+        pairs = F.greatest(F.size(w) - 1, F.lit(0))
+        heads, tails = F.slice(w, F.lit(1), pairs), F.slice(w, F.lit(2), pairs)
+        return F.concat(w, F.zip_with(heads, tails, lambda a, b: F.concat_ws(" ", a, b)))
+
+    return let(words, with_pairs)
 
 
 def joined(separator: str, *parts: Column) -> Column:

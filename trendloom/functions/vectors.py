@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.functions.arrays import let
+
 
 def as_double(v: Column) -> Column:
     return v.cast("array<double>")
@@ -34,8 +36,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector scaled to length one; ``NULL`` for the zero vector."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(as_double(a), lambda x: x / length))
+
+    def scaled(v: Column, length: Column) -> Column:
+        return F.when(length > 0, F.transform(v, lambda x: x / length))
+
+    return let(as_double(a), lambda v: let(norm(v), lambda length: scaled(v, length)))
 
 
 def sum_by(df: DataFrame, keys: list[str], vec: str, dim: int, out: str, *others: Column) -> DataFrame:
