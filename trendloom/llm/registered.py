@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, sharding
+from trendloom.llm import exact_dedup, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op4_mixing")
+def _(spark, sf_dir):
+    return mixing.mix_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), (1, 2, 3), max_repeats=3, block_words=32)
+
+
 @query("op6_exact_dedup", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
            sha256(coalesce(text, '')) AS text_sha256
