@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import exact_dedup, mixing, sharding
+from trendloom.llm import decontamination, exact_dedup, mixing, preferences, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op2_decontamination")
+def _(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.contaminated_documents(documents(spark, sf_dir).select("doc_id", "text"), benchmark)
+    return leaks.select("doc_id", "item_id", "item_tokens", "matched_tokens", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 @query("op4_mixing")
 def _(spark, sf_dir):
     return mixing.mix_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), (1, 2, 3), max_repeats=3, block_words=32)
@@ -47,3 +54,50 @@ def _(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     placed = sharding.shard_records(rows, "doc_id", [1.0] * 8, grown_weights=[1.0] * 9, order=("text_crc32", "size"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def _spans_sql(turns: str) -> str:
+    size = "length(t.role) + length(t.text) + 13"
+    at = f"coalesce(list_sum(list_transform({turns}[:i - 1], lambda t: {size})), 0)::BIGINT + length({turns}[i].role) + 5"
+    return f"""array_to_string(list_transform(list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant'),
+        lambda i: concat({at}, '+', length({turns}[i].text) + 8)), ' ')"""
+
+
+def _rendered_sql(turns: str) -> str:
+    return f"coalesce(array_to_string(list_transform({turns}, lambda t: concat('<|', t.role, '|>', chr(10), t.text, '<|end|>', chr(10))), ''), '')"
+
+
+@query("op9_preferences", f"""
+    WITH grouped AS (
+        SELECT conv_id, list({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS turns
+        FROM conversations GROUP BY conv_id),
+    marked AS (SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last_reply FROM grouped),
+    pairs AS (
+        SELECT conv_id, CASE WHEN last_reply IS NULL THEN turns ELSE turns[:last_reply] END AS c,
+               CASE WHEN last_reply IS NULL THEN turns ELSE list_concat(turns[:last_reply - 1], [{{'role': 'assistant', 'text': CASE WHEN last_reply > 1 THEN turns[last_reply - 1].text ELSE '' END}}]) END AS r
+        FROM marked),
+    common AS (
+        SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] <> r[i])) - 1, least(len(c), len(r))) AS k FROM pairs),
+    cut AS (SELECT conv_id, k, c[:k] AS p, c[k + 1:] AS c, r[k + 1:] AS r FROM common)
+    SELECT conv_id, k::INTEGER AS prompt_turns, {_rendered_sql('p')} AS prompt, {_rendered_sql('c')} AS chosen, {_rendered_sql('r')} AS rejected,
+           {_spans_sql('c')} AS chosen_spans, {_spans_sql('r')} AS rejected_spans
+    FROM cut""")
+def _(spark, sf_dir):
+    turns = preferences.collect_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    pairs = preferences.format_preferences(preferences.echo_pairs(turns))
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), " ")
+    return pairs.select("conv_id", "prompt_turns", "prompt", "chosen", "rejected", text("chosen_spans").alias("chosen_spans"), text("rejected_spans").alias("rejected_spans"))
+
+
+def toxicity_model(spark, docs, labels):
+    """Learns from the labelled rows outside the held-out fold."""
+    train = labels.where(toxicity.hash_fold(F.col("doc_id")) != 2).select("doc_id", "toxic").join(docs.select("doc_id", "text"), "doc_id")
+    return toxicity.train(train)
+
+
+@query("op10_toxicity")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity_model(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_toxicity(docs, model).select("doc_id", (toxicity.hash_fold(F.col("doc_id")) == 2).alias("held_out"), "score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

@@ -14,6 +14,8 @@ PIECE = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Letters, digits and everything beyond ASCII; what else stands between words is a break.
+IS_BREAK = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -56,11 +58,11 @@ def slices(table: pa.Table | pa.RecordBatch, text: str, size: int = 4 * PIECE) -
         row = end
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of all words; ``at`` holds the offsets of the texts."""
+def word_spans(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of all words, runs of bytes not in ``breaks``; ``at`` holds the offsets of the texts."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~IS_SPACE[data]
+    word = ~breaks[data]
     first = np.ones(len(data) + 1, dtype=bool)  # a text begins here
     first[:-1] = False
     first[at] = True
