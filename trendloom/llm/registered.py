@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, mixing, preferences, sharding, toxicity
+from trendloom.llm import decontamination, exact_dedup, mixing, preferences, secret_scan, sharding, toxicity
+from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Folder of the public tokenizers' vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
 
 def query(name: str, oracle: str | None = None):
@@ -48,6 +52,16 @@ def _(spark, sf_dir):
     return exact_dedup.mark_exact_duplicates(docs, "doc_id", "text").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_secret_scan")
+def _(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
+    words = secret_scan.load_dictionary(f"{TOKENIZERS}/word_bpe_49k.json")
+    findings = cut_lineage(secret_scan.find_candidates(docs, words), "findings")
+    forest = secret_scan.train_forest(secret_scan.rule_labels(findings))
+    found = secret_scan.filter_findings(findings, forest)
+    return found.select("doc_id", "start", F.length("candidate").alias("length"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 @query("op8_sharding")
 def _(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
