@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, jaccard_join, mixing, preferences, secret_scan, sharding, toxicity
+from trendloom.llm import decontamination, exact_dedup, jaccard_join, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
 from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_suffix_dedup", """
+    WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    bytes AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM texts),
+    strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM bytes WHERE 2 * i + 100 <= length(h)),
+    least AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
+    hits AS (SELECT doc_id, i, i AS hit FROM strings JOIN least USING (s) WHERE doc_id > d),
+    marked AS (
+        SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x,
+               coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) >= i - 49, false) AS gone
+        FROM bytes LEFT JOIN hits USING (doc_id, i)),
+    runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked),
+    kept AS (
+        SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), '') AS x
+        FROM runs GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(x, ''))) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)""")
+def _(spark, sf_dir):
+    return substring_dedup.repeated_bytes(documents(spark, sf_dir).select("doc_id", "text"), match=50)
+
+
 @query("op2_decontamination")
 def _(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
