@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, jaccard_join, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
+from trendloom.llm import decontamination, exact_dedup, jaccard_join, lm_score, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
 from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,12 +34,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op1_suffix_dedup", """
     WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-    bytes AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM texts),
-    strings AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM bytes WHERE 2 * i + 100 <= length(h)),
+    pieces AS (SELECT doc_id, c, substr(h, 2000 * c + 1, 2098) AS p FROM texts, unnest(range(0, (length(h) + 1999) // 2000)) AS u(c)),
+    bytes AS (SELECT doc_id, 1000 * c + j AS i, substr(p, 2 * j + 1, 100) AS s FROM pieces, unnest(range(0, least(1000, length(p) // 2))) AS v(j)),
+    strings AS (SELECT doc_id, i, s FROM bytes WHERE length(s) = 100),
     least AS (SELECT s, min(doc_id) AS d FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)),
     hits AS (SELECT doc_id, i, i AS hit FROM strings JOIN least USING (s) WHERE doc_id > d),
     marked AS (
-        SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x,
+        SELECT doc_id, i, substr(s, 1, 2) AS x,
                coalesce(max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) >= i - 49, false) AS gone
         FROM bytes LEFT JOIN hits USING (doc_id, i)),
     runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM marked),
@@ -58,6 +60,13 @@ def _(spark, sf_dir):
     return leaks.select("doc_id", "item_id", "item_tokens", "matched_tokens", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+@query("op3_lm_score")
+def _(spark, sf_dir):
+    ranks = Path(TOKENIZERS, "byte_bpe_50k.tiktoken").read_bytes()
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return lm_score.score_texts(documents(spark, sf_dir).select("doc_id", "text"), ranks, held_out)
+
+
 @query("op4_mixing")
 def _(spark, sf_dir):
     return mixing.mix_documents(documents(spark, sf_dir).select("doc_id", "text", "source"), (1, 2, 3), max_repeats=3, block_words=32)
