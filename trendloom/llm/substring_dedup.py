@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.packing import open_ascending, open_pressed, press, press_ascending, split_keys, table_of
 from trendloom.llm.run_index import RunIndex
-from trendloom.llm.textbytes import column_bytes, mix, span_hashes
+from trendloom.llm.textbytes import column_bytes, span_hashes
 from trendloom.runtime import require
 
 SEED = 24
@@ -81,34 +82,30 @@ def seed_runs(data: np.ndarray, at: np.ndarray, lo: int, hi: int, match: int) ->
     return first + lo, last + lo, place + lo, h[place]
 
 
-def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, offsets, ids) of the rows that have an id."""
-    table = table.filter(table.column("id").is_valid()) if table.column("id").null_count else table
-    data, at = column_bytes(table.column("data"))
-    return data, at, table.column("id").to_numpy().astype(np.int64)
-
-
-def _pack(**columns: np.ndarray) -> list[bytes]:
-    return [c.tobytes() for c in columns.values()]
-
-
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+class Texts:
+    """The rows of a block that have an id; of equal texts only the one with the least id is worked on.
 
+    ``data``, ``at`` and ``ids`` hold those; ``row_ids`` and ``text_of`` name the id
+    of every row and the text that stands for it.
+    """
 
-def _split(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places) of the keys dealt to each part, in place order."""
-    part = (mix(keys) % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        yield int(p), order[edges[p] : edges[p + 1]]
+    def __init__(self, table: pa.Table) -> None:
+        table = table.filter(table.column("id").is_valid()) if table.column("id").null_count else table
+        data, at = column_bytes(table.column("data"))
+        self.row_ids = table.column("id").to_numpy().astype(np.int64)
+        known: dict[bytes, int] = {}
+        self.text_of = np.array([known.setdefault(data[s:e].tobytes(), len(known)) for s, e in zip(at[:-1], at[1:], strict=True)], dtype=np.int64)
+        raw = list(known)
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        self.at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        self.ids = np.full(len(raw), np.iinfo(np.int64).max)
+        np.minimum.at(self.ids, self.text_of, self.row_ids)
 
 
 SEEDS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 SHARED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("hot", pa.binary())])
-CONTEXTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("route", "context", "seed", "place", "size", "doc", "flags", "text"))])
-VERDICTS = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("context", "seed", "flags", "least", "mask"))])
+CONTEXTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((c, pa.binary()) for c in ("seed", "place", "size", "doc", "flags", "text"))])
+VERDICTS = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("context", "least", "mask", "hot"))])
 RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 HOT, SEVERAL = 1, 2
 
@@ -123,33 +120,34 @@ def _tell_seeds(match: int, parts: int):
 
     def run(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
-        data, at, _ = _texts(table)
+        texts = Texts(table)
+        data, at = texts.data, texts.at
         keys, docs = [], []
         for lo, hi in _slices(at, match):
             first, _, _, key = seed_runs(data, at, lo, hi, match)
             keys.append(key)
             docs.append((np.searchsorted(at, first, side="right") - 1).astype(np.int32))
         if not keys:
-            return SEEDS.empty_table()
+            return SEEDS.emptytable_of()
         key, doc = np.concatenate(keys), np.concatenate(docs)
         order = np.argsort(key)
         key, doc = key[order], doc[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         if not len(head):
-            return SEEDS.empty_table()
+            return SEEDS.emptytable_of()
         n = np.diff(np.append(head, len(key)))
         one = np.minimum.reduceat(doc, head) == np.maximum.reduceat(doc, head)
         n = np.minimum(n, 127)
         counts = np.where(one, -n, n).astype(np.int8)
-        return _table(SEEDS, [(p, block, *_pack(k=key[head][w], c=counts[w])) for p, w in _split(key[head], parts)])
+        return table_of(SEEDS, [(p, block, press_ascending(key[head][w]), press(counts[w])) for p, w in split_keys(key[head], parts)])
 
     return run
 
 
 def _share_seeds(table: pa.Table) -> pa.Table:
     """Tells each block which of its seeds lie in several documents, and which of them are hot."""
-    keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("keys")]
-    counts = np.concatenate([np.frombuffer(c.as_py(), np.int8) for c in table.column("counts")]).astype(np.int64)
+    keys = open_ascending(table.column("keys"))
+    counts = np.concatenate(open_pressed(table.column("counts"), np.int8)).astype(np.int64)
     row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     key = np.concatenate(keys)
     order = np.argsort(key)
@@ -164,7 +162,7 @@ def _share_seeds(table: pa.Table) -> pa.Table:
     order = np.argsort(row, kind="stable")
     edges = np.searchsorted(row[order], np.arange(len(keys) + 1))
     blocks = table.column("block").to_pylist()
-    return _table(SHARED, [(blocks[i], *_pack(k=key[w], h=hot[w])) for i in range(len(keys)) if len(w := order[edges[i] : edges[i + 1]])])
+    return table_of(SHARED, [(blocks[i], press_ascending(key[w]), press(hot[w])) for i in range(len(keys)) if len(w := order[edges[i] : edges[i + 1]])])
 
 
 def _lookup(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,12 +184,13 @@ def _strings(first: np.ndarray, last: np.ndarray, place: np.ndarray, key: np.nda
 def _tell_contexts(match: int, parts: int):
     """A block's distinct contexts of shared seeds, each with the least id that has it."""
 
-    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        if not texts.num_rows or not shared.num_rows:
-            return CONTEXTS.empty_table()
-        block = texts.column("block")[0].as_py()
+    def run(table: pa.Table, shared: pa.Table) -> pa.Table:
+        if not table.num_rows or not shared.num_rows:
+            return CONTEXTS.emptytable_of()
+        block = table.column("block")[0].as_py()
         known, hot = _shared_seeds(shared)
-        data, at, ids = _texts(texts)
+        texts = Texts(table)
+        data, at, ids = texts.data, texts.at, texts.ids
         found: list[tuple[np.ndarray, ...]] = []
         for lo, hi in _slices(at, match):
             first, last, place, key = seed_runs(data, at, lo, hi, match)
@@ -200,7 +199,7 @@ def _tell_contexts(match: int, parts: int):
             if len(start):
                 found.append((start, end, place - start, key, is_hot, span_hashes(data, start, end), ids[np.searchsorted(at, start, side="right") - 1]))
         if not found:
-            return CONTEXTS.empty_table()
+            return CONTEXTS.emptytable_of()
         start, end, place, key, is_hot, context, doc = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((doc, context))
         head = np.flatnonzero(np.concatenate([[True], context[order][1:] != context[order][:-1]]))
@@ -210,18 +209,18 @@ def _tell_contexts(match: int, parts: int):
         route = np.where(is_hot, context, key)
         flags = (is_hot * HOT + several * SEVERAL).astype(np.uint8)
         rows = []
-        for p, w in _split(route, parts):
+        for p, w in split_keys(route, parts):
             size = end[w] - start[w]
             text = data[np.repeat(start[w], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
-            rows.append((p, block, *_pack(r=route[w], c=context[w], s=key[w], p=place[w].astype(np.uint8), z=size.astype(np.uint8), d=doc[w], f=flags[w], t=text)))
-        return _table(CONTEXTS, rows)
+            rows.append((p, block, *map(press, (key[w], place[w].astype(np.uint8), size.astype(np.uint8), doc[w], flags[w], text))))
+        return table_of(CONTEXTS, rows)
 
     return run
 
 
 def _shared_seeds(shared: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(k.as_py(), np.uint64) for k in shared.column("keys")])
-    hot = np.concatenate([np.frombuffer(h.as_py(), bool) for h in shared.column("hot")])
+    keys = np.concatenate(open_ascending(shared.column("keys")))
+    hot = np.concatenate(open_pressed(shared.column("hot"), bool))
     order = np.argsort(keys)
     return keys[order], hot[order]
 
@@ -280,12 +279,14 @@ def _judge_contexts(match: int):
     """Contexts of one part to, per block, the least id of each and the strings an earlier document holds."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"route": np.uint64, "context": np.uint64, "seed": np.uint64, "place": np.uint8, "size": np.uint8, "doc": np.int64, "flags": np.uint8, "text": np.uint8}
-        raw = {c: [np.frombuffer(v.as_py(), t) for v in table.column(c)] for c, t in kinds.items()}
-        row = np.repeat(np.arange(table.num_rows), [len(x) for x in raw["route"]])
-        route, context, seed, place, size, doc, flags, text = (np.concatenate(raw[c]) for c in kinds)
+        kinds = {"seed": np.uint64, "place": np.uint8, "size": np.uint8, "doc": np.int64, "flags": np.uint8, "text": np.uint8}
+        raw = {c: open_pressed(table.column(c), t) for c, t in kinds.items()}
+        row = np.repeat(np.arange(table.num_rows), [len(x) for x in raw["seed"]])
+        seed, place, size, doc, flags, text = (np.concatenate(raw[c]) for c in kinds)
         place, size = place.astype(np.int64), size.astype(np.int64)
         start = np.cumsum(size) - size
+        context = span_hashes(text, start, start + size)
+        route = np.where(flags & HOT > 0, context, seed)
         padded = np.concatenate([text, np.zeros(8, np.uint8)])
         words = np.ndarray((len(text) + 1,), dtype="<u8", buffer=padded, strides=(1,))
         inside = [words[start + place + k] for k in (0, 8, 16)]
@@ -331,8 +332,9 @@ def _judge_contexts(match: int):
         for i in range(table.num_rows):
             w = by_row[edges[i] : edges[i + 1]]
             if len(w):
-                rows.append((blocks[i], *_pack(c=context[w], s=seed[w], f=flags[w], l=least[entry[w]], m=mask[entry[w]].astype(np.uint32))))
-        return _table(VERDICTS, rows)
+                hot = np.unique(seed[w][flags[w] & HOT > 0])
+                rows.append((blocks[i], *map(press, (context[w], least[entry[w]], mask[entry[w]].astype(np.uint32), hot))))
+        return table_of(VERDICTS, rows)
 
     return run
 
@@ -341,17 +343,14 @@ def removed_bytes(data: np.ndarray, at: np.ndarray, ids: np.ndarray, verdicts: p
     """Which bytes of a block go."""
     gone = np.zeros(len(data) + 1, dtype=np.int32)
     if verdicts.num_rows:
-        kinds = {"context": np.uint64, "seed": np.uint64, "flags": np.uint8, "least": np.int64, "mask": np.uint32}
-        context, seed, flags, least, mask = (np.concatenate([np.frombuffer(v.as_py(), t) for v in verdicts.column(c)]) for c, t in kinds.items())
+        kinds = {"context": np.uint64, "least": np.int64, "mask": np.uint32, "hot": np.uint64}
+        context, least, mask, hot = (np.concatenate(open_pressed(verdicts.column(c), t)) for c, t in kinds.items())
         order = np.argsort(context)
         context, least, mask = context[order], least[order], mask[order].astype(np.uint64)
-        seeds, where = np.unique(seed, return_inverse=True)
-        hot = np.zeros(len(seeds), bool)
-        hot[where[flags & HOT > 0]] = True
+        hot = np.unique(hot)
         for lo, hi in _slices(at, match):
             first, last, place, key = seed_runs(data, at, lo, hi, match)
-            has, found = _lookup(seeds, key)
-            start, end, *_ = _strings(first[has], last[has], place[has], key[has], hot[found[has]], match)
+            start, end, *_ = _strings(first, last, place, key, _lookup(hot, key)[0], match)
             has, found = _lookup(context, span_hashes(data, start, end))
             start, end, found = start[has], end[has], found[has]
             later = ids[np.searchsorted(at, start, side="right") - 1] > least[found]
@@ -365,42 +364,52 @@ def removed_bytes(data: np.ndarray, at: np.ndarray, ids: np.ndarray, verdicts: p
     return np.cumsum(gone[:-1]) > 0
 
 
+def _kept_parts(table: pa.Table, verdicts: pa.Table, match: int) -> Iterator[tuple[int | None, int, int, int, bytes]]:
+    """(id, bytes, removed bytes, removed runs, what is kept) of each row of a block."""
+    texts = Texts(table)
+    gone = removed_bytes(texts.data, texts.at, texts.ids, verdicts, match)
+    own = []
+    for s, e in zip(texts.at[:-1], texts.at[1:], strict=True):
+        out, text = gone[s:e], texts.data[s:e]
+        spans = int(out[0]) + int((out[1:] & ~out[:-1]).sum()) if e > s else 0
+        own.append((int(e - s), int(out.sum()), spans, text[~out].tobytes() if spans else text.tobytes()))
+    for row_id, text in zip(texts.row_ids.tolist(), texts.text_of.tolist(), strict=True):
+        size = own[text][0]
+        copied = row_id > texts.ids[text] and size >= match
+        yield (row_id, size, size, 1, b"") if copied else (row_id, *own[text])
+    for raw in table.filter(table.column("id").is_null()).column("data").to_pylist():
+        yield None, len(raw), 0, 0, raw
+
+
 def _remove(match: int):
-    def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
-        data, at, ids = _texts(texts)
-        gone = removed_bytes(data, at, ids, verdicts, match)
-        rows = []
-        for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            out, text = gone[s:e], data[s:e]
-            spans = int(out[0]) + int((out[1:] & ~out[:-1]).sum()) if e > s else 0
-            rows.append((int(ids[i]), int(e - s), int(out.sum()), spans, hashlib.sha256(text[~out].tobytes() if spans else text.tobytes()).hexdigest()))
-        without = texts.filter(texts.column("id").is_null())
-        for raw in without.column("data").to_pylist():
-            rows.append((None, len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-        return _table(RESULT, rows)
+    def run(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+        return table_of(RESULT, [(*row[:4], hashlib.sha256(row[4]).hexdigest()) for row in _kept_parts(table, verdicts, match)])
 
     return run
 
 
 def _kept(match: int):
-    def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
-        with_id = texts.filter(texts.column("id").is_valid())
-        data, at, ids = _texts(texts)
-        gone = removed_bytes(data, at, ids, verdicts, match)
-        rows = [(int(ids[i]), data[s:e][~gone[s:e]].tobytes()) for i, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True))]
-        rows += [(None, raw) for raw in texts.filter(texts.column("id").is_null()).column("data").to_pylist()]
-        assert len(rows) == texts.num_rows and len(with_id) == len(ids)
-        return _table(pa.schema([("id", pa.int64()), ("kept", pa.binary())]), rows)
+    def run(table: pa.Table, verdicts: pa.Table) -> pa.Table:
+        return table_of(pa.schema([("id", pa.int64()), ("kept", pa.binary())]), [(row[0], row[4]) for row in _kept_parts(table, verdicts, match)])
 
     return run
 
 
+def _block(texts: DataFrame, blocks: int) -> Column:
+    """Equal texts share a block, unless they are too many for one: those are dealt by id."""
+    limit = max(64, texts.count() // (4 * blocks))
+    name = F.xxhash64("data")
+    many = [r["name"] for r in texts.select(name.alias("name")).groupBy("name").count().where(F.col("count") > limit).select("name").collect()]  # at most 4 * blocks
+    key = F.when(name.isin(many), F.xxhash64("id")).otherwise(name) if many else name
+    return F.pmod(key, F.lit(blocks)).cast("int")
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, match: int) -> tuple[DataFrame, DataFrame]:
     """(texts with their block, verdicts)."""
     require(SEED + 8 <= match <= SEED + 31, f"match must be from {SEED + 8} to {SEED + 31} bytes")
     n = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    texts = texts.withColumn("block", _block(texts, n))
     seeds = texts.groupBy("block").applyInArrow(_tell_seeds(match, n), _ddl(SEEDS))
     shared = seeds.groupBy("part").applyInArrow(_share_seeds, _ddl(SHARED))
     contexts = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_tell_contexts(match, n), _ddl(CONTEXTS))
@@ -419,10 +428,12 @@ def repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Null texts are empty; texts shorter than ``match`` lose nothing.  Rows that
     share an id lose nothing to each other.  A row without id is given back
     unchanged and takes nothing from others.  An empty table gives an empty
-    result.  The text is shuffled once; blocks exchange seeds, distinct
-    contexts of shared seeds, and verdicts.  A context that a third of all
-    documents have goes out once per block; a seed with more than
-    ``HOT_CONTEXTS`` occurrences is split by whole strings.
+    result.  The text is shuffled once; equal texts share a block and are
+    worked on once (a text with more copies than a quarter of a block's share
+    of rows is dealt by id instead); blocks exchange seeds, distinct contexts
+    of shared seeds, and verdicts.  A context that a third of all documents
+    have goes out once per block; a seed with more than ``HOT_CONTEXTS``
+    occurrences is split by whole strings.
     """
     texts, verdicts = _judged(docs, id_col, text_col, match)
     out = texts.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(_remove(match), _ddl(RESULT))
