@@ -306,7 +306,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = groups.join(sizes, "component").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "id", F.col("component").alias("grp"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
-    sets = known.join(tasks, "id").mapInArrow(_sets_pass(shingle), "grp long, i int, j int, side int, id long, tokens binary")
+    # One plan at every size: the texts of candidates are met by sorting, never by sending ids everywhere.
+    sets = known.join(tasks.hint("merge"), "id").mapInArrow(_sets_pass(shingle), "grp long, i int, j int, side int, id long, tokens binary")
     links = sets.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(percent), "a long, b long")
     equal = facts.where(F.col("kind") == EQUAL).select("a", "b")
     components = connected_components(links.unionByName(equal)).withColumnRenamed("id", "__member")
