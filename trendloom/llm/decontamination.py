@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
@@ -39,9 +40,9 @@ def greedy_tiles(text: Sequence[int], pattern: Sequence[int], min_match: int = M
     a table by their Karp-Rabin value and the text's unmarked windows are
     looked up there; hits are compared and extended over unmarked tokens, and
     a run twice the search length restarts the search at its own length.  Runs
-    are marked in order of length, then text and pattern position, as long as
-    no earlier tile covers a part; what a tile has cut off is found again at
-    its shorter length.  Negative tokens match nothing.
+    are marked in order of length, then text and pattern position; what earlier
+    tiles leave of a run goes back into the queue at its shorter length.
+    Negative tokens match nothing.
     """
     a, b = np.asarray(text, dtype=np.int64), np.asarray(pattern, dtype=np.int64)
     free_a, free_b = a >= 0, b >= 0
@@ -77,17 +78,20 @@ def greedy_tiles(text: Sequence[int], pattern: Sequence[int], min_match: int = M
         if longest >= 2 * length:
             length = longest
             continue
-        cut = False
-        for minus, x, y in sorted(found):
+        queue = sorted(found)
+        while queue:
+            minus, x, y = heapq.heappop(queue)
             n = -minus
-            if free_a[x : x + n].all() and free_b[y : y + n].all():
+            free = free_a[x : x + n] & free_b[y : y + n]
+            if free.all():
                 free_a[x : x + n] = False
                 free_b[y : y + n] = False
                 tiles.append((x, y, n))
-            else:
-                cut = True
-        if cut:
-            continue
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], free, [0]])))
+            for s, e in zip(edges[::2], edges[1::2], strict=True):
+                if e - s >= length:
+                    heapq.heappush(queue, (int(s - e), x + int(s), y + int(s)))
         if length == min_match:
             return tiles
         length = max(min_match, length // 2)
