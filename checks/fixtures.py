@@ -80,7 +80,8 @@ VIEWS: dict[str, str] = {
     "d_documents": """
         SELECT doc_id AS id, doc_id % 5 AS user_id, doc_id % 20 AS ingest_event_id, source,
                'doc://' || source || '/' || doc_id AS source_path, substring(text, 1, 80) AS title, text AS raw_text,
-               TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT) AS created_at
+               TIMESTAMP '2024-01-01' + to_days((doc_id % 30)::INT) AS created_at, TIMESTAMP '2024-03-01' AS updated_at,
+               doc_id % 3 = 0 AS processed, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-02-01' END AS processed_at
         FROM documents""",
     "d_embeddings": "SELECT vec_id AS document_id, 'default' AS model_name, embedding::DOUBLE[] AS embedding, label FROM embeddings",
     "d_vec_sums": f"""
@@ -99,7 +100,8 @@ VIEWS: dict[str, str] = {
                      CASE toxic WHEN 1 THEN -0.8::DOUBLE END AS b FROM labels)""",
     "d_clusters": """
         SELECT c.cluster_id AS id, c.cluster_id % 5 AS user_id, c.centroid, n.document_count, s.avg_sentiment,
-               CASE WHEN c.cluster_id % 3 = 0 THEN NULL ELSE 'cluster ' || c.cluster_id END AS name
+               CASE WHEN c.cluster_id % 3 = 0 THEN NULL ELSE 'cluster ' || c.cluster_id END AS name,
+               TIMESTAMP '2024-01-05' AS created_at, TIMESTAMP '2024-01-06' AS updated_at
         FROM d_centroids c
         JOIN (SELECT label, count(*) AS document_count FROM d_embeddings GROUP BY 1) n ON n.label = c.cluster_id
         LEFT JOIN (SELECT m.cluster_id, avg(combined_score) AS avg_sentiment FROM d_members m
@@ -219,7 +221,8 @@ class Spark:
         return self.table("documents").selectExpr(
             "doc_id AS id", "doc_id % 5 AS user_id", "doc_id % 20 AS ingest_event_id", "source",
             "concat('doc://', source, '/', doc_id) AS source_path", "substring(text, 1, 80) AS title", "text AS raw_text",
-            "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 30 AS INT)) AS created_at",
+            "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 30 AS INT)) AS created_at", "timestamp'2024-03-01' AS updated_at",
+            "doc_id % 3 = 0 AS processed", "CASE WHEN doc_id % 3 = 0 THEN timestamp'2024-02-01' END AS processed_at",
         )
 
     def embeddings(self) -> DataFrame:
@@ -234,7 +237,8 @@ class Spark:
         return self.stored("members", self._members)
 
     def clusters(self) -> DataFrame:
-        return self.stored("clusters", self._clusters)
+        stored = self.stored("clusters", self._clusters)
+        return stored.withColumn("created_at", F.expr("timestamp'2024-01-05'")).withColumn("updated_at", F.expr("timestamp'2024-01-06'"))
 
     def _centroids(self) -> DataFrame:
         return clustering.cluster_centroids(self.embeddings().withColumnRenamed("label", "cluster_id"), DIM)

@@ -378,7 +378,7 @@ A14 = """
     SELECT 'release', 0, count(*), sum(length(doc_text))::BIGINT FROM n_release WHERE error IS NULL
     UNION ALL
     SELECT 'commit', 0, count(*), sum(length(doc_text))::BIGINT FROM (
-        SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pos) AS rn FROM n_commit WHERE error IS NULL) WHERE rn = 1"""
+        SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY doc_url, pos) AS rn FROM n_commit WHERE error IS NULL) WHERE rn = 1"""
 
 
 @query("a14_ingest_batch", f"SELECT user_id, sum(documents)::BIGINT AS documents, sum(characters)::BIGINT AS characters FROM ({A14}) GROUP BY 1", **D_VIEWS)

@@ -68,7 +68,7 @@ def _(v):
 
 @query("m1_project_2d")
 def _(v):
-    return rounded(projection.project_2d(_owned_vectors(v), group="user_id", epochs=10), "x", "y", digits=4)
+    return rounded(projection.project_2d(_owned_vectors(v), group="user_id"), "x", "y", digits=4)
 
 
 @query("m1_project_2d_pca")
@@ -114,7 +114,7 @@ def _empty_store(v, **tables):
 
 @query("p1_run_stages_trending")
 def _(v):
-    out = run_stages(_empty_store(v), _settings(), with_map=False)
+    out = run_stages(_empty_store(v), _settings())
     return out["clusters"].select("id", "user_id", "name", "document_count", "avg_sentiment", "trending_score")
 
 

@@ -106,7 +106,7 @@ def _(v):
 
 # ---------------------------------------------------------------- serving
 
-DOCS = "id, user_id, ingest_event_id, source_path, title, created_at"
+DOCS = "id, user_id, ingest_event_id, source_path, title, processed, processed_at, created_at, updated_at"
 
 
 def _docs(v):
@@ -128,6 +128,11 @@ def _(v):
     ).rows
 
 
+@query("o1_list_documents_processed", f"SELECT {DOCS} FROM d_documents WHERE user_id = 3 AND processed AND ingest_event_id = 8 ORDER BY created_at DESC, id LIMIT 10000")
+def _(v):
+    return serving.list_documents(_docs(v), 3, processed=True, ingest_event_id=8, limit=10000).rows
+
+
 @query("o1_list_documents_of_cluster", f"""
     SELECT {DOCS} FROM d_documents d WHERE user_id = 3 AND id IN (SELECT document_id FROM d_members WHERE cluster_id = 3)
     ORDER BY created_at DESC, id LIMIT 10000""")
@@ -153,7 +158,7 @@ def _clusters(v):
 
 
 @query("o3_list_clusters", f"""
-    SELECT id, user_id, name, document_count, {r6('avg_sentiment')} AS avg_sentiment, trending_score FROM o_clusters WHERE user_id = 1
+    SELECT id, user_id, name, document_count, {r6('avg_sentiment')} AS avg_sentiment, trending_score, created_at, updated_at FROM o_clusters WHERE user_id = 1
     ORDER BY trending_score DESC NULLS LAST, id LIMIT 100""", o_clusters=SCORED)
 def _(v):
     return rounded(serving.list_clusters(_clusters(v), 1).rows, "avg_sentiment")
@@ -169,7 +174,7 @@ def _(v):
 def _(v):
     insights = _insights(v).select("cluster_id", F.lit("text").alias("insight_text"), F.lit(0.7).alias("confidence"))
     found = serving.cluster_detail(
-        v.clusters(), 4, 4, keywords=_keywords(v), series=s_series(v), insights=insights, anomalies=_anoms(v), members=v.members(), documents=_docs(v)
+        _clusters(v), 4, 4, keywords=_keywords(v), series=s_series(v), insights=insights, anomalies=_anoms(v), members=v.members(), documents=_docs(v)
     )
 
     def flat(part, df, value, number):

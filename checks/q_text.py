@@ -329,7 +329,7 @@ def _made(v):
     return insight.insight_rows(insight.extractive_text(_context(v)), F.expr(f"timestamp'{AS_OF} 00:00:00'"), "extractive", "plain")
 
 
-@query("l12_insight_rows", "SELECT cluster_id, insight_text, confidence, llm_metadata FROM i_rows", **I_VIEWS)
+@query("l12_insight_rows", f"SELECT md5(concat_ws('|', cluster_id, '{AS_OF}T00:00:00.000000', 'plain')) AS id, cluster_id, insight_text, confidence, llm_metadata FROM i_rows", **I_VIEWS)
 def _(v):
     return _made(v).drop("generated_at")
 

@@ -31,7 +31,8 @@ def test_no_python_and_no_nested_loops_in_expression_operators(v):
 
 
 def test_filters_and_columns_reach_the_scan(v):
-    docs = v.table("documents").selectExpr("doc_id AS id", "source AS user_id", "text AS raw_text", "lang AS created_at")
+    docs = v.table("documents").selectExpr("doc_id AS id", "source AS user_id", "text AS raw_text", "lang AS created_at",
+                                              *[f"lang AS {c}" for c in serving.DOCUMENT_COLUMNS if c not in ("id", "user_id", "created_at")])
     text = plan(serving.list_documents(docs, "src1", limit=5).rows)
     assert "EqualTo(source,src1)" in text and "TakeOrderedAndProject" in text
     assert "text:string" not in text.split("ReadSchema")[1].splitlines()[0]
@@ -52,3 +53,71 @@ def test_per_group_limits_run_before_the_shuffle(v):
 def test_vector_sums_do_not_explode_rows(v):
     text = plan(V.sum_by(v.embeddings(), ["label"], "embedding", 64, "s"))
     assert "Generate" not in text and text.count("HashAggregate") >= 2
+
+
+def _feed_rows(spark, rows):
+    return spark.createDataFrame(
+        [(1, 7, feed, pos, f"id{pos}", f"title {feed} {pos}", link, "", "", "", "", []) for feed, pos, link in rows],
+        "user_id long, event_id long, feed_url string, pos long, id string, title string, link string, summary string, content string, published string, author string, tags array<string>")
+
+
+def _stored(spark, rows=()):
+    return spark.createDataFrame(list(rows), "user_id long, source_path string")
+
+
+def test_first_of_equal_links_is_kept_in_number_order(spark):
+    from pyspark.sql import functions as F
+
+    from trendloom.plans.ingest import ingest
+
+    feed = _feed_rows(spark, [("f", 10, "same"), ("f", 9, "same"), ("g", 1, "same"), ("g", 2, "own")])
+    made = ingest({"feed": feed}, _stored(spark), F.current_timestamp())
+    assert sorted(r["title"] for r in made.documents.collect()) == ["title f 9", "title g 2"]
+    stats = made.stats.first()
+    assert (stats["total_fetched"], stats["new_documents"], stats["duplicates"], stats["errors"]) == (4, 2, 2, 0)
+
+
+def test_statistics_follow_the_flag(spark):
+    from pyspark.sql import functions as F
+
+    from trendloom.plans.ingest import ingest
+
+    feed = _feed_rows(spark, [("f", 1, "same"), ("f", 2, "same"), ("f", 3, "other"), ("f", 4, "known")])
+    made = ingest({"feed": feed}, _stored(spark, [(1, "known")]), F.current_timestamp(), within_batch=False)
+    assert made.documents.count() == 3
+    stats = made.stats.first()
+    assert (stats["new_documents"], stats["duplicates"]) == (3, 1)
+
+
+def test_long_links_are_known_again(spark):
+    from pyspark.sql import functions as F
+
+    from trendloom.plans.ingest import ingest
+
+    links = ["http://h/" + "x" * 1100, "http://h/" + "x" * 1100 + "y"]
+    feed = _feed_rows(spark, [("f", i, link) for i, link in enumerate(links)])
+    first = ingest({"feed": feed}, _stored(spark), F.current_timestamp()).documents.select("user_id", "source_path")
+    assert sorted(r["source_path"] for r in first.collect()) == links
+    assert ingest({"feed": feed}, first, F.current_timestamp()).documents.count() == 0
+
+
+def test_insights_of_the_engine_can_be_listed(spark):
+    from pyspark.sql import functions as F
+
+    from trendloom.operators import insight, serving
+
+    made = spark.createDataFrame([("c1", "text one", 4), ("c2", "text two", 5)], "cluster_id string, content string, eval_count int")
+    rows = insight.insight_rows(made, F.expr("timestamp'2024-01-31'"), "extractive", "plain")
+    clusters = spark.createDataFrame([("c1", 1), ("c2", 2)], "id string, user_id long")
+    page = serving.list_insights(rows, clusters, 1).rows.collect()
+    assert [r["cluster_id"] for r in page] == ["c1"]
+    assert serving.insight_detail(rows, clusters, 1, page[0]["id"]).count() == 1
+
+
+def test_lists_refuse_tables_without_their_columns(spark):
+    import pytest
+
+    from trendloom.operators import serving
+
+    with pytest.raises(ValueError, match="missing"):
+        serving.list_clusters(spark.createDataFrame([(1, 1)], "id long, user_id long"), 1)

@@ -37,17 +37,19 @@ def new_items(items: DataFrame, store: DataFrame, within_batch: bool = True, key
     return dedupe_against_store(once, store, key)
 
 
-def ingest_stats(normalized: DataFrame, store: DataFrame, key: str = "dedupe_key", order: str = "pos") -> DataFrame:
+def ingest_stats(normalized: DataFrame, store: DataFrame, key: str = "dedupe_key", order: str = "pos", within_batch: bool = True) -> DataFrame:
     """Fetched, new, duplicate and failed items per event.
 
     Works on keys alone: rows collapse to one per (owner, key, event) before
-    anything is joined.  A key seen in several events is new in the first.
+    anything is joined.  A key seen in several events is new in the first;
+    without ``within_batch`` every item whose key is not stored is new.
     """
     good = normalized.where("error IS NULL")
-    keys = good.where(present(F.col(key))).groupBy("user_id", key, "event_id").agg(F.min(order).alias("_at"))
-    rank = F.row_number().over(Window.partitionBy("user_id", key).orderBy("_at", "event_id"))
-    firsts = keys.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    fresh = dedupe_against_store(firsts, store, key).groupBy("event_id").agg(F.count(F.lit(1)).alias("_keyed"))
+    keys = good.where(present(F.col(key))).groupBy("user_id", key, "event_id").agg(F.min(order).alias("_at"), F.count(F.lit(1)).alias("_items"))
+    if within_batch:
+        rank = F.row_number().over(Window.partitionBy("user_id", key).orderBy("_at", "event_id"))
+        keys = keys.withColumn("_rank", rank).where("_rank = 1").drop("_rank").withColumn("_items", F.lit(1))
+    fresh = dedupe_against_store(keys, store, key).groupBy("event_id").agg(F.sum("_items").alias("_keyed"))
     totals = normalized.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("total_fetched"),
         F.count_if(F.col("error").isNotNull()).alias("errors"),

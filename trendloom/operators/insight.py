@@ -170,12 +170,14 @@ def generate_text(prompts: DataFrame, load: Callable[[], Generator], key: str =
 
 
 def insight_rows(generated: DataFrame, generated_at: Column, model: str, template_name: str) -> DataFrame:
-    """Insight table rows out of generated texts."""
+    """Insight table rows out of generated texts; the id depends on cluster, time and template alone."""
     duration = F.col("duration_ms") if "duration_ms" in generated.columns else F.lit(None).cast("bigint")
     meta = F.struct(
         F.lit(model).alias("model"), duration.alias("duration_ms"), F.col("eval_count").alias("eval_count"), F.lit(template_name).alias("template")
     )
+    made = F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return generated.select(
+        F.md5(F.concat_ws("|", F.col("cluster_id").cast("string"), made, F.lit(template_name))).alias("id"),
         "cluster_id", X.strip(F.col("content")).alias("insight_text"), confidence(F.col("eval_count")).alias("confidence"),
         generated_at.alias("generated_at"), F.to_json(meta, {"ignoreNullFields": "false"}).alias("llm_metadata"),
     )

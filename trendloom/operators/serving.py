@@ -34,7 +34,10 @@ def paginate_with_total(rows: DataFrame, order: list[Column], limit: int, offset
 
 
 def _shown(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    return df.select(*[c for c in columns if c in df.columns])
+    """The public columns; a table without one of them is refused."""
+    missing = [c for c in columns if c not in df.columns]
+    require(not missing, f"columns are missing: {missing}")
+    return df.select(*columns)
 
 
 def owned(rows: DataFrame, clusters: DataFrame, user_id) -> DataFrame:

@@ -75,8 +75,8 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("cluster_id", "anomaly_date", "type"),
     ),
     "insights": (
-        "cluster_id STRING, insight_text STRING, confidence DOUBLE, generated_at TIMESTAMP, llm_metadata STRING",
-        ("cluster_id",),
+        "id STRING, cluster_id STRING, insight_text STRING, confidence DOUBLE, generated_at TIMESTAMP, llm_metadata STRING",
+        ("id",),
     ),
     "umap_projections": ("document_id STRING, model_name STRING, x DOUBLE, y DOUBLE", ("document_id", "model_name")),
     "user_ingestion_preferences": (
