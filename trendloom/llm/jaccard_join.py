@@ -82,10 +82,9 @@ class Schemes:
         return self.cache[number]
 
     def of(self, size: int) -> list[Scheme]:
-        """The scheme of a set's own class, and the next one if a linked set may lie there."""
-        own = int(np.searchsorted(self.limits, size, side="right")) - 1
-        reach = size * 100 // self.percent
-        return [self.scheme(n) for n in ([own] if reach < self.limits[own + 1] else [own, own + 1])]
+        """The schemes of a set's own class and of all classes up to the largest set that may link."""
+        own, last = np.searchsorted(self.limits, [size, size * 100 // self.percent], side="right") - 1
+        return [self.scheme(n) for n in range(int(own), int(last) + 1)]
 
 
 def signatures(sets: list[np.ndarray], schemes: Schemes) -> tuple[np.ndarray, np.ndarray]:
