@@ -127,15 +127,17 @@ class Block:
 
     def stream(self, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(subword ids of all texts, each closed by ``end``; offsets of the texts)."""
-        per_word = self.lengths[self.index].astype(np.int64)
-        word_at = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
-        last_word = np.cumsum(self.words)
-        sums = np.concatenate([[0], np.cumsum(per_word)])
-        at = np.concatenate([[0], sums[last_word] + np.arange(1, len(self.words) + 1)])
-        out = np.full(int(at[-1]), end, dtype=np.int64)
+        per_word = self.lengths[self.index]
+        word_at = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
+        sums = np.zeros(len(per_word) + 1, dtype=np.int32)
+        np.cumsum(per_word, out=sums[1:])
+        at = np.concatenate([[0], sums[np.cumsum(self.words)] + np.arange(1, len(self.words) + 1)])
+        place = np.repeat(word_at[self.index] - sums[:-1], per_word)
+        place += np.arange(len(place), dtype=np.int32)
+        out = np.full(int(at[-1]), end, dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[at[1:] - 1] = False
-        out[body] = self.tokens[np.repeat(word_at[self.index] - sums[:-1], per_word) + np.arange(sums[-1])]
+        out[body] = self.tokens[place]
         return out, at
 
 
@@ -350,8 +352,8 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
     begin = at[:-1][text] + number * (length - OVERLAP)
     slots = shares.slot[stream]
     end_slot = shares.slot[shares.end]
-    previous = np.concatenate([[end_slot], slots[:-1]])
-    second = np.concatenate([[end_slot], previous[:-1]])
+    previous = np.concatenate([slots[:1], slots[:-1]])
+    second = np.concatenate([slots[:1], previous[:-1]])
     previous[at[:-1]] = end_slot
     second[at[:-1]] = end_slot
     second[np.minimum(at[:-1] + 1, len(second) - 1)[size > 1]] = end_slot
@@ -397,18 +399,17 @@ def count_shares(blocks: DataFrame, end: int, frequent: int = FREQUENT, classes:
     wide = frequent + 1
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(wide * wide, dtype=np.int64)
+        count = np.zeros(wide * wide, dtype=np.int32)
         for batch in batches:
             for row in range(batch.num_rows):
                 b = Block.read(batch, row)
                 stream, at = b.stream(end)
-                s = slot[stream].astype(np.int64)
-                previous = np.concatenate([[slot[end]], s[:-1]])
-                train = np.repeat(b.train, np.diff(at))
-                np.add(count, np.bincount((previous * wide + s)[train], minlength=wide * wide), out=count)
+                s = slot[stream]
+                pair = np.concatenate([slot[[end]], s[:-1]]) * np.int32(wide) + s
+                count += np.bincount(pair[np.repeat(b.train, np.diff(at))], minlength=wide * wide).astype(np.int32)
         hit = np.flatnonzero(count)
         for i in range(0, len(hit), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 500_000]), pa.array(count[hit[i : i + 500_000]])], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 500_000]), pa.array(count[hit[i : i + 500_000]].astype(np.int64))], names=["pair", "n"])
 
     table = blocks.select("block", "train", "words", "index", "tokens", "lengths").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(wide * wide, dtype=np.float32)
