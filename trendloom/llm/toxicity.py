@@ -106,14 +106,13 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
     rows = len(labels)
     base = (labels.sum() + 0.5) / (rows + 1.0)
     intercept = float(np.log(base / (1 - base)))
-    every = np.concatenate([*texts, *swapped, np.zeros(0, np.uint64)])
-    if not len(every) or rows == 0:
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), intercept)
     lengths = np.array([len(t) for t in texts])
-    words, place = np.unique(np.concatenate(texts) if lengths.sum() else np.zeros(0, np.uint64), return_inverse=True)
-    number = np.repeat(np.arange(rows), lengths)
+    if not lengths.sum():
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), intercept)
+    words, place = np.unique(np.concatenate(texts), return_inverse=True)
     n = np.bincount(place, minlength=len(words))
-    toxic = np.bincount(place, weights=labels[number], minlength=len(words))
+    toxic = np.bincount(place, weights=np.repeat(labels, lengths), minlength=len(words))
+    del place
     expected = n * base
     strength = np.abs(toxic - expected) / np.sqrt(expected * (1 - base) + 1e-9)
     chosen = np.sort(np.argsort(np.where(n >= min_rows, -strength, np.inf), kind="stable")[: min(max_words, int((n >= min_rows).sum()))])
@@ -155,7 +154,7 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
 
 
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct word hashes of each labelled text and of its counterfactual."""
+    """Distinct word hashes of each labelled text, and of its counterfactual if that differs."""
     own, other = swap_table()
     for batch in batches:
         for part, data, at in slices(batch, "text"):
@@ -164,7 +163,8 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flipped = np.where(identity, other[place], value)
             edges = np.searchsorted(number, np.arange(len(at)))
             spans = list(zip(edges[:-1], edges[1:], strict=True))
-            columns = [pa.array([np.unique(v[s:e]).tobytes() for s, e in spans], pa.binary()) for v in (value, flipped)]
+            changed = [identity[s:e].any() for s, e in spans]
+            columns = [pa.array([np.unique(value[s:e]).tobytes() for s, e in spans], pa.binary()), pa.array([np.unique(flipped[s:e]).tobytes() if c else None for (s, e), c in zip(spans, changed, strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays([part.column("label"), *columns], names=["label", "words", "swapped"])
 
 
@@ -181,8 +181,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     first = known.select(order.alias("order")).distinct().orderBy("order").limit(max_rows).collect()
     sampled = known.where(order <= F.lit(first[-1]["order"])) if first else known
     rows = sampled.select(F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_features, "label int, words binary, swapped binary").collect()
-    words, swapped = ([np.frombuffer(r[c], dtype=np.uint64) for r in rows] for c in ("words", "swapped"))
-    return fit(words, swapped, np.array([r["label"] for r in rows], dtype=float), **options)
+    words = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
+    swapped = [w if r["swapped"] is None else np.frombuffer(r["swapped"], dtype=np.uint64) for w, r in zip(words, rows, strict=True)]
+    labels = np.array([r["label"] for r in rows], dtype=float)
+    del rows
+    return fit(words, swapped, labels, **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
