@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.components import connected_components
+from trendloom.llm.packing import open_ascending, open_pressed, press, press_ascending, split_keys, table_of
 from trendloom.llm.textbytes import LOWER, mix, slices, span_hashes, text_of, word_spans
 from trendloom.runtime import cut_lineage, require
 
 CLASS_RATIO = 1.3
 GROUP_DOCS = 32
 BLOCK_DOCS = 1024
-INFO, SIGNATURE, CANDIDATE, EQUAL = 0, 1, 2, 3
+SENT_IDS = 1_000_000
+INFO, SIGNATURE, CANDIDATE, EQUAL, TOKENS = 0, 1, 2, 3, 4
 _U = np.uint64
 
 
@@ -122,40 +124,104 @@ def _stars(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], doc[first], pairs[:, 0], pairs[:, 1]
 
 
-FIRST = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64())])
+MET = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("tokens", pa.binary())])
+FIRST = pa.schema([*MET, ("keys", pa.binary()), ("docs", pa.binary())])
+SLOTS = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("slots", pa.binary()), ("often", pa.binary())])
+COMMON = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("common", pa.binary())])
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], schema=FIRST)
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, schema: pa.Schema = FIRST) -> pa.Table:
+    known = [pa.array(np.full(len(a), kind, np.int8)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))]
+    return pa.table([*known, *(pa.nulls(len(a), f.type) for f in list(schema)[3:])], schema=schema)
 
 
-def _first_pass(shingle: int, percent: int):
-    """Texts to (id, set size), signatures, and what one batch already knows of equal and similar sets."""
+class Sets:
+    """The shingle sets of a block; equal sets stand together under their least id."""
+
+    def __init__(self, table: pa.Table, shingle: int) -> None:
+        self.ids, self.sizes, self.equal = [], [], []
+        least: dict[bytes, int] = {}
+        held: dict[bytes, np.ndarray] = {}
+        members: list[tuple[int, bytes]] = []
+        for part, sets in shingle_sets(table, "text", shingle):
+            for row_id, tokens in zip(part.column("id").to_pylist(), sets, strict=True):
+                self.ids.append(row_id)
+                self.sizes.append(len(tokens))
+                if len(tokens):
+                    name = hash_of(tokens)
+                    held.setdefault(name, tokens)
+                    least[name] = min(row_id, least.get(name, row_id))
+                    members.append((row_id, name))
+        self.equal = sorted({(i, least[n]) for i, n in members if i != least[n]})
+        self.own = [least[n] for n in held]
+        self.tokens = list(held.values())
+
+    def slots(self, bits: int) -> np.ndarray:
+        """The slot of every token, set after set."""
+        every = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
+        return mix(every + _U(7)) >> _U(64 - bits)
+
+
+def _part_edges(slots: np.ndarray, bits: int, part_bits: int) -> np.ndarray:
+    return np.searchsorted(slots, np.arange((1 << part_bits) + 1, dtype=np.uint64) << _U(bits - part_bits))
+
+
+def _tell_slots(shingle: int, bits: int, part_bits: int):
+    """A block's slots in order, and which of them it fills more than once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        slots, n = np.unique(Sets(table, shingle).slots(bits), return_counts=True)
+        edges = _part_edges(slots, bits, part_bits)
+        return table_of(SLOTS, [(p, block, press_ascending(slots[edges[p] : edges[p + 1]]), press(np.packbits(n[edges[p] : edges[p + 1]] > 1))) for p in np.flatnonzero(np.diff(edges)).tolist()])
+
+    return run
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schemes = Schemes(percent)
-        seen: dict[bytes, int] = {}
-        for batch in batches:
-            for part, sets in shingle_sets(batch, "text", shingle):
-                ids = part.column("id").to_numpy(zero_copy_only=False)
-                yield _rows(INFO, ids, np.array([len(s) for s in sets]))
-                if len(seen) > 20_000:
-                    seen.clear()
-                equal, mine, own = [], [], []
-                for i, tokens in enumerate(sets):
-                    if len(tokens):
-                        earlier = seen.setdefault(hash_of(tokens), int(ids[i]))
-                        if earlier == ids[i]:
-                            mine.append(tokens)
-                            own.append(int(ids[i]))
-                        else:
-                            equal.append((int(ids[i]), earlier))
-                if equal:
-                    yield _rows(EQUAL, *np.array(equal).T)
-                number, sign = signatures(mine, schemes)
-                key, doc, a, b = _stars(sign.view(np.int64), np.array(own, np.int64)[number])
-                yield _rows(CANDIDATE, a, b)
-                yield _rows(SIGNATURE, key, doc)
+
+def _tell_common(table: pa.Table) -> pa.Table:
+    """For each block, which of its slots are filled more than once by all blocks together."""
+    slots = open_ascending(table.column("slots"))
+    often = np.concatenate([np.unpackbits(o, count=len(s)) for o, s in zip(open_pressed(table.column("often"), np.uint8), slots, strict=True)])
+    _, place, n = np.unique(np.concatenate(slots), return_inverse=True, return_counts=True)
+    common = np.bincount(place, weights=often, minlength=len(n)) + n > 1
+    part = table.column("part")[0].as_py()
+    each = np.split(common[place], np.cumsum([len(x) for x in slots])[:-1])
+    return table_of(COMMON, [(b, part, press(np.packbits(c))) for b, c in zip(table.column("block").to_pylist(), each, strict=True)])
+
+
+def _first_pass(shingle: int, percent: int, bits: int, part_bits: int, parts: int):
+    """A block's texts to (id, set size), equal sets, and of the sets that may link at all their tokens and signatures.
+
+    A set links only if ``percent`` of its tokens are in another set too; slots
+    that several tokens share can only let more sets pass.
+    """
+    schemes = Schemes(percent)
+
+    def run(texts: pa.Table, told: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return FIRST.empty_table()
+        sets = Sets(texts, shingle)
+        every = sets.slots(bits)
+        slots = np.unique(every)
+        edges = _part_edges(slots, bits, part_bits)
+        common = np.zeros(len(slots), dtype=bool)
+        for p, c in zip(told.column("part").to_pylist(), open_pressed(told.column("common"), np.uint8), strict=True):
+            common[edges[p] : edges[p + 1]] = np.unpackbits(c, count=int(edges[p + 1] - edges[p]))
+        lengths = np.array([len(t) for t in sets.tokens], dtype=np.int64)
+        shared = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=common[np.searchsorted(slots, every)], minlength=len(lengths))
+        chosen = np.flatnonzero(100 * shared >= percent * lengths)
+        out = [_rows(INFO, np.array(sets.ids, np.int64), np.array(sets.sizes, np.int64))]
+        if sets.equal:
+            out.append(_rows(EQUAL, *np.array(sets.equal, np.int64).T))
+        if len(chosen):
+            own = np.array(sets.own, np.int64)[chosen]
+            out.append(table_of(FIRST, [(TOKENS, int(i), None, press_ascending(sets.tokens[c]), None, None) for i, c in zip(own, chosen, strict=True)]))
+            for i in range(0, len(chosen), 1000):
+                number, sign = signatures([sets.tokens[c] for c in chosen[i : i + 1000]], schemes)
+                key, doc, a, b = _stars(sign, own[i : i + 1000][number])
+                out.append(_rows(CANDIDATE, a, b))
+                out.append(table_of(FIRST, [(SIGNATURE, p, None, None, press_ascending(key[w]), press(doc[w])) for p, w in split_keys(key, parts)]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -174,12 +240,13 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.column(0).to_numpy()
         sign = kind == SIGNATURE
         if not sign.all():
-            yield batch.filter(pa.array(~sign))
-        keys.append(batch.column(1).to_numpy()[sign])
-        docs.append(batch.column(2).to_numpy()[sign])
+            yield batch.select(MET.names).filter(pa.array(~sign))
+        packed = pa.table(batch.filter(pa.array(sign)))
+        keys += open_ascending(packed.column("keys"))
+        docs += open_pressed(packed.column("docs"), np.int64)
     if keys:
         *_, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
-        yield _rows(CANDIDATE, a, b)
+        yield from _rows(CANDIDATE, a, b, MET).to_batches()
 
 
 class TokenGroups:
@@ -243,7 +310,7 @@ def _verify(percent: int):
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        sets = [np.frombuffer(r[5], dtype=np.uint64) for r in rows]
+        sets = open_ascending(pa.chunked_array([pa.array([r[5] for r in rows], pa.binary())]))
         i, j = rows[0][1:3]
         left, right = ([k for k, r in enumerate(rows) if r[3] == side] for side in (i, j))
         links = list(linked_pairs(sets, left, right, percent))
@@ -263,16 +330,6 @@ def _verify(percent: int):
     return run
 
 
-def _sets_pass(shingle: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, sets in shingle_sets(batch, "text", shingle):
-                columns = [part.column(c) for c in ("grp", "i", "j", "side", "id")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([s.tobytes() for s in sets], pa.binary())], names=["grp", "i", "j", "side", "id", "tokens"])
-
-    return run
-
-
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(``id_col``, n_shingles, component_id): each row's shingle set size and the least id its links lead to.
 
@@ -281,10 +338,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     if it is shorter).  Two documents link when 100 * intersection >= percent *
     union; no link between different sets is lost, whatever the group's size.
 
-    Documents whose sets may link agree in a part of their tokens (see
-    :class:`Scheme`); meeting there puts similar documents into groups.  Each
-    input batch merges its own equal sets and meetings first, so copies are
-    shuffled once per batch.  Groups above ``BLOCK_DOCS`` documents are cut
+    Blocks of documents first tell each other which tokens occur more than
+    once; only sets that share ``percent`` of their tokens go on.  Those whose
+    sets may link agree in a part of their tokens (see :class:`Scheme`);
+    meeting there puts similar documents into groups.  Each block merges its
+    own equal sets and meetings first, so copies go out once per block.  Groups above ``BLOCK_DOCS`` documents are cut
     into blocks and every pair of blocks is a task of its own.
 
     Null texts and texts without words have no shingles and link with nothing.
@@ -296,8 +354,15 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = texts.where("id IS NOT NULL")
-    dealt = known.mapInArrow(_first_pass(shingle, percent), "kind byte, a long, b long").repartition(n, "a")
-    facts = cut_lineage(dealt.mapInArrow(_meet, "kind byte, a long, b long"), "meetings")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    part_bits = (4 * n - 1).bit_length()
+    bits = max(part_bits, 16, int(size).bit_length())  # some slots for each token
+    blocks = known.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int"))
+    slots = blocks.groupBy("block").applyInArrow(_tell_slots(shingle, bits, part_bits), "part int, block int, slots binary, often binary")
+    common = slots.groupBy("part").applyInArrow(_tell_common, "block int, part int, common binary")
+    first = blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
+        _first_pass(shingle, percent, bits, part_bits, 4 * n), "kind byte, a long, b long, tokens binary, keys binary, docs binary")
+    facts = cut_lineage(first.repartition(n, "a").mapInArrow(_meet, "kind byte, a long, b long, tokens binary"), "meetings")
     candidates = facts.where(F.col("kind") == CANDIDATE).select("a", "b")
     groups = connected_components(candidates)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -305,8 +370,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = groups.join(sizes, "component").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "id", F.col("component").alias("grp"), F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side")
-    # One plan at every size: the texts of candidates are met by sorting, never by sending ids everywhere.
-    sets = known.join(tasks.hint("merge"), "id").mapInArrow(_sets_pass(shingle), "grp long, i int, j int, side int, id long, tokens binary")
+    tokens = facts.where(F.col("kind") == TOKENS).select(F.col("a").alias("id"), "tokens")
+    sets = tokens.join(tasks.hint("merge"), "id").select("grp", "i", "j", "side", "id", "tokens")
     links = sets.repartition(n, "grp", "i", "j").sortWithinPartitions("grp", "i", "j").mapInArrow(_verify(percent), "a long, b long")
     equal = facts.where(F.col("kind") == EQUAL).select("a", "b")
     components = connected_components(links.unionByName(equal)).withColumnRenamed("id", "__member")
@@ -329,5 +394,7 @@ def _count_only(shingle: int):
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the least of its component; rows without id stay."""
     components = jaccard_components(docs, id_col=id_col, **options)
-    losers = components.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__loser")).distinct()
-    return docs.join(losers, F.col(id_col) == F.col("__loser"), "left_anti")
+    losers = cut_lineage(components.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__loser")).distinct(), "losers")
+    # Sent to all tasks only while it is counted to be small; beyond that the texts are shuffled.
+    sent = F.broadcast(losers) if losers.count() <= SENT_IDS else losers
+    return docs.join(sent, F.col(id_col) == F.col("__loser"), "left_anti")
