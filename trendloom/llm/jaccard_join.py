@@ -355,13 +355,13 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = texts.where("id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    part_bits = (4 * n - 1).bit_length()
+    part_bits = max(1, (n - 1).bit_length())
     bits = max(part_bits, 16, int(size).bit_length())  # some slots for each token
     blocks = known.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int"))
     slots = blocks.groupBy("block").applyInArrow(_tell_slots(shingle, bits, part_bits), "part int, block int, slots binary, often binary")
     common = slots.groupBy("part").applyInArrow(_tell_common, "block int, part int, common binary")
     first = blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
-        _first_pass(shingle, percent, bits, part_bits, 4 * n), "kind byte, a long, b long, tokens binary, keys binary, docs binary")
+        _first_pass(shingle, percent, bits, part_bits, n), "kind byte, a long, b long, tokens binary, keys binary, docs binary")
     facts = cut_lineage(first.repartition(n, "a").mapInArrow(_meet, "kind byte, a long, b long, tokens binary"), "meetings")
     candidates = facts.where(F.col("kind") == CANDIDATE).select("a", "b")
     groups = connected_components(candidates)
