@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.textbytes import mix
-from trendloom.runtime import require
+from trendloom.runtime import cut_lineage, require
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKETS = 1024
@@ -192,12 +192,14 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, id_c
     own.  Ids must be unique: rows with one id share what is taken.  Reruns
     agree.
     """
-    sized = docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    # Words are counted once; everything below reads the counts.
+    sized = cut_lineage(docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     plan = plan_mix(sized, weights, **options)
     spark = docs.sparkSession
     times = mixed_slots(spark, plan).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = packed_pieces(sized, plan, id_col, "source", "size")
-    taken = pieces.join(times, ["source", "block"]).groupBy(F.col(id_col).alias("__id")).agg(F.sum(F.col("words") * F.col("times")).alias("__taken"))
+    # The planner takes the slots for as few as the shards they were drawn for; their number grows with the words.
+    taken = pieces.join(times.hint("merge"), ["source", "block"]).groupBy(F.col(id_col).alias("__id")).agg(F.sum(F.col("words") * F.col("times")).alias("__taken"))
     sources = F.broadcast(plan.frame(spark).select("__name", "source_size", "target"))
     named = sized.join(sources, F.col("source").eqNullSafe(F.col("__name")))
     return named.join(taken, F.col(id_col) == F.col("__id"), "left").select(id_col, "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"))
@@ -226,4 +228,4 @@ def mixed_text(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col:
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
     texts = pieces.join(sized.select(id_col, words.alias("__split")), id_col)
     cut = texts.select("source", "block", id_col, "first", F.array_join(F.slice("__split", F.col("first").cast("int") + 1, F.col("words").cast("int")), " ").alias("text"))
-    return mixed_slots(docs.sparkSession, plan).join(cut, ["source", "block"]).select("shard", "position", "source", "block", id_col, "first", "text")
+    return mixed_slots(docs.sparkSession, plan).hint("merge").join(cut, ["source", "block"]).select("shard", "position", "source", "block", id_col, "first", "text")
