@@ -251,6 +251,30 @@ def test_each_subword_is_scored_once_and_causally():
         assert abs(alone[0] - whole[i]) < 1e-4 * abs(whole[i])
 
 
+def test_training_counts_every_subword_once(spark):
+    """Also in long texts and whatever the number of texts, and no subword of held-out ones."""
+    from pyspark.sql import functions as F
+
+    texts = [None, "a", " ".join(f"w{i}" for i in range(4000)), " ".join(["b c"] * 15), "held out words " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = df.select("id", F.coalesce("text", F.lit("")).cast("binary").alias("data"), (F.col("id") != 4).alias("train")).toArrow()
+    coder = lm_score.subwords(RANKS)
+
+    class Sent:
+        value = RANKS
+
+    want, got, windows = collections.Counter(), collections.Counter(), 0
+    for t in texts[:4]:
+        want.update([*(coder.encoding.encode_ordinary(" " + " ".join(words_of(t))) if t else []), coder.end])
+    for batch in lm_score._make_blocks(Sent)(rows.to_batches()):
+        block = lm_score.Block.read(batch, 0)
+        windows -= batch.column("windows")[0].as_py()
+        for ids, counted in lm_score.training_windows(block, coder.end):
+            windows += len(ids)
+            got.update(ids[:, 2:][counted & (ids[:, 2:] >= 0)].tolist())
+    assert got == want and windows == 0
+
+
 def test_model_beats_pair_counts(spark):
     """Held-out texts of two made-up languages: attention tells the language, counts after one subword do not."""
     from pyspark.sql import functions as F

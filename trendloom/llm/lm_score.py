@@ -4,8 +4,8 @@ The next subword's probability is that of its class, given the last ``WINDOW``
 subwords, times its share of the class after the subword before it.  Attention
 gives the first, as a change of the class's counted share after the subword
 before.  Shares are counted over all training texts; the attention weights are
-fitted by gradient descent on windows of all training texts, by trainers whose
-weights are averaged after each round.
+fitted by gradient descent on all subwords of all training texts, by trainers
+whose weights are averaged after each round.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ BLOCK_BYTES = 8 << 20
 ROUNDS = 3
 BATCH = 64
 TRAINER_WINDOWS = 4096
-LEAST_WINDOWS = 32_768
 MAX_TRAINERS = 256
 #: Fixed value: how the public byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,9 +70,24 @@ def subwords(ranks: bytes) -> Subwords:
     return _LOADED[key]
 
 
+# ---------------------------------------------------------------- windows
+
+def windows_of(size: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """How many windows, each ``OVERLAP`` subwords into the one before, cover texts of ``size`` subwords."""
+    return 1 + np.maximum(0, -(-(size - window) // (window - OVERLAP)))
+
+
+def window_places(at: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, number in it, first place) of every window of a stream with texts at the offsets ``at``."""
+    many = windows_of(np.diff(at), window)
+    text = np.repeat(np.arange(len(many)), many)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, number, at[:-1][text] + number * (window - OVERLAP)
+
+
 # ---------------------------------------------------------------- blocks
 
-BLOCKS = pa.schema([("block", pa.int64()), ("trained", pa.int64()), *((c, pa.binary()) for c in ("ids", "without_id", "train", "words", "index", "keys", "counts", "tokens", "lengths"))])
+BLOCKS = pa.schema([("block", pa.int64()), ("trained", pa.int64()), ("windows", pa.int64()), *((c, pa.binary()) for c in ("ids", "without_id", "train", "words", "index", "keys", "counts", "tokens", "lengths"))])
 
 
 def _make_blocks(sent):
@@ -93,9 +107,10 @@ def _make_blocks(sent):
                 inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 spelled = np.where(inner == 0, np.uint8(32), low[np.repeat(starts[first], size) + inner - (inner > 0)] if len(low) else 0).astype(np.uint8)
                 tokens, lengths = coder.encode(spelled.tobytes(), len(keys)) if len(keys) else (np.zeros(0, np.int64),) * 2
+                size = np.diff(np.concatenate([[0], np.cumsum(lengths[index])])[edges]) + 1
                 ids = part.column("id")
                 yield table_of(BLOCKS, [(
-                    uuid.uuid4().int >> 65, int(train.sum()), ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), train.tobytes(),
+                    uuid.uuid4().int >> 65, int(train.sum()), int(windows_of(size)[train].sum()), ids.fill_null(0).to_numpy(zero_copy_only=False).tobytes(), ids.is_null().to_numpy(zero_copy_only=False).tobytes(), train.tobytes(),
                     np.diff(edges).tobytes(), index.astype(np.int32).tobytes(), keys.tobytes(), counts.tobytes(), tokens.astype(np.uint16).tobytes(), lengths.astype(np.int32).tobytes(),
                 )]).to_batches()[0]
 
@@ -278,9 +293,8 @@ def causal_mask(length: int) -> np.ndarray:
     return np.triu(np.full((length, length), -1e9, dtype=np.float32), 1)
 
 
-def class_shares(w: Weights, state: np.ndarray, log_class: np.ndarray) -> np.ndarray:
-    """Class probabilities of rows of states."""
-    scores = state @ w.classes
+def class_shares(w: Weights, scores: np.ndarray, log_class: np.ndarray) -> np.ndarray:
+    """Class probabilities of rows of scores (states by ``w.classes``), in place."""
     scores += w.class_bias
     scores += log_class
     scores -= scores.max(axis=1, keepdims=True)
@@ -294,16 +308,19 @@ def summed_rows(rows: np.ndarray, number: np.ndarray, total: int) -> np.ndarray:
     return np.stack([np.bincount(number, weights=rows[:, d], minlength=total) for d in range(rows.shape[1])], axis=1)
 
 
-def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray) -> tuple[float, np.ndarray]:
-    """Mean loss of the classes and its gradient over windows (n, length + 2) of subword ids: two before, then the targets; -1 is no target."""
+def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, np.ndarray]:
+    """Mean loss of the classes and its gradient over windows (n, length + 2) of subword ids: two before, then the targets.
+
+    -1 is no target; where ``counted`` is false a subword is only read.
+    """
     slots = shares.slot[np.maximum(window, 0)]
     last, before, target = slots[:, 1:-1], slots[:, :-2], window[:, 2:]
     x, q, k, v, weight, mixed, state = forward(w, last, before, mask)
     n, length, width = x.shape
-    real = (target >= 0).ravel()
+    real = ((target >= 0) & counted).ravel()
     klass = shares.class_of[shares.slot[np.maximum(target, 0).ravel()]]
     flat = state.reshape(-1, width)
-    d_scores = class_shares(w, flat, shares.log_class[last.ravel()])
+    d_scores = class_shares(w, flat @ w.classes, shares.log_class[last.ravel()])
     m = max(1, int(real.sum()))
     loss = float(-np.log(d_scores[np.arange(len(klass)), klass][real]).sum() / m)
     d_scores[np.arange(len(klass)), klass] -= 1
@@ -323,12 +340,12 @@ def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray) -
     return loss, grad.flat().astype(np.float32)
 
 
-def descend(w: Weights, shares: Shares, windows: Iterable[np.ndarray], rate: float = 0.01) -> tuple[Weights, int]:
+def descend(w: Weights, shares: Shares, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> tuple[Weights, int]:
     """Adam over batches of windows, with the rate falling as one over the root of the steps; (weights, windows seen)."""
     flat, mean, square, step, seen = w.flat(), 0.0, 0.0, 0, 0
     mask = causal_mask(len(w.place))
-    for window in windows:
-        _, g = gradient(w.filled(flat), shares, window, mask)
+    for window, counted in windows:
+        _, g = gradient(w.filled(flat), shares, window, mask, counted)
         step += 1
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         flat = flat - np.float32(rate / np.sqrt(1 + step / 100)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -346,10 +363,7 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
     """
     length = len(w.place)
     texts, size = len(at) - 1, np.diff(at)
-    many = 1 + np.maximum(0, -(-(size - length) // (length - OVERLAP)))
-    text = np.repeat(np.arange(texts), many)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
-    begin = at[:-1][text] + number * (length - OVERLAP)
+    text, number, begin = window_places(at, length)
     slots = shares.slot[stream]
     end_slot = shares.slot[shares.end]
     previous = np.concatenate([slots[:1], slots[:-1]])
@@ -365,10 +379,11 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
         here = (place < at[1:][text[part], None]) & ((np.arange(length) >= OVERLAP) | (number[part, None] == 0))
         place = np.minimum(place, len(stream) - 1)
         last = previous[place]
-        state = forward(w, last, second[place], mask)[-1][here]
+        # One product per window, so that equal texts have equal scores wherever they stand in the block.
+        scores = (forward(w, last, second[place], mask)[-1] @ w.classes)[here]
         token, before_it = stream[place[here]], last[here]
         own = shares.slot[token]
-        klass = class_shares(w, state, shares.log_class[before_it])[np.arange(len(own)), shares.class_of[own]]
+        klass = class_shares(w, scores, shares.log_class[before_it])[np.arange(len(own)), shares.class_of[own]]
         value = np.log(klass) + shares.log_in_class[before_it, own] + shares.token_share[token]
         out += np.bincount(np.broadcast_to(text[part, None], here.shape)[here], weights=value, minlength=texts)
     return out / np.log(10.0)
@@ -431,57 +446,44 @@ def shares_of(total: np.ndarray, slot: np.ndarray, of_slot: np.ndarray, after: n
     return Shares(slot, np.log(token_share).astype(np.float32), number, np.log(of_class).astype(np.float32), np.log(after / of_class[:, number]).astype(np.float32), end)
 
 
-def training_windows(blocks: DataFrame, end: int, per_text: int = 1, window: int = WINDOW) -> DataFrame:
-    """(block, n, windows): ``per_text`` windows of every training text, at places its id's hash decides, with the two subwords before each."""
+def training_windows(block: Block, end: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of the windows that cover a block's training texts: subword ids with the two before each window, and which targets count.
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                b = Block.read(batch, row)
-                stream, at = b.stream(end)
-                size = np.diff(at)
-                taken = []
-                for number in range(per_text):
-                    with np.errstate(over="ignore"):
-                        draw = mix(b.ids.astype(np.uint64) + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)
-                    offset = (draw % (np.maximum(size - window, 0) + 1).astype(np.uint64)).astype(np.int64)
-                    place = offset[:, None] + np.arange(-2, window)
-                    there = stream[np.clip(at[:-1, None] + place, 0, max(0, len(stream) - 1))]
-                    taken.append(np.where(place < 0, end, np.where(place < size[:, None], there, -1))[b.train].astype(np.int32))
-                rows = np.concatenate(taken)
-                yield pa.RecordBatch.from_arrays([pa.array([b.block]), pa.array([len(rows)]), pa.array([rows.tobytes()], pa.binary())], names=["block", "n", "windows"])
-
-    return blocks.select("block", "ids", "train", "words", "index", "tokens", "lengths").mapInArrow(cut, "block long, n long, windows binary")
-
-
-def train_weights(windows: DataFrame, shares: Shares, rounds: int = ROUNDS, window: int = WINDOW) -> Weights:
-    """Rounds of gradient descent: each trainer goes once over its windows, then weights are averaged by windows seen.
-
-    All training texts take part, with more windows each where there are fewer
-    than ``LEAST_WINDOWS`` texts.  There is one trainer for every
-    ``TRAINER_WINDOWS`` windows, at most one per shuffle partition and
-    ``MAX_TRAINERS``, so what reaches the driver is bounded.
+    Windows overlap as in :func:`text_scores`; a subword counts in one of them.
+    They come in a drawn order, so that a batch mixes texts.
+    """
+    stream, at = block.stream(end)
+    text, number, begin = window_places(at, window)
+    here = np.random.default_rng(len(stream)).permutation(np.flatnonzero(block.train[text]))
+    for i in range(0, len(here), BATCH):
+        n = here[i : i + BATCH]
+        place = begin[n, None] + np.arange(-2, window)
+        ids = stream[np.clip(place, 0, len(stream) - 1)]
+        ids = np.where(place < at[:-1][text[n], None], end, np.where(place < at[1:][text[n], None], ids, -1))
+        yield ids.astype(np.int32), (np.arange(window) >= OVERLAP) | (number[n, None] == 0)
+
+
+def train_weights(blocks: DataFrame, shares: Shares, rounds: int = ROUNDS, window: int = WINDOW) -> Weights:
+    """Rounds of gradient descent: each trainer goes once over all windows of its blocks, then weights are averaged by windows seen.
+
+    Windows are cut from the blocks table as they are used.  There is at most
+    one trainer for every ``TRAINER_WINDOWS`` windows, one per shuffle
+    partition and ``MAX_TRAINERS``, so what reaches the driver is bounded.
     """
-    spark = windows.sparkSession
-    total = windows.agg(F.sum("n").alias("n")).first()["n"] or 0
+    spark = blocks.sparkSession
+    total = blocks.agg(F.sum("windows").alias("n")).first()["n"] or 0
     weights = first_weights(shares, window=window)
     if not total:
         return weights
     trainers = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_TRAINERS, total // TRAINER_WINDOWS))
-    dealt = windows.repartition(trainers)
+    dealt = blocks.where("windows > 0").select("block", "train", "words", "index", "tokens", "lengths").coalesce(trainers)
     fixed = spark.sparkContext.broadcast(shares)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 
         def work(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            def steps() -> Iterator[np.ndarray]:
-                for batch in batches:
-                    for raw in batch.column("windows"):
-                        rows = np.frombuffer(raw.as_py(), np.int32).reshape(-1, window + 2)
-                        for i in range(0, len(rows), BATCH):
-                            yield rows[i : i + BATCH]
-
-            fitted, seen = descend(sent.value, fixed.value, steps())
+            steps = (step for batch in batches for row in range(batch.num_rows) for step in training_windows(Block.read(batch, row), fixed.value.end, window))
+            fitted, seen = descend(sent.value, fixed.value, steps)
             yield pa.RecordBatch.from_arrays([pa.array([fitted.flat().tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
 
         parts = [(np.frombuffer(r["weights"], np.float32), r["n"]) for r in dealt.mapInArrow(work, "weights binary, n long").collect() if r["n"]]
@@ -512,15 +514,14 @@ def score_texts(docs: DataFrame, ranks: bytes, held_out: Column, *, id_col: str
     sent = spark.sparkContext.broadcast(ranks)
     end = subwords(ranks).end
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("data"), F.coalesce(~held_out, F.lit(True)).alias("train"))
-    blocks = cut_lineage(rows.mapInArrow(_make_blocks(sent), "block long, trained long, " + ", ".join(f"{f.name} binary" for f in list(BLOCKS)[2:])), "blocks")
+    blocks = cut_lineage(rows.mapInArrow(_make_blocks(sent), "block long, trained long, windows long, " + ", ".join(f"{f.name} binary" for f in list(BLOCKS)[3:])), "blocks")
     told = cut_lineage(blocks.select("block", "keys", "counts").mapInArrow(_ask_counts(parts), "part int, block long, keys binary, counts binary")
                        .groupBy("part").applyInArrow(_tell_counts, "block long, part int, counts binary, part_tokens long, part_words long"), "counts")
     sums = told.groupBy("part").agg(F.first("part_tokens").alias("t"), F.first("part_words").alias("w")).agg(F.sum("t").alias("t"), F.sum("w").alias("w")).first()
     trained = blocks.agg(F.sum("trained").alias("n")).first()["n"] or 0
     tokens, words = (sums["t"] or 0) + trained, (sums["w"] or 0) + (trained > 0)
     shares = count_shares(blocks, end)
-    per_text = -(-LEAST_WINDOWS // max(1, trained)) if trained < LEAST_WINDOWS else 1
-    weights = train_weights(cut_lineage(training_windows(blocks, end, per_text), "windows"), shares)
+    weights = train_weights(blocks, shares)
     model = spark.sparkContext.broadcast((weights, shares))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
