@@ -155,6 +155,35 @@ def test_mixing_odd_rows(odd, empty, docs):
     assert all(copies[i] == 1 for i in (1, 2, 3))
 
 
+def test_mixing_counts_rows_with_null_and_repeated_ids_by_themselves(spark):
+    """Sizes tell the rows apart; the first row of the null group is an empty text, and two rows are equal."""
+    from tests.llm.conftest import SCHEMA
+
+    rng = random.Random(5)
+    rows = [(None, "", "a"), (None, None, "b"), (7, " ", "a")]
+    rows += [(None if i % 3 == 0 else i % 20, " ".join(f"r{i}w{k}" for k in range(2 * i)), rng.choice(["a", "b", None])) for i in range(1, 120)]
+    rows += [(3, "same text here", "b")] * 2 + [(None, "the same", "b")] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mix_documents(df, block_words=8).toPandas()
+    assert sorted(out["size"]) == sorted(len(words_of(t)) for _, t, _ in rows) and (out["taken"] <= 3 * out["size"]).all()
+    assert out["doc_id"].isna().sum() == sum(i is None for i, *_ in rows)
+    lone = {t: len(words_of(t)) for _, t, _ in rows if len(words_of(t)) > 3}
+    taken = out.set_index("size")["taken"]
+    plan = mixing.plan_mix(df.select("source", mixing.word_count(df["text"]).alias("size")), block_words=8)
+    counted = collections.Counter()
+    for p in mixing.mixed_text(df, plan).collect():
+        words = p["text"].split(" ")
+        counted[words[0].split("w")[0]] += len(words) if words[0].startswith("r") else 0
+    assert all(taken[n] == counted[t.split("w")[0]] for t, n in lone.items())
+    for name, target in zip(plan.names, plan.targets):
+        sizes = [len(words_of(t)) for _, t, s in rows if s == name]
+        assert abs(out.loc[out["size"].isin([n for n in sizes if n > 3]), "taken"].sum() - target) <= 16 + 3 * sum(n for n in sizes if n <= 3)
+    copies = collections.Counter(r["text"] for r in mixing.mixed_documents(df, block_words=8).collect())
+    assert copies[""] == copies[None] == copies[" "] == 1
+    assert all(copies[t] in (taken[n] // n, -(-taken[n] // n)) for t, n in lone.items())
+    assert sum(copies[t] * n for t, n in lone.items()) > 0.8 * sum(lone.values())
+
+
 # ---------------------------------------------------------------- preference pairs
 
 def preferences_text(turns):

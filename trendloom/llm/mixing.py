@@ -16,6 +16,8 @@ from trendloom.runtime import cut_lineage, require
 WORD = "[^\\x20\\x09-\\x0D]+"
 BUCKETS = 1024
 MAX_SOURCES = 100_000
+#: Columns that tell rows apart whatever their ids: a number of its own, the hash of what it holds, its rank among rows of that hash.
+ROW, HASH, RANK = "__row", "__hash", "__rank"
 
 
 def word_count(text: Column) -> Column:
@@ -167,65 +169,85 @@ def mixed_slots(spark, plan: Plan) -> DataFrame:
     return draws.repartition(n, "shard", "source").mapInPandas(expand, "shard long, position long, source int, block long")
 
 
-def packed_pieces(docs: DataFrame, plan: Plan, id_col: str, source_col: str, size_col: str) -> DataFrame:
-    """(source, block, ``id_col``, first, words): which words of a document lie in which block of its source's stream."""
-    sources = F.broadcast(plan.frame(docs.sparkSession).select("__name", "__source"))
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows with a number of their own (``ROW``), written so that it stays."""
+    return cut_lineage(docs.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias(ROW)), "rows")
+
+
+def sized_rows(rows: DataFrame, row: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(``id_col``, source, size, ``ROW``, ``HASH``, ``RANK``) of every row, numbered by ``row``.
+
+    Words are counted once; everything later reads the counts.  Hash and rank
+    are a key that does not depend on where a row is read: only rows with equal
+    id, source and text can change places.
+    """
+    counted = cut_lineage(rows.select(
+        id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), row.alias(ROW), F.xxhash64(id_col, source_col, text_col).alias(HASH)), "counts")
+    return cut_lineage(running_start(counted.withColumn("__one", F.lit(1)), [HASH], "__one", [ROW], RANK).drop("__one"), "sizes")
+
+
+def packed_pieces(sized: DataFrame, plan: Plan) -> DataFrame:
+    """(source, block, ``ROW``, first, words): which words of a row lie in which block of its source's stream."""
+    sources = F.broadcast(plan.frame(sized.sparkSession).select("__name", "__source"))
     laid = running_start(
-        docs.select(id_col, F.col(source_col).alias("__name_of"), F.col(size_col).alias("__size")).where("__size > 0")
-        .join(sources, F.col("__name_of").eqNullSafe(F.col("__name"))).select(id_col, F.col("__source").alias("source"), "__size"),
-        ["source"], "__size", [id_col, "__size"], "__start")
+        sized.where("size > 0").join(sources, F.col("source").eqNullSafe(F.col("__name"))).select(ROW, HASH, RANK, F.col("__source").alias("source"), F.col("size").alias("__size")),
+        ["source"], "__size", [HASH, RANK], "__start")
     n = plan.block_words
     begin, end = F.greatest("__start", F.col("block") * n), F.least(F.col("__start") + F.col("__size"), (F.col("block") + 1) * n)
     covered = laid.withColumn("block", F.explode(F.sequence(F.expr(f"__start div {n}"), F.expr(f"(__start + __size - 1) div {n}"))))
-    return covered.select("source", "block", id_col, (begin - F.col("__start")).alias("first"), (end - begin).alias("words"))
+    return covered.select("source", "block", ROW, (begin - F.col("__start")).alias("first"), (end - begin).alias("words"))
+
+
+def taken_rows(sized: DataFrame, weights: Sequence[float], **options) -> DataFrame:
+    """The rows of ``sized`` with source_size, target and taken."""
+    plan = plan_mix(sized, weights, **options)
+    spark = sized.sparkSession
+    times = mixed_slots(spark, plan).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
+    pieces = packed_pieces(sized, plan)
+    # The planner takes the slots for as few as the shards they were drawn for; their number grows with the words.
+    taken = pieces.join(times.hint("merge"), ["source", "block"]).groupBy(ROW).agg(F.sum(F.col("words") * F.col("times")).alias("__taken"))
+    sources = F.broadcast(plan.frame(spark).select("__name", "source_size", "target"))
+    named = sized.join(sources, F.col("source").eqNullSafe(F.col("__name")))
+    return named.join(taken, ROW, "left").withColumn("taken", F.coalesce("__taken", F.lit(0)).cast("long"))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """(``id_col``, size, source_size, target, taken): how many words of each document a mix takes, repeats counted.
 
     Words of a source are packed into blocks of ``block_words`` in an order
-    only the ids decide; output shards of ``shard_slots`` blocks draw
-    multinomial counts per source, and each slot takes the block its source's
-    permutation names.  A document's ``taken`` sums its words in the slots'
+    only ids, sources and texts decide; output shards of ``shard_slots`` blocks
+    draw multinomial counts per source, and each slot takes the block its
+    source's permutation names.  A row's ``taken`` sums its words in the slots'
     blocks and never exceeds ``max_repeats`` times its size.  Null texts and
     texts without words have size 0 and nothing taken; null is a source of its
-    own.  Ids must be unique: rows with one id share what is taken.  Reruns
-    agree.
+    own.  Every row counts for itself, whether its id is null or repeated.
+    Reruns agree.
     """
-    # Words are counted once; everything below reads the counts.
-    sized = cut_lineage(docs.select(id_col, F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
-    plan = plan_mix(sized, weights, **options)
-    spark = docs.sparkSession
-    times = mixed_slots(spark, plan).groupBy("source", "block").agg(F.count(F.lit(1)).alias("times"))
-    pieces = packed_pieces(sized, plan, id_col, "source", "size")
-    # The planner takes the slots for as few as the shards they were drawn for; their number grows with the words.
-    taken = pieces.join(times.hint("merge"), ["source", "block"]).groupBy(F.col(id_col).alias("__id")).agg(F.sum(F.col("words") * F.col("times")).alias("__taken"))
-    sources = F.broadcast(plan.frame(spark).select("__name", "source_size", "target"))
-    named = sized.join(sources, F.col("source").eqNullSafe(F.col("__name")))
-    return named.join(taken, F.col(id_col) == F.col("__id"), "left").select(id_col, "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken"))
+    sized = sized_rows(docs, F.monotonically_increasing_id(), id_col, text_col, source_col)
+    return taken_rows(sized, weights, **options).select(id_col, "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: whole passes, and the rest by a draw on the id's hash.
+    """The rows of ``docs`` as often as the mix takes them: whole passes, and the rest by a draw on the row's hash and rank.
 
-    A document whose words are taken t times on average comes floor(t) or
-    ceil(t) times, so sources keep their target shares; one without words
-    comes once (no share of words decides about it).
+    A row whose words are taken t times on average comes floor(t) or ceil(t)
+    times, so sources keep their target shares; one without words comes once
+    (no share of words decides about it).  Null and repeated ids count row by row.
     """
-    mixed = mix_documents(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, **options)
-    mixed = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.first("size").alias("__size"), F.first("taken").alias("__taken"))
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__id")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.col("__size") == 0, 1).otherwise(F.floor(F.col("__taken") / F.col("__size") + draw))
-    often = mixed.select("__id", copies.cast("int").alias("__copies")).where("__copies > 0")
-    repeated = docs.join(often, F.col(id_col).eqNullSafe(F.col("__id")))
+    rows = numbered(docs, *docs.columns)
+    mixed = taken_rows(sized_rows(rows, F.col(ROW), id_col, text_col, source_col), weights, seed=seed, **options)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), HASH, RANK), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + draw))
+    often = mixed.select(ROW, copies.cast("int").alias("__copies")).where("__copies > 0")
+    repeated = rows.join(often, ROW)
     return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mixed_text(docs: DataFrame, plan: Plan, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: (shard, position, source, block, ``id_col``, first, text), the pieces of each slot's block in order of (position, id, first)."""
-    sized = docs.select(id_col, text_col, source_col, word_count(F.col(text_col)).alias("__words"))
-    pieces = packed_pieces(sized, plan, id_col, source_col, "__words")
+    rows = numbered(docs, id_col, text_col, source_col)
+    pieces = packed_pieces(sized_rows(rows, F.col(ROW), id_col, text_col, source_col), plan)
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1))
-    texts = pieces.join(sized.select(id_col, words.alias("__split")), id_col)
+    texts = pieces.join(rows.select(ROW, id_col, words.alias("__split")), ROW)
     cut = texts.select("source", "block", id_col, "first", F.array_join(F.slice("__split", F.col("first").cast("int") + 1, F.col("words").cast("int")), " ").alias("text"))
     return mixed_slots(docs.sparkSession, plan).hint("merge").join(cut, ["source", "block"]).select("shard", "position", "source", "block", id_col, "first", "text")
