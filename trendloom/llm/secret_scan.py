@@ -22,10 +22,12 @@ NEIGHBOUR_BUCKETS = 16
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "auth", "credential", "private", "access")
 DUMMY_PARTS = ("test", "tests", "example", "examples", "sample", "mock", "fixture", "fixtures", "doc", "docs", "demo")
 
-#: A run of twelve or more key characters, or what follows an assignment; :func:`candidates` decides which count.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?P<run>[A-Za-z0-9+/_-]{12,}+)|[=:]\s{0,2}[\"']?(?P<value>[^\s\"']{6,}+)")
+#: A run of twelve or more key characters, or an assignment; :func:`candidates` decides which count.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?P<run>[A-Za-z0-9+/_-]{12,}+)|[=:]\s{0,2}(?P<quote>[\"']?)")
+#: What is assigned: up to white space or a quote, without quotes also up to the next assignment of a list.
+QUOTED = re.compile(r"[^\s\"']{6,}+")
+PLAIN = re.compile(r"(?:[^\s\"'&;,?#|]|[&;,?#|](?!(?:amp;)?[\w.\[\]-]{1,64}+[=:])){6,}+")
 NAMED = re.compile(r"(?:" + "|".join(KEY_WORDS) + r")[\w-]{0,16}[\"']?\s{0,2}$", re.IGNORECASE)
-KEYLIKE = re.compile(r"[A-Za-z0-9+/_-]{12,}+")
 MIXED = re.compile(r"\d|[a-z0-9+/_-][A-Z]")
 WORD = re.compile(r"[^\W_]+")
 CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
@@ -86,17 +88,20 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
 
 
 def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(start, string): values that a named key is given, and key-like runs with a digit or with capitals after the first."""
-    for m in CANDIDATE.finditer(text):
-        if m["value"] is not None:
-            if NAMED.search(text, max(0, m.start() - 40), m.start()):
-                yield m.start("value"), m["value"]
-                continue
-            for run in KEYLIKE.finditer(m["value"]):
-                if MIXED.search(run[0]):
-                    yield m.start("value") + run.start(), run[0]
-        elif MIXED.search(m["run"]):
-            yield m.start(), m["run"]
+    """(start, string): values that a named key is given, and key-like runs with a digit or with capitals after the first.
+
+    What an unnamed key is given is scanned like all other text, so assignments
+    inside it (URLs, connection strings) count by their own keys.
+    """
+    at = 0
+    while m := CANDIDATE.search(text, at):
+        at = m.end()
+        if m["run"] is not None:
+            if MIXED.search(m["run"]):
+                yield m.start(), m["run"]
+        elif NAMED.search(text, max(0, m.start() - 40), m.start()) and (value := (QUOTED if m["quote"] else PLAIN).match(text, at)):
+            yield at, value[0]
+            at = value.end()
 
 
 def find_candidates(docs: DataFrame, dictionary: frozenset[str], *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", context: int = 48) -> DataFrame:
