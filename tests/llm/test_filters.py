@@ -171,6 +171,14 @@ def test_assignments_inside_longer_values():
     assert len(found(text)) == 40_000
 
 
+def test_features_see_whole_candidates():
+    words = frozenset({"house"})
+    plain, mixed = ("house" * 60 + end for end in ("house" * 60, "A1b2-" * 60))
+    a, b = (secret_scan.features(c, "", "", "", words) for c in (plain, mixed))
+    assert a[0] == b[0] == 600 and a[22] == 1.0 and abs(b[22] - 0.5) < 0.01
+    assert b[1] > a[1] and b[2] > a[2] and abs(b[21] - 0.2) < 0.01 and a[21] == 0
+
+
 def test_forest_removes_false_findings(docs, empty, spark):
     rng = np.random.default_rng(2)
     hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))

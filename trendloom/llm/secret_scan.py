@@ -62,12 +62,11 @@ def _bucket(word: str) -> int:
 
 def features(candidate: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
     """Length, entropy, character transitions, dictionary coverage, path and neighbouring words."""
-    head = candidate[:256]
-    kinds = "".join(k if k in KINDS else "." for k in head.translate(CLASSES))
+    kinds = "".join(k if k in KINDS else "." for k in candidate.translate(CLASSES))
     steps = Counter(zip(kinds, kinds[1:], strict=False))
     moves = max(1, len(kinds) - 1)
-    counts = Counter(head)
-    entropy = -sum(n / len(head) * math.log2(n / len(head)) for n in counts.values())
+    counts = Counter(candidate)
+    entropy = -sum(n / len(candidate) * math.log2(n / len(candidate)) for n in counts.values())
     left, right = WORD.findall(before.lower()), WORD.findall(after.lower())
     parts = WORD.findall(path.lower())
     named = any(k in w for w in left[-2:] for k in KEY_WORDS)
@@ -77,10 +76,10 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
     for w in right[:1]:
         sides[NEIGHBOUR_BUCKETS + _bucket(w)] = 1.0
     return [
-        float(len(candidate)), entropy, len(counts) / len(head),
+        float(len(candidate)), entropy, len(counts) / len(candidate),
         *(steps[a, b] / moves for a in KINDS for b in KINDS),
         *(kinds.count(k) / len(kinds) for k in "aA0"),
-        dictionary_coverage(head, words),
+        dictionary_coverage(candidate, words),
         float(named), float(before.rstrip("\"' ").endswith(("=", ":"))),
         float(any(p in DUMMY_PARTS for p in parts)), float(before.endswith(("/", "@", "."))),
         *sides,
@@ -109,8 +108,7 @@ def find_candidates(docs: DataFrame, dictionary: frozenset[str], *, id_col: str
 
     ``start`` counts characters; ``before`` and ``after`` are the neighbouring
     ``context`` characters.  Null texts have no candidates, a null path is
-    empty.  Texts are read in place, nothing is shuffled; character statistics
-    of a candidate use its first 256 characters, its length counts whole.
+    empty.  Texts are read in place, nothing is shuffled.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(dictionary)
