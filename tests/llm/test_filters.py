@@ -78,6 +78,13 @@ def test_benchmark_in_blocks_and_empty(docs, odd, empty, benchmark, spark, monke
     assert decontamination.decontaminate(odd, nothing).count() == odd.count()
 
 
+def test_items_without_id_count(docs, spark):
+    items = spark.createDataFrame([(None, ITEM), (None, "short item"), (1, "other words than those")], "item_id long, text string")
+    found = decontamination.contaminated_documents(docs([ITEM, "a short item", "clean text"]), items)
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in found.collect()) == [(0, None, 1.0), (1, None, 1.0)]
+    assert [r["doc_id"] for r in decontamination.decontaminate(docs([ITEM, "a short item", "clean text"]), items).collect()] == [2]
+
+
 def labelled_texts(n=400):
     rng = np.random.default_rng(0)
     common = [f"word{i}" for i in range(60)]

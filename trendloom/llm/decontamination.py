@@ -100,9 +100,9 @@ def greedy_tiles(text: Sequence[int], pattern: Sequence[int], min_match: int = M
 class SeedIndex:
     """Token ids and seeds of one block of benchmark items."""
 
-    def __init__(self, items: Sequence[tuple[int, list[str]]], min_match: int) -> None:
+    def __init__(self, items: Sequence[tuple[int | None, list[str]]], min_match: int) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int | None, np.ndarray]] = []
         by_length: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item_id, words in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64)
@@ -141,7 +141,7 @@ def _groups(values: np.ndarray) -> tuple[list[int], list[slice]]:
     return [int(values[e]) for e in edges[:-1]], [slice(int(s), int(e)) for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def leaks_of(text: str | None, index: SeedIndex, min_match: int, threshold: float) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
+def leaks_of(text: str | None, index: SeedIndex, min_match: int, threshold: float) -> Iterator[tuple[int | None, int, int, list[tuple[int, int, int]]]]:
     """(item id, item tokens, covered tokens, tiles) of each item of which tiles cover at least ``threshold``."""
     get = index.vocabulary.get
     ids = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
@@ -158,13 +158,13 @@ def leaks_of(text: str | None, index: SeedIndex, min_match: int, threshold: floa
             yield item_id, len(pattern), matched, sorted((int(where[x]), y, n) for x, y, n in tiles)
 
 
-def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
+def _item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[int | None, list[str]]]]:
     """The benchmark in blocks of about ``BLOCK_BYTES`` of text; only one block at a time is held."""
     total = benchmark.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
     blocks = -(-int(total) // BLOCK_BYTES)
     for block in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64(item_col, text_col), F.lit(blocks)) == block).select(item_col, text_col).collect()
-        yield sorted([(r[0], tokens(r[1])) for r in rows if r[0] is not None], key=lambda r: (r[0], r[1]))
+        yield sorted([(r[0], tokens(r[1])) for r in rows], key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
 def contaminated_documents(
@@ -180,9 +180,9 @@ def contaminated_documents(
 
     The benchmark is a stated query set: it is taken in blocks of bounded size,
     each sent to all tasks, and documents are scanned in place without a
-    shuffle.  Null and empty texts match nothing, items without id are left
-    out, repeated items and documents give repeated rows, an empty benchmark
-    gives no rows.
+    shuffle.  Null and empty texts match nothing, items without id count
+    and are given out with a null ``item_id``, repeated items and documents
+    give repeated rows, an empty benchmark gives no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
