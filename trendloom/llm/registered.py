@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, jaccard_join, lm_score, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
+from trendloom.llm import decontamination, exact_dedup, html_extract, jaccard_join, lm_score, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
 from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,19 @@ def _(spark, sf_dir):
     model = toxicity_model(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_toxicity(docs, model).select("doc_id", (toxicity.hash_fold(F.col("doc_id")) == 2).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+# Holds on pages whose article element has no boilerplate inside and blocks of <h1> and <p> only, as those of the given tables.
+@query("op11_html_extract", """
+    WITH articles AS (
+        SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS a FROM pages),
+    blocks AS (
+        SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'),
+            lambda b: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g'))) AS b
+        FROM articles),
+    texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda t: t <> ''), chr(10)) AS text FROM blocks)
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts""")
+def _(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    model = html_extract.train_block_model(pages)
+    return html_extract.extract_main_text(pages, model).select("page_id", "url", "text", "n_chars")
