@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
+from math import log1p
 
 # Fixed values of the HTML standard: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -168,6 +170,7 @@ def read_page(source: str) -> Page:
     owner = 0
     links = 0
     lowered = None
+    still_open: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal owner
@@ -200,6 +203,7 @@ def read_page(source: str) -> Page:
             tag = elements[at].tag
             if tag in BLOCK or elements[at].evidence != elements[elements[at].parent].evidence:
                 flush()
+            still_open[tag] -= 1
             if tag == "a":
                 links -= 1
         del stack[len(stack) - count :]
@@ -221,6 +225,8 @@ def read_page(source: str) -> Page:
         if found[1]:  # an end tag
             if tag == "br":
                 add(" ")
+            elif not still_open[tag] and tag not in HEADINGS:
+                continue
             elif tag in BLOCK or tag in UNSEEN:
                 for back in range(1, len(stack)):
                     other = elements[stack[-back]].tag
@@ -261,6 +267,8 @@ def read_page(source: str) -> Page:
             if tag != "hr":
                 continue
         for ended in ENDS.get(tag, ()):
+            if not still_open[ended]:
+                continue
             scope = P_SCOPE if ended == "p" else SCOPES.get(tag, P_SCOPE)
             for back in range(1, len(stack)):
                 other = elements[stack[-back]].tag
@@ -288,6 +296,7 @@ def read_page(source: str) -> Page:
         if found[3].endswith("/") and tag not in BLOCK and tag in UNSEEN:
             continue
         stack.append(len(elements) - 1)
+        still_open[tag] += 1
         if tag == "a":
             links += 1
     flush()
@@ -307,8 +316,6 @@ FEATURES = ("chars", "link_share", "stops", "ends_sentence", "heading", "paragra
 
 def block_features(blocks: list[Block]) -> list[list[float]]:
     """One row of ``FEATURES`` per block, from its text, its tag and its neighbours; names and places in the markup are not among them."""
-    from math import log1p
-
     size = [log1p(len(b.text)) / 5 for b in blocks]
     link = [b.link_chars / len(b.text) for b in blocks]
     last = len(blocks) - 1
