@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, html_extract, jaccard_join, lm_score, mixing, preferences, secret_scan, sharding, substring_dedup, toxicity
+from trendloom.llm import decontamination, exact_dedup, html_extract, jaccard_join, lm_score, mixing, periodic_runs, preferences, secret_scan, sharding, substring_dedup, toxicity
 from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,44 @@ def _(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     model = html_extract.train_block_model(pages)
     return html_extract.extract_main_text(pages, model).select("page_id", "url", "text", "n_chars")
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of one document in ten, by the checksum of the id, whose words from a place on repeat a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words, n = F.col("words"), F.size("words")
+    g = F.floor(h / 10)
+    spread = docs.withColumn("words", F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))))
+    placed = spread.withColumn("from", F.when(n > 0, g % n).cast("int")).withColumn("every", (1 + F.floor((n - F.col("from")) / (3 + g % 8))).cast("int"))
+    repeated = F.transform(words, lambda w, i: F.when(i < F.col("from"), w).otherwise(F.get(words, F.col("from") + F.pmod(i - F.col("from"), F.col("every")))))
+    return placed.select("doc_id", F.when(F.col("from").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+# Each bit step of the checksum: half, with the fixed polynomial where the lowest bit was set.
+@query("op12_periodic_runs", """
+    WITH hashed AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+               xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                   lambda s, b: list_reduce(list_concat([xor(s, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) AS h
+        FROM documents),
+    placed AS (SELECT *, len(w)::BIGINT AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM hashed),
+    words AS (
+        SELECT doc_id, i, CASE WHEN a IS NULL OR i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END AS w
+        FROM placed, unnest(range(0, n)) AS u(i)),
+    equal AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND x.i < y.i),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM equal),
+    stretches AS (
+        SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM islands GROUP BY doc_id, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+    runs AS (SELECT doc_id, s, len, min(q) AS q FROM stretches GROUP BY doc_id, s, len),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', len, ',', q, chr(10)), '' ORDER BY s, q) AS runs,
+               first({'s': s, 'len': len, 'q': q} ORDER BY len DESC, s, q) AS best
+        FROM runs GROUP BY doc_id),
+    dropped AS (SELECT DISTINCT doc_id, i FROM runs, unnest(range(s + q, s + len)) AS u(i)),
+    kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.len AS length, best.q AS period, 1000 * best.len // best.q AS exponent_milli,
+           sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def _(spark, sf_dir):
+    texts = planted_periods(documents(spark, sf_dir).select("doc_id", "text"))
+    return periodic_runs.mark_periodic_runs(texts, digests=True).drop("text")
