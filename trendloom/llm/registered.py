@@ -9,7 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import decontamination, exact_dedup, html_extract, jaccard_join, lm_score, mixing, periodic_runs, preferences, secret_scan, sharding, substring_dedup, toxicity
+from trendloom.llm import (
+    decontamination, exact_dedup, html_extract, jaccard_join, lm_score, mixing, periodic_runs, preferences, secret_scan, sharding, substring_dedup, toxicity, whitening,
+)
 from trendloom.runtime import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +221,15 @@ def planted_periods(docs: DataFrame) -> DataFrame:
 def _(spark, sf_dir):
     texts = planted_periods(documents(spark, sf_dir).select("doc_id", "text"))
     return periodic_runs.mark_periodic_runs(texts, digests=True).drop("text")
+
+
+@query("op13_embedding_whitening")
+def _(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit_whitening(table, components=32)
+    rows = whitening.whiten(table, model).select("vec_id", "deviation", F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*[F.lit(e) for e in model.explained]) if model.explained else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("bigint").alias("n"), "deviation", "whitened", F.get(explained, F.col("place")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error"),
+    )
