@@ -279,7 +279,7 @@ def _(v):
 
 @query("l6_skip_incomplete", "SELECT cluster_id FROM i_text", **I_VIEWS)
 def _(v):
-    empty = v.clusters().select((F.col("id") + 1000).cast("int").alias("id"), "user_id", "centroid", "document_count", "avg_sentiment", "name")
+    empty = v.clusters().withColumn("id", (F.col("id") + 1000).cast("int"))
     return _context(v, v.clusters().unionByName(empty)).select("cluster_id")
 
 

@@ -47,11 +47,11 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         ("id",),
     ),
     "document_embeddings": (
-        "document_id STRING, model_name STRING, embedding ARRAY<FLOAT>, created_at TIMESTAMP",
+        "id STRING, document_id STRING, model_name STRING, embedding ARRAY<FLOAT>, created_at TIMESTAMP",
         ("document_id", "model_name"),
     ),
     "document_sentiments": (
-        "document_id STRING, vader DOUBLE, distilbert_score DOUBLE, distilbert_label STRING, "
+        "id STRING, document_id STRING, vader DOUBLE, distilbert_score DOUBLE, distilbert_label STRING, "
         "combined_score DOUBLE, created_at TIMESTAMP",
         ("document_id",),
     ),
@@ -64,23 +64,26 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
         "cluster_id STRING, document_id STRING, membership_strength DOUBLE, created_at TIMESTAMP, updated_at TIMESTAMP",
         ("cluster_id", "document_id"),
     ),
-    "keywords": ("cluster_id STRING, keyword STRING, weight DOUBLE, created_at TIMESTAMP", ("cluster_id", "keyword")),
+    "keywords": ("id STRING, cluster_id STRING, keyword STRING, weight DOUBLE, created_at TIMESTAMP", ("cluster_id", "keyword")),
     "timeseries_summary": (
-        "cluster_id STRING, summary_date DATE, mention_count BIGINT, avg_sentiment DOUBLE, momentum DOUBLE, "
-        "forecast_lower DOUBLE, forecast_upper DOUBLE, is_forecast BOOLEAN",
+        "id STRING, cluster_id STRING, summary_date DATE, mention_count BIGINT, avg_sentiment DOUBLE, momentum DOUBLE, "
+        "forecast_lower DOUBLE, forecast_upper DOUBLE, is_forecast BOOLEAN, created_at TIMESTAMP",
         ("cluster_id", "summary_date"),
     ),
     "anomalies": (
-        "cluster_id STRING, anomaly_date DATE, score DOUBLE, type STRING, direction INT, anomaly_metadata STRING",
+        "id STRING, cluster_id STRING, anomaly_date DATE, score DOUBLE, type STRING, direction INT, anomaly_metadata STRING, created_at TIMESTAMP",
         ("cluster_id", "anomaly_date", "type"),
     ),
     "insights": (
         "id STRING, cluster_id STRING, insight_text STRING, confidence DOUBLE, generated_at TIMESTAMP, llm_metadata STRING",
         ("id",),
     ),
-    "umap_projections": ("document_id STRING, model_name STRING, x DOUBLE, y DOUBLE", ("document_id", "model_name")),
+    "umap_projections": (
+        "id STRING, document_id STRING, model_name STRING, x DOUBLE, y DOUBLE, created_at TIMESTAMP",
+        ("document_id", "model_name"),
+    ),
     "user_ingestion_preferences": (
-        "user_id STRING, source STRING, source_params STRING, updated_at TIMESTAMP",
+        "id STRING, user_id STRING, source STRING, source_params STRING, updated_at TIMESTAMP",
         ("user_id", "source"),
     ),
 }
