@@ -13,6 +13,7 @@ from trendloom.operators import subscriptions as S
 from trendloom.plans.ingest import ingest, normalize_all
 from trendloom.runtime import shared_dir
 from trendloom.sources import landed, normalize, tables
+from trendloom.sources.stored import StoredTables
 
 NOW = f"timestamp'{AS_OF} 00:00:00'"
 
@@ -360,16 +361,63 @@ def _(v):
     return v.spark.read.parquet(path).select("user_id", "ingest_event_id", "source_path", "title", "raw_text", "processed")
 
 
-@query("a13_read_write_tables", """
-    SELECT cluster_id, summary_date_text AS day, mention_count FROM (
-        SELECT cluster_id, strftime(summary_date, '%Y-%m-%d') AS summary_date_text, mention_count + CASE WHEN cluster_id = 'view' THEN 1 ELSE 0 END AS mention_count FROM d_daily)""")
-def _(v):
-    path = shared_dir(v.spark, "series")
-    tables.append_rows(v.daily().withColumn("is_forecast", F.lit(False)), path)
-    stored = tables.read_table(v.spark, path, "timeseries_summary")
-    fresh = stored.where("cluster_id = 'view'").withColumn("mention_count", F.col("mention_count") + 1)
-    out = tables.replace_by_key(stored, fresh, ["cluster_id"])
-    return out.select("cluster_id", F.date_format("summary_date", "yyyy-MM-dd").alias("day"), "mention_count")
+# Every table of the engine with the expression of a whole number by which its rows are dealt to the steps.
+TABLE_NUMBERS = {
+    "users": "id", "ingest_events": "id", "documents": "id", "document_embeddings": "document_id", "document_sentiments": "document_id", "clusters": "id",
+    "cluster_members": "cluster_id", "keywords": "cluster_id", "timeseries_summary": "length(cluster_id)", "anomalies": "length(cluster_id)", "insights": "cluster_id",
+    "umap_projections": "document_id", "user_ingestion_preferences": "user_id",
+}
+T_VIEWS = {
+    "t_users": "SELECT c_custkey AS id FROM customer", "t_ingest_events": "SELECT id FROM d_events", "t_documents": "SELECT id FROM d_documents",
+    "t_document_embeddings": "SELECT document_id FROM d_embeddings", "t_document_sentiments": "SELECT document_id FROM d_sentiments", "t_clusters": "SELECT id FROM d_clusters",
+    "t_cluster_members": "SELECT cluster_id FROM d_members", "t_keywords": "SELECT item_id % 10 AS cluster_id FROM benchmark",
+    "t_timeseries_summary": "SELECT cluster_id FROM d_series", "t_anomalies": "SELECT cluster_id FROM d_series WHERE momentum < 0",
+    "t_insights": "SELECT id AS cluster_id FROM d_clusters WHERE name IS NOT NULL", "t_umap_projections": "SELECT document_id FROM d_embeddings",
+    "t_user_ingestion_preferences": "SELECT user_id FROM r_subscriptions",
+}
+
+
+def table_rows(v):
+    """Rows for each table of the engine, ids still as numbers."""
+    return {
+        "users": v.table("customer").selectExpr("c_custkey AS id", "c_name AS name"), "ingest_events": v.events(), "documents": v.documents(),
+        "document_embeddings": v.embeddings(), "document_sentiments": v.sentiments(), "clusters": v.clusters(), "cluster_members": v.members(),
+        "keywords": v.table("benchmark").selectExpr("item_id % 10 AS cluster_id", "substring(text, 1, 40) AS keyword", "length(text) AS weight"),
+        "timeseries_summary": v.series().withColumn("is_forecast", F.lit(False)),
+        "anomalies": v.series().where("momentum < 0").selectExpr("cluster_id", "summary_date AS anomaly_date", "-momentum AS score", "'sentiment' AS type"),
+        "insights": v.clusters().where("name IS NOT NULL").selectExpr("concat('i', id) AS id", "id AS cluster_id", "name AS insight_text"),
+        "umap_projections": v.embeddings().selectExpr("document_id", "model_name", "embedding[0] AS x", "embedding[1] AS y"),
+        "user_ingestion_preferences": v.subscriptions(),
+    }
+
+
+@query("a13_read_write_tables", " UNION ALL ".join(f"""
+    SELECT '{name}' AS table_name, count(*) AS appended, count(*) FILTER ({n} % 3 <> 0 OR {n} % 2 = 0) AS replaced, count(*) FILTER ({n} % 3 <> 0 OR {n} % 2 = 0) AS again,
+           0 AS changed, 0 AS without_id FROM t_{name}""" for name, n in TABLE_NUMBERS.items()), **T_VIEWS)
+def _(v):
+    """All tables appended to twice, a third of their keys replaced (half of those emptied), and replaced again."""
+    store = StoredTables(v.spark, shared_dir(v.spark, "tables"), F.expr(NOW), buckets=4)
+    out = []
+
+    def state(name):
+        rows = store.read(name)
+        key = schemas.TABLES[name][1][0]
+        missing = F.count_if(F.col(key).isNull() | F.col("id" if "id" in rows.columns else key).isNull())
+        return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), missing).first())
+
+    for name, rows in table_rows(v).items():
+        n, key = TABLE_NUMBERS[name], schemas.TABLES[name][1][0]
+        rows = v.stored(f"rows-{name}", lambda r=rows: r)
+        for part in (f"{n} % 5 = 0", f"{n} % 5 <> 0"):
+            store.append(name, rows.where(part))
+        appended = state(name)
+        done, fresh = rows.where(f"{n} % 3 = 0").select(key), rows.where(f"{n} % 3 = 0 AND {n} % 2 = 0")
+        store.replace(name, fresh, done)
+        once = state(name)
+        store.replace(name, fresh, done)
+        twice = state(name)
+        out.append((name, appended[0], once[0], twice[0], int(once != twice), twice[2]))
+    return v.spark.createDataFrame(out, "table_name STRING, appended BIGINT, replaced BIGINT, again BIGINT, changed INT, without_id BIGINT")
 
 
 A14 = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import AS_OF, DIM, STOP_WORDS
@@ -9,9 +11,10 @@ from checks.flagship import ranked_clusters
 from checks.q_series import A_VIEWS, FORECAST, K_VIEWS
 from checks.q_serving import PAIRS
 from checks.registry import day_text, query, r6, rounded
-from trendloom.operators import clustering, density, embedding, projection, sentiment
-from trendloom.plans.stages import Settings, Store, insight_stage, run_stages, signal_stage
+from trendloom.operators import anomaly, clustering, density, projection, sentiment, serving, timeseries, trending
+from trendloom.plans.stages import Settings, Store, insight_stage, run_and_store, run_stages, signal_stage
 from trendloom.runtime import cut_lineage, shared_dir
+from trendloom.sources.stored import StoredTables
 from trendloom.streaming import jobs
 
 
@@ -204,25 +207,111 @@ def _(v):
     return v.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("p2_run_incremental")
-def _(v):
-    """Landed documents, two files, through the incremental job into clusters."""
-    landed = shared_dir(v.spark, "landed")
-    documents = v.documents().drop("source")
-    documents.repartition(2, "id").write.parquet(landed)
-    empty = documents.limit(0)
-
+def _score(v):
     def score(docs):
         scores = sentiment.lexicon_sentiment(docs, v.lexicon(), v.boosters(), v.negations())
         return sentiment.analyze_sentiment(docs, v.sentiments().limit(0), [scores])
 
-    store = _empty_store(
-        v, documents=empty, embeddings=embedding.embed_documents(empty, DIM), sentiments=v.sentiments().limit(0)
+    return score
+
+
+def _facts(spark, **facts):
+    """One row per fact; a frame stands for the number of its rows."""
+    rows = [(name, value if isinstance(value, int) else value.count()) for name, value in facts.items()]
+    return spark.createDataFrame(rows, "fact STRING, value BIGINT")
+
+
+def _unlike(a, b, columns):
+    """Rows of one frame and not of the other, numbers to six digits."""
+    doubles = [f.name for f in a.select(*columns).schema if f.dataType.typeName() == "double"]
+    x, y = rounded(a.select(*columns), *doubles), rounded(b.select(*columns), *doubles)
+    return x.exceptAll(y).count() + y.exceptAll(x).count()
+
+
+SERIES = ("cluster_id", "summary_date", "mention_count", "avg_sentiment", "momentum", "forecast_lower", "forecast_upper", "is_forecast")
+ANOMALIES = ("cluster_id", "anomaly_date", "type", "score", "direction")
+
+
+def _rebuilt(read, settings):
+    """How far the stored tables are from what the stages give over the stored members."""
+    members, documents, moods, clusters = read("cluster_members"), read("documents"), read("document_sentiments"), read("clusters")
+    series = cut_lineage(timeseries.build_series(members, documents, moods), "series")
+    spikes = cut_lineage(anomaly.detect_anomalies(timeseries.observed_only(series)), "anomalies")
+    scores = trending.trending_scores(clusters, timeseries.observed_only(series), spikes, settings.as_of)
+    sizes = members.groupBy(F.col("cluster_id").alias("id")).agg(F.count(F.lit(1)).alias("document_count"))
+    names = ("keywords", "timeseries_summary", "anomalies", "insights", "umap_projections")
+    dated = {"insights": "generated_at"}
+    return {
+        "series_unlike": _unlike(series, read("timeseries_summary"), SERIES),
+        "anomalies_unlike": _unlike(spikes, read("anomalies"), ANOMALIES),
+        "scores_unlike": _unlike(scores.select(F.col("cluster_id").alias("id"), "trending_score"), clusters, ("id", "trending_score")),
+        "sizes_unlike": _unlike(sizes, clusters, ("id", "document_count")),
+        "documents_in_two_clusters": members.groupBy("document_id").count().where("count > 1"),
+        "clusters_without_keywords": clusters.join(read("keywords").select(F.col("cluster_id").alias("id")), "id", "left_anti"),
+        "clusters_without_insight": clusters.join(read("insights").select(F.col("cluster_id").alias("id")), "id", "left_anti"),
+        "rows_without_id_or_date": sum(read(n).where(F.col("id").isNull() | F.col(dated.get(n, "created_at")).isNull()).count() for n in names),
+    }
+
+
+UNLIKE = ("series_unlike", "anomalies_unlike", "scores_unlike", "sizes_unlike", "documents_in_two_clusters", "clusters_without_keywords", "clusters_without_insight",
+          "rows_without_id_or_date")
+ZEROS = " UNION ALL ".join(f"SELECT '{n}' AS fact, 0::BIGINT AS value" for n in UNLIKE)
+TEXTS = r"regexp_matches(raw_text, '\S')"
+
+
+@query("p1_run_and_store", f"""
+    {ZEROS} UNION ALL SELECT 'documents', count(*) FROM d_documents
+    UNION ALL SELECT 'processed', count(*) FROM d_documents WHERE id % 3 = 0 OR (id IN (SELECT document_id FROM d_embeddings) AND id IN (SELECT document_id FROM d_sentiments))
+    UNION ALL SELECT 'places', count(*) FROM d_embeddings WHERE document_id IN (SELECT id FROM d_documents)
+    UNION ALL SELECT 'embeddings_open', count(*) FROM d_embeddings WHERE document_id IN (SELECT id FROM d_documents)
+    UNION ALL SELECT 'clusters_not_listed', 0 UNION ALL SELECT 'detail_rows_missing', 0 UNION ALL SELECT 'places_not_served', 0""")
+def _(v):
+    """The whole batch job over stored tables; then its tables against a rebuild, and the serving lists over them."""
+    settings = replace(_settings(), projection_options={"method": "pca"})
+    store = StoredTables(v.spark, shared_dir(v.spark, "tables"), settings.now, buckets=4)
+    for name, rows in (("documents", v.documents()), ("document_embeddings", v.embeddings()), ("document_sentiments", v.sentiments())):
+        store.append(name, rows)
+    summary = run_and_store(store, settings).first()
+    clusters, members = store.read("clusters"), store.read("cluster_members")
+    users = [str(u) for u in range(5)]
+    listed = sum(serving.list_clusters(clusters, u, limit=10_000).total.first()["total"] for u in users)
+    served = sum(serving.user_projections(store.read("documents"), store.read("umap_projections"), members, u, limit=10_000).count() for u in users)
+    first = clusters.orderBy("id").first()
+    parts = {"keywords": "keywords", "series": "timeseries_summary", "insights": "insights", "anomalies": "anomalies", "members": "cluster_members"}
+    detail = serving.cluster_detail(clusters, first["user_id"], first["id"], documents=store.read("documents"), **{k: store.read(t) for k, t in parts.items()})
+    shown = (detail.keywords, detail.timeseries, detail.insights, detail.anomalies, detail.members)
+    wanted = sum(store.read(t).where(F.col("cluster_id") == first["id"]).count() for t in parts.values())
+    return _facts(
+        v.spark, **_rebuilt(store.read, settings), documents=store.read("documents"), processed=store.read("documents").where("processed"), places=store.read("umap_projections"),
+        embeddings_open=summary["embeddings_processed"], clusters_not_listed=clusters.count() - listed, detail_rows_missing=wanted - sum(d.count() for d in shown),
+        places_not_served=store.read("umap_projections").count() - served,
     )
-    run = jobs.IncrementalRun(v.spark, shared_dir(v.spark, "tables"), _settings(), score, store)
-    stream = v.spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    query_ = run.run(stream, shared_dir(v.spark, "progress"))
-    batches = query_.lastProgress["batchId"] + 1
-    after = run.store(batches)
-    return after.clusters.select("id", "user_id", "document_count", "name")
 
+
+@query("p2_run_incremental", f"""
+    {ZEROS} UNION ALL SELECT 'documents', count(*) FROM d_documents UNION ALL SELECT 'embeddings', count(*) FROM d_documents WHERE {TEXTS}
+    UNION ALL SELECT 'sentiments', count(*) FROM d_documents WHERE {TEXTS} UNION ALL SELECT 'processed', count(*) FROM d_documents WHERE {TEXTS}
+    UNION ALL SELECT 'places', count(*) FROM d_documents WHERE {TEXTS} UNION ALL SELECT 'batches', 2 UNION ALL SELECT 'changed_by_repeated_batch', 0
+    UNION ALL SELECT 'untouched_clusters_written', 0""")
+def _(v):
+    """Landed documents, two files, through the incremental job; then the last batch once more."""
+    landed = shared_dir(v.spark, "landed")
+    documents = v.documents().drop("source")
+    halves = [documents.where("id % 2 = 0"), documents.where("id % 2 = 1")]
+    settings = replace(_settings(), projection_options={"method": "pca"})
+    run = jobs.IncrementalRun(v.spark, shared_dir(v.spark, "tables"), settings, _score(v))
+    checkpoint = shared_dir(v.spark, "progress")
+    for half in halves:
+        half.write.mode("append").parquet(landed)
+        run.run(v.spark.readStream.schema(documents.schema).parquet(landed), checkpoint)
+    names = ("documents", "cluster_members", "clusters", "timeseries_summary", "anomalies", "keywords")
+    kept = {n: v.stored(f"kept-{n}", lambda t=n: run.read(t)) for n in names}
+    run.process(halves[1], 1)
+    changed = sum(_unlike(kept[n], run.read(n), [c for c in kept[n].columns if c != "centroid"]) for n in names)
+    touched = run.tables.batch("touched", 1)
+    beyond = sum(run.tables.batch(n, 1).select("cluster_id").distinct().join(touched, "cluster_id", "left_anti").count() for n in ("timeseries_summary", "anomalies", "keywords"))
+    return _facts(
+        v.spark, **_rebuilt(run.read, settings), documents=run.read("documents"), embeddings=run.read("document_embeddings"), sentiments=run.read("document_sentiments"),
+        processed=run.read("documents").where("processed"), places=run.read("umap_projections"), batches=run.tables.committed(), changed_by_repeated_batch=changed,
+        untouched_clusters_written=beyond,
+    )

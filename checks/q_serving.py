@@ -11,6 +11,9 @@ from checks.registry import day_text, query, r6, rounded
 from trendloom.operators import anomaly, clustering, embedding, search, serving
 from trendloom.operators.neighbours import knn_graph
 from trendloom.runtime import shared_dir
+from trendloom.sources.stored import conform
+
+NOW = f"timestamp'{AS_OF} 00:00:00'"
 
 # ---------------------------------------------------------------- search
 
@@ -172,10 +175,12 @@ def _(v):
     UNION ALL SELECT 4, c.name, 'keyword', keyword, NULL FROM t_keywords JOIN d_clusters c ON c.id = cluster_id WHERE cluster_id = 4
     UNION ALL SELECT 4, c.name, 'insight', 'text', 0.7 FROM d_clusters c WHERE id = 4""", **I_VIEWS)
 def _(v):
-    insights = _insights(v).select("cluster_id", F.lit("text").alias("insight_text"), F.lit(0.7).alias("confidence"))
-    found = serving.cluster_detail(
-        _clusters(v), 4, 4, keywords=_keywords(v), series=s_series(v), insights=insights, anomalies=_anoms(v), members=v.members(), documents=_docs(v)
-    )
+    insights = _insights(v).select(F.col("cluster_id").cast("string").alias("id"), "cluster_id", F.lit("text").alias("insight_text"), F.lit(0.7).alias("confidence"))
+    stored = {
+        "keywords": conform(_keywords(v), "keywords", F.expr(NOW)), "series": conform(s_series(v), "timeseries_summary", F.expr(NOW)),
+        "insights": conform(insights, "insights", F.expr(NOW)), "anomalies": conform(_anoms(v), "anomalies", F.expr(NOW)),
+    }
+    found = serving.cluster_detail(_clusters(v), 4, 4, members=v.members(), documents=_docs(v), **stored)
 
     def flat(part, df, value, number):
         return df.select("cluster_id", F.lit(part).alias("part"), value.cast("string").alias("value"), number.cast("double").alias("number"))
@@ -197,7 +202,7 @@ INSIGHTS = """SELECT doc_id AS id, (doc_id % 10)::INT AS cluster_id, 'about ' ||
 def _insight_table(v):
     return v.table("documents").selectExpr(
         "doc_id AS id", "cast(doc_id % 10 AS INT) AS cluster_id", "concat('about ', source) AS insight_text", "n_chars / 100000.0D AS confidence",
-        "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 30 AS INT)) AS generated_at",
+        "timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 30 AS INT)) AS generated_at", "'{}' AS llm_metadata",
     )
 
 
@@ -225,7 +230,8 @@ OWNED_KINDS = "SELECT DISTINCT event_type AS id, CASE WHEN event_type IN ('click
     ORDER BY anomaly_date DESC, cluster_id, type LIMIT 100""", **A_VIEWS, o_kinds=OWNED_KINDS)
 def _(v):
     kinds = v.table("events").selectExpr("event_type AS id", "CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 2 END AS user_id").distinct()
-    found = serving.list_anomalies(anomaly.detect_anomalies(v.series()), kinds, 1, start="2024-01-03", end="2024-01-28").rows
+    stored = conform(anomaly.detect_anomalies(v.series()), "anomalies", F.expr(NOW))
+    found = serving.list_anomalies(stored, kinds, 1, start="2024-01-03", end="2024-01-28").rows
     return day_text(rounded(found.select("cluster_id", "anomaly_date", "type", "score"), "score"), "anomaly_date")
 
 

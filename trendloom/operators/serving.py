@@ -19,6 +19,10 @@ DOCUMENT_COLUMNS = (
     "id", "user_id", "ingest_event_id", "source_path", "title", "processed", "processed_at", "created_at", "updated_at"
 )
 CLUSTER_COLUMNS = ("id", "user_id", "name", "document_count", "avg_sentiment", "trending_score", "created_at", "updated_at")
+KEYWORD_COLUMNS = ("id", "keyword", "weight", "created_at")
+SERIES_COLUMNS = ("id", "summary_date", "mention_count", "avg_sentiment", "momentum", "forecast_lower", "forecast_upper", "created_at")
+INSIGHT_COLUMNS = ("id", "insight_text", "confidence", "generated_at", "llm_metadata")
+ANOMALY_COLUMNS = ("id", "anomaly_date", "score", "type", "anomaly_metadata", "created_at")
 EVENT_STATES = ("pending", "processing", "completed", "failed")
 
 
@@ -122,21 +126,21 @@ def cluster_detail(
     one = _shown(clusters.where((F.col("id") == cluster_id) & (F.col("user_id") == user_id)), CLUSTER_COLUMNS)
 
     def part(table: DataFrame, *columns: str) -> DataFrame:
-        return owned(table.where(F.col("cluster_id") == cluster_id), clusters, user_id).select("cluster_id", *columns)
+        return _shown(owned(table.where(F.col("cluster_id") == cluster_id), clusters, user_id), ("cluster_id", *columns))
 
     titles = documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"))
     return ClusterDetail(
         one,
-        part(keywords, "keyword"),
-        part(series, "summary_date", "mention_count", "avg_sentiment", "momentum"),
-        part(insights, "insight_text", "confidence"),
-        part(anomalies, "anomaly_date", "type", "score"),
+        part(keywords, *KEYWORD_COLUMNS),
+        part(series, *SERIES_COLUMNS),
+        part(insights, *INSIGHT_COLUMNS),
+        part(anomalies, *ANOMALY_COLUMNS),
         part(members, "document_id", "membership_strength").join(titles, "document_id"),
     )
 
 
 def list_insights(insights: DataFrame, clusters: DataFrame, user_id, cluster_id=None, limit: int = 100, offset: int = 0) -> Page:
-    rows = owned(insights, clusters, user_id)
+    rows = _shown(owned(insights, clusters, user_id), ("cluster_id", *INSIGHT_COLUMNS))
     if cluster_id is not None:
         rows = rows.where(F.col("cluster_id") == cluster_id)
     return paginate_with_total(rows, [F.desc("generated_at"), F.asc("id")], limit, offset)
@@ -150,8 +154,8 @@ def list_anomalies(
     anomalies: DataFrame, clusters: DataFrame, user_id, *, cluster_id=None, kind: str | None = None, start: str | None = None,
     end: str | None = None, limit: int = 100, offset: int = 0,
 ) -> Page:
-    """An owner's anomalies, latest first; the date range is inclusive."""
-    rows = owned(anomalies, clusters, user_id)
+    """An owner's anomalies, latest first, then those found last; the date range is inclusive."""
+    rows = _shown(owned(anomalies, clusters, user_id), ("cluster_id", *ANOMALY_COLUMNS))
     if cluster_id is not None:
         rows = rows.where(F.col("cluster_id") == cluster_id)
     if kind is not None:
@@ -160,7 +164,7 @@ def list_anomalies(
         rows = rows.where(F.col("anomaly_date") >= F.to_date(F.lit(start)))
     if end is not None:
         rows = rows.where(F.col("anomaly_date") <= F.to_date(F.lit(end)))
-    order = [F.desc("anomaly_date"), *([F.desc("created_at")] if "created_at" in rows.columns else []), F.asc("cluster_id"), F.asc("type")]
+    order = [F.desc("anomaly_date"), F.desc("created_at"), F.asc("cluster_id"), F.asc("type"), F.asc("id")]
     return paginate_with_total(rows, order, limit, offset)
 
 
