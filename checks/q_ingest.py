@@ -11,6 +11,7 @@ from trendloom.functions.text import sanitize_name
 from trendloom.operators import bookkeeping as B
 from trendloom.operators import subscriptions as S
 from trendloom.plans.ingest import ingest, normalize_all
+from trendloom.plans.subscribed import ingest_subscribed
 from trendloom.runtime import shared_dir
 from trendloom.sources import landed, normalize, tables
 from trendloom.sources.stored import StoredTables
@@ -209,7 +210,8 @@ def _feed_batch(v):
 
 @query("b7_item_errors", """
     SELECT error, count(*) AS items FROM (
-        SELECT error FROM n_feed UNION ALL SELECT error FROM n_release UNION ALL SELECT error FROM n_issue) WHERE error IS NOT NULL GROUP BY 1""",
+        SELECT error FROM n_feed UNION ALL SELECT error FROM n_release UNION ALL SELECT error FROM n_issue
+        UNION ALL SELECT error FROM n_story UNION ALL SELECT error FROM n_commit UNION ALL SELECT error FROM n_pull) WHERE error IS NOT NULL GROUP BY 1""",
     **N_VIEWS)
 def _(v):
     def owned(df):
@@ -219,6 +221,9 @@ def _(v):
         "feed": _feed_batch(v),
         "release": owned(v.scan(v.releases_path(), schemas.RELEASE)),
         "issue": owned(v.scan(v.issues_path(), schemas.ISSUE)),
+        "story": owned(v.scan(v.stories_path(), schemas.STORY_ITEM).withColumn("pos", F.col("id"))),
+        "commit": owned(v.scan(v.commits_path(), schemas.COMMIT)),
+        "pr": owned(v.scan(v.pulls_path(), schemas.PULL_REQUEST)),
     }
     parts["feed"] = owned(parts["feed"].drop("user_id", "event_id"))
     _, failed = normalize.split_errors(normalize_all(parts))
@@ -441,6 +446,100 @@ def _(v):
     return made.groupBy("user_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.length("raw_text")).alias("characters"))
 
 
+ENDPOINTS = S.STORY_ENDPOINTS
+# Subscriptions that want the landed targets, each user by its own limits, switches, states and dates.
+A14_VIEWS = {
+    **D_VIEWS,
+    "w_users": "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'hackernews' ELSE 'github' END AS source, c_custkey // 3 AS j FROM customer",
+    "w_store": "SELECT c_custkey AS user_id, link AS source_path FROM customer JOIN r_feed ON page_id % 50 = c_custkey % 50 WHERE link <> ''",
+    "w_feed": """
+        SELECT u.user_id, 'feed' AS kind, r.feed_url AS target, n.pos AS number, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM (SELECT user_id, 1 + j % 5 AS lim, unnest(['feed' || j % 4, 'feed' || (j // 4) % 4]) AS feed FROM w_users WHERE source = 'rss') u
+        JOIN (SELECT *, row_number() OVER (PARTITION BY feed_url ORDER BY pos) AS rn FROM r_feed) r ON r.feed_url = u.feed AND r.rn <= u.lim
+        JOIN n_feed n ON n.pos = r.pos""",
+    "w_story": """
+        SELECT u.user_id, 'story', (j % 6)::VARCHAR, s.rn - 1, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM w_users u JOIN (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY id) AS rn FROM r_stories) s
+          ON s.list_no = u.j % 6 AND s.rn <= 1 + u.j % 7 AND s.type = 'story' AND NOT s.deleted AND NOT s.dead
+        JOIN n_story n ON n.pos = s.id WHERE u.source = 'hackernews'""",
+    "w_commit": """
+        SELECT u.user_id, 'commit', s.repo, NULL, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM w_users u JOIN (
+            SELECT *, row_number() OVER (PARTITION BY repo, v.since ORDER BY pos) AS rn FROM r_commits JOIN (VALUES (NULL), ('1996-01-01')) v(since) ON v.since IS NULL OR date >= v.since) s
+          ON s.repo = 'repo' || u.j % 3 AND s.since IS NOT DISTINCT FROM CASE WHEN u.j % 4 = 0 THEN '1996-01-01' END AND s.rn <= 1 + u.j % 4
+        JOIN n_commit n ON n.pos = s.pos WHERE u.source = 'github' AND u.j % 2 = 0""",
+    "w_states": "SELECT * FROM (VALUES ('all'), ('open'), ('closed')) t(wanted)",
+    "w_issue": """
+        SELECT u.user_id, 'issue', s.repo, NULL, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM w_users u JOIN (
+            SELECT *, row_number() OVER (PARTITION BY repo, wanted ORDER BY pos) AS rn FROM r_issues JOIN w_states ON (wanted = 'all' OR state = wanted) WHERE NOT is_pull) s
+          ON s.repo = 'repo' || u.j % 3 AND s.wanted = CASE u.j % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'all' END AND s.rn <= 1 + u.j % 4
+        JOIN n_issue n ON n.pos = s.pos WHERE u.source = 'github'""",
+    "w_pull": """
+        SELECT u.user_id, 'pr', s.repo, NULL, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM w_users u JOIN (SELECT *, row_number() OVER (PARTITION BY repo, wanted ORDER BY pos) AS rn FROM r_issues JOIN w_states ON (wanted = 'all' OR state = wanted)) s
+          ON s.repo = 'repo' || u.j % 3 AND s.wanted = CASE u.j % 7 WHEN 0 THEN 'closed' ELSE 'all' END AND s.rn <= 1 + u.j % 4
+        JOIN n_pull n ON n.pos = s.pos WHERE u.source = 'github'""",
+    "w_release": """
+        SELECT u.user_id, 'release', s.repo, NULL, n.item_id, n.dedupe_key, n.doc_text, n.error
+        FROM w_users u JOIN (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY pos) AS rn FROM r_releases) s ON s.repo = 'repo' || u.j % 3 AND s.rn <= 1 + u.j % 4
+        JOIN n_release n ON n.pos = s.pos WHERE u.source = 'github' AND u.j % 5 <> 0""",
+    "w_items": """SELECT * FROM w_feed UNION ALL SELECT * FROM w_story UNION ALL SELECT * FROM w_commit UNION ALL SELECT * FROM w_issue
+                  UNION ALL SELECT * FROM w_pull UNION ALL SELECT * FROM w_release""",
+    "w_new": """
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, dedupe_key ORDER BY kind, target, number, item_id) AS first FROM w_items i
+            WHERE error IS NULL AND NOT EXISTS (SELECT 1 FROM w_store s WHERE s.user_id = i.user_id AND s.source_path = i.dedupe_key AND i.dedupe_key <> ''))
+        WHERE first = 1 OR dedupe_key = ''""",
+}
+
+
+def _wanted(v):
+    """Subscriptions as the users state them, parameters as JSON."""
+    users = v.table("customer").selectExpr(
+        "c_custkey AS user_id", "CASE c_custkey % 3 WHEN 0 THEN 'rss' WHEN 1 THEN 'hackernews' ELSE 'github' END AS source", "c_custkey div 3 AS j")
+    endpoint = "element_at(array(" + ", ".join(f"'{e}'" for e in ENDPOINTS) + "), cast(j % 6 AS INT) + 1)"
+    params = f"""CASE source
+        WHEN 'rss' THEN to_json(named_struct('feed_urls', array(concat('http://feeds.example/feed', j % 4), concat('http://feeds.example/feed', (j div 4) % 4)), 'limit', 1 + j % 5))
+        WHEN 'hackernews' THEN to_json(named_struct('endpoint', {endpoint}, 'limit_per_endpoint', 1 + j % 7))
+        ELSE to_json(named_struct('owner', 'acme', 'repo', concat('repo', j % 3), 'limit_per_type', 1 + j % 4, 'include_commits', j % 2 = 0, 'include_releases', j % 5 <> 0,
+            'issue_state', CASE j % 5 WHEN 0 THEN 'open' WHEN 1 THEN 'closed' ELSE 'all' END, 'pr_state', CASE j % 7 WHEN 0 THEN 'closed' ELSE 'all' END,
+            'commit_since', CASE WHEN j % 4 = 0 THEN '1996-01-01' END)) END"""
+    return users.selectExpr("user_id", "source", f"{params} AS source_params")
+
+
+def _landed_targets(v):
+    """The landed files of all kinds; feeds and lists under the names that subscriptions may use."""
+    names = F.create_map(*[F.lit(x) for i, e in enumerate(ENDPOINTS) for x in (f"list{i}", e)])
+    return {
+        "feed": v.scan(v.feed_path(), schemas.FEED_ENTRY).withColumn("feed_url", F.concat(F.lit("http://feeds.example/"), "feed_url")),
+        "story_ids": v.scan(v.story_ids_path(), schemas.STORY_IDS).withColumn("endpoint", F.try_element_at(names, F.col("endpoint"))).where("endpoint IS NOT NULL"),
+        "story": v.scan(v.stories_path(), schemas.STORY_ITEM), "commit": v.scan(v.commits_path(), schemas.COMMIT),
+        "issue": v.scan(v.issues_path(), schemas.ISSUE), "pr": v.scan(v.pulls_path(), schemas.PULL_REQUEST), "release": v.scan(v.releases_path(), schemas.RELEASE),
+    }
+
+
+@query("a14_ingest_subscribed", """
+    SELECT user_id, count(*) AS total_fetched, coalesce(max(documents), 0) AS new_documents, count(*) - count(error) - coalesce(max(documents), 0) AS duplicates, count(error) AS errors,
+           coalesce(max(documents), 0) AS stored, coalesce(max(documents), 0) AS archived, coalesce(max(characters), 0)::BIGINT AS characters
+    FROM w_items LEFT JOIN (SELECT user_id, count(*) AS documents, sum(length(doc_text)) AS characters FROM w_new GROUP BY 1) USING (user_id) GROUP BY 1""", **A14_VIEWS)
+def _(v):
+    """Every user's due subscription over six kinds of landed items, against a store that knows some of them."""
+    users = v.table("customer").selectExpr("c_custkey AS id")
+    due = v.stored("due", lambda: B.due_subscriptions(users, _wanted(v), AS_OF))
+    known = v.table("customer").selectExpr("c_custkey AS user_id", "c_custkey % 50 AS g").join(
+        v.feed_raw().where("link <> ''").selectExpr("pos % 50 AS g", "link AS source_path"), "g").select("user_id", "source_path")
+    made = ingest_subscribed(due, _landed_targets(v), known, F.expr(NOW), archive=True)
+    path, archive = shared_dir(v.spark, "documents"), shared_dir(v.spark, "archive")
+    tables.append_rows(made.documents, path)
+    for _ in range(2):  # archiving a batch again must change nothing
+        tables.archive_snapshots(made.snapshots, archive, AS_OF)
+    docs = v.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("stored"), F.sum(F.length("raw_text")).alias("characters"))
+    kept = v.spark.read.parquet(archive).groupBy("user_id").agg(F.count(F.lit(1)).alias("archived"))
+    owners = due.select(F.col("id").alias("event_id"), "user_id")
+    out = made.stats.join(owners, "event_id").join(docs, "user_id", "left").join(kept, "user_id", "left").drop("event_id")
+    return out.fillna(0, ["stored", "archived", "characters"])
+
+
 @query("a14_requests", """
     SELECT source, target, item_limit, count(*) AS users FROM (
         SELECT 'rss' AS source, user_id, trim(unnest(urls)) AS target, 50 AS item_limit FROM j_rss JOIN j_rss_reason USING (user_id) WHERE reason IS NULL

@@ -7,6 +7,8 @@ told apart by type instead of by trial parsing.  Every rule is a column that is
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,8 +207,8 @@ def expand_scalar_or_list(rows: DataFrame) -> DataFrame:
     return kept.select(*rows.columns, "reason", "position", "target.owner", "target.repo")
 
 
-def requests(rows: DataFrame, default_limit: int = 50) -> DataFrame:
-    """Valid subscriptions as one row per (user, source, target) with defaults filled in.
+def requests(rows: DataFrame, default_limit: int = 50, keep: Sequence[str] = ()) -> DataFrame:
+    """Valid subscriptions as one row per (user, source, target) with defaults filled in, and the columns to ``keep``.
 
     Feeds: one row per url.  Stories: the endpoints, ``topstories`` when none is
     named; ``limit_per_endpoint`` goes before ``limit``.  Repositories: one row
@@ -228,7 +230,7 @@ def requests(rows: DataFrame, default_limit: int = 50) -> DataFrame:
         return F.coalesce(F.try_variant_get(p.variant, f"$.include_{name}", "boolean"), F.lit(True)).alias(f"include_{name}")
 
     return valid.select(
-        "user_id", "source", F.explode(targets).alias("target"), F.coalesce(number, F.lit(default_limit)).alias("item_limit"),
+        "user_id", "source", *keep, F.explode(targets).alias("target"), F.coalesce(number, F.lit(default_limit)).alias("item_limit"),
         *[flag(n) for n in ("commits", "issues", "prs", "releases")],
         F.coalesce(p.text("issue_state"), F.lit("all")).alias("issue_state"),
         F.coalesce(p.text("pr_state"), F.lit("all")).alias("pr_state"), p.text("commit_since").alias("commit_since"),

@@ -7,6 +7,7 @@ feed never travels whole to one task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,8 +32,8 @@ def first_per(df: DataFrame, keys: list[str], order: str, limit: int) -> DataFra
     return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
 
-def feed_entry_fields(raw: DataFrame) -> DataFrame:
-    """Landed feed entries in the shape the normaliser reads."""
+def feed_entry_fields(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Landed feed entries in the shape the normaliser reads, with the columns to ``keep``."""
 
     def text(name: str) -> Column:
         return F.coalesce(name, F.lit(""))
@@ -49,6 +50,7 @@ def feed_entry_fields(raw: DataFrame) -> DataFrame:
         text("published").alias("published"),
         text("author").alias("author"),
         tags.alias("tags"),
+        *keep,
     )
 
 
