@@ -78,6 +78,13 @@ def test_benchmark_in_blocks_and_empty(docs, odd, empty, benchmark, spark, monke
     assert decontamination.decontaminate(odd, nothing).count() == odd.count()
 
 
+def test_clean_rows_stay_beside_leaks_of_the_same_id(spark, docs):
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    rows = [(None, ITEM), (None, "clean text without id"), (5, ITEM), (5, "clean text of id five"), (6, None)]
+    kept = decontamination.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(str(r) for r in (rows[1], rows[3], rows[4]))
+
+
 def test_items_without_id_count(docs, spark):
     items = spark.createDataFrame([(None, ITEM), (None, "short item"), (1, "other words than those")], "item_id long, text string")
     found = decontamination.contaminated_documents(docs([ITEM, "a short item", "clean text"]), items)

@@ -95,3 +95,40 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 203: 203, 204: 203, 205: 203}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_dropping_judges_rows_not_ids(spark):
+    """Clean rows stay though their id is null or that of a copy; one row of each group stays."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, long), (5, "clean words under the same id as a copy"), (3, long + " end"), (None, long), (None, "clean words without id at all"), (7, "x y z"), (7, "x y z")]
+    kept = jaccard_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r[0] or 0), r[1]) for r in kept.collect()) == sorted([(3, long + " end"), (5, rows[1][1]), (0, rows[4][1]), (7, "x y z")])
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b-2", "one two three four"), ("a-1", "one two three four"), ("c", "other words than these"), (None, "one two three four"), ("d", None)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id string, text string"), shingle=3, percent=90).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([("a-1", 2, "a-1"), ("b-2", 2, "a-1"), ("c", 2, "c"), (None, 2, None), ("d", 0, "d")], key=str)
+
+
+def test_forest_keeps_components_with_fewer_pairs_than_documents():
+    import pyarrow as pa
+
+    from trendloom.llm.packing import press
+
+    rng = random.Random(3)
+    parts = [np.array([[rng.randrange(40) for _ in range(60)], [rng.randrange(40, 60) for _ in range(60)]], dtype=np.int64) for _ in range(5)]
+    table = pa.table([pa.array([0] * 5), pa.array([press(p) for p in parts], pa.binary())], names=["block", "tokens"])
+    out = jaccard_join._forest(table).to_pydict()
+    pairs = {(int(x), int(y)) for p in parts for x, y in p.T}
+    nodes = {n for p in pairs for n in p}
+
+    def components(edges):
+        root = {n: n for n in nodes}
+        for _ in nodes:
+            for x, y in edges:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    forest = list(zip(out["a"], out["b"]))
+    assert set(forest) <= pairs and len(forest) < len(nodes) and components(forest) == components(pairs)

@@ -209,7 +209,24 @@ def contaminated_documents(
     return out.withColumnRenamed("__id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that no test item covers; a row without id leaves only with another that has none."""
-    leaked = contaminated_documents(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__leaked")).distinct()
-    return docs.join(leaked, F.col(id_col).eqNullSafe(F.col("__leaked")), "left_anti")
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, threshold: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs`` that no test item covers, judged as in :func:`contaminated_documents`.
+
+    Each row is judged where it is scanned, by its own text, so null and
+    repeated ids make no difference and nothing is shuffled.
+    """
+    place = docs.columns.index(text_col)
+    out = docs
+    for items in _item_blocks(benchmark, item_col, item_text_col):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        def keep(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex(sent.value, min_match)
+            for batch in batches:
+                clean = [next(leaks_of(t.as_py(), index, min_match, threshold), None) is None for t in batch.column(place)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out

@@ -19,7 +19,7 @@ CLASS_RATIO = 1.3
 GROUP_DOCS = 32
 BLOCK_DOCS = 1024
 SENT_IDS = 1_000_000
-INFO, SIGNATURE, CANDIDATE, EQUAL, TOKENS = 0, 1, 2, 3, 4
+INFO, SIGNATURE, CANDIDATE, EQUAL, TOKENS, ANSWER = 0, 1, 2, 3, 4, 5
 _U = np.uint64
 
 
@@ -201,6 +201,7 @@ def _first_pass(shingle: int, percent: int, bits: int, part_bits: int, parts: in
         if not texts.num_rows:
             return FIRST.empty_table()
         sets = Sets(texts, shingle)
+        block = texts.column("block")[0].as_py()
         every = sets.slots(bits)
         slots = np.unique(every)
         edges = _part_edges(slots, bits, part_bits)
@@ -220,7 +221,7 @@ def _first_pass(shingle: int, percent: int, bits: int, part_bits: int, parts: in
                 number, sign = signatures([sets.tokens[c] for c in chosen[i : i + 1000]], schemes)
                 key, doc, a, b = _stars(sign, own[i : i + 1000][number])
                 out.append(_rows(CANDIDATE, a, b))
-                out.append(table_of(FIRST, [(SIGNATURE, p, None, None, press_ascending(key[w]), press(doc[w])) for p, w in split_keys(key, parts)]))
+                out.append(table_of(FIRST, [(SIGNATURE, p, block, None, press_ascending(key[w]), press(doc[w])) for p, w in split_keys(key, parts)]))
         return pa.concat_tables(out)
 
     return run
@@ -234,19 +235,60 @@ def hash_of(tokens: np.ndarray) -> bytes:
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of one partition to candidate pairs; other rows pass."""
-    keys, docs = [], []
+    """Signatures of one partition to an answer for each block: its documents and the least ones they met; other rows pass.
+
+    Documents that link meet in nearly every partition, so the pairs go back
+    packed, and the block gives out what all partitions told it once.
+    """
+    keys, docs, blocks = [], [], []
     for batch in batches:
         kind = batch.column(0).to_numpy()
         sign = kind == SIGNATURE
         if not sign.all():
             yield batch.select(MET.names).filter(pa.array(~sign))
         packed = pa.table(batch.filter(pa.array(sign)))
-        keys += open_ascending(packed.column("keys"))
+        opened = open_ascending(packed.column("keys"))
+        keys += opened
         docs += open_pressed(packed.column("docs"), np.int64)
-    if keys:
-        *_, a, b = _stars(np.concatenate(keys), np.concatenate(docs))
-        yield from _rows(CANDIDATE, a, b, MET).to_batches()
+        blocks += [np.full(len(k), b, np.int32) for k, b in zip(opened, packed.column("b").to_pylist(), strict=True)]
+    if not keys:
+        return
+    doc, block = np.concatenate(docs), np.concatenate(blocks)
+    *_, a, least = _stars(np.concatenate(keys), doc)
+    order = np.argsort(doc, kind="stable")
+    home = block[order][np.searchsorted(doc[order], a)]
+    order = np.argsort(home, kind="stable")
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1, append=-1))
+    answers = [(ANSWER, int(home[order[x]]), None, press(np.concatenate([a[order[x:y]], least[order[x:y]]]))) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    if answers:
+        yield from table_of(MET, answers).to_batches()
+
+
+PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _forest(table: pa.Table) -> pa.Table:
+    """All answers to one block as a spanning forest of the pairs in them: fewer pairs than documents, the same components."""
+    pairs = [p.reshape(2, -1) for p in open_pressed(table.column("tokens"), np.int64)]
+    a, b = np.concatenate(pairs, axis=1)
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    met = np.unique(place.reshape(2, -1).T, axis=0)
+    root = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    kept = []
+    for x, y in met.tolist():
+        p, q = find(x), find(y)
+        if p != q:
+            root[p] = q
+            kept.append((x, y))
+    chosen = np.array(kept, dtype=np.int64).reshape(-1, 2)
+    return pa.table([pa.array(names[chosen[:, 0]]), pa.array(names[chosen[:, 1]])], schema=PAIRS)
 
 
 class TokenGroups:
@@ -347,9 +389,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Null texts and texts without words have no shingles and link with nothing.
     Rows that share an id are one document with several sets.  A null id is
-    given back without component.  An empty table gives an empty result.
+    given back without component.  Ids may be of any type that can be ordered; those that are no whole numbers
+    are numbered first.  An empty table gives an empty result.
     """
     require(50 < percent <= 100 and shingle > 0, "percent must be above 50, shingle positive")
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return _components_by_number(docs, id_col, text_col, shingle, percent)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -363,7 +408,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = blocks.groupBy("block").cogroup(common.groupBy("block")).applyInArrow(
         _first_pass(shingle, percent, bits, part_bits, n), "kind byte, a long, b long, tokens binary, keys binary, docs binary")
     facts = cut_lineage(first.repartition(n, "a").mapInArrow(_meet, "kind byte, a long, b long, tokens binary"), "meetings")
-    candidates = facts.where(F.col("kind") == CANDIDATE).select("a", "b")
+    answers = facts.where(F.col("kind") == ANSWER).select(F.col("a").alias("block"), "tokens")
+    met = answers.groupBy("block").applyInArrow(_forest, "a long, b long")
+    candidates = facts.where(F.col("kind") == CANDIDATE).select("a", "b").unionByName(met)
     groups = connected_components(candidates)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     blocks = (F.ceil(F.col("size") / F.lit(BLOCK_DOCS))).cast("int")
@@ -391,10 +438,28 @@ def _count_only(shingle: int):
     return run
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component; rows without id stay."""
-    components = jaccard_components(docs, id_col=id_col, **options)
-    losers = cut_lineage(components.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__loser")).distinct(), "losers")
+def _components_by_number(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """As :func:`jaccard_components`, for ids that are no whole numbers: equal ids get one number, null ids none."""
+    named = docs.select(F.col(id_col).alias("__name"), F.col(text_col).alias("__text"))
+    names = cut_lineage(named.where("__name IS NOT NULL").select("__name").distinct().withColumn("__number", F.monotonically_increasing_id()), "names")
+    found = jaccard_components(named.join(names, "__name", "left").select("__number", "__text"), id_col="__number", text_col="__text", shingle=shingle, percent=percent)
+    rows = cut_lineage(found.join(names, "__number", "left"), "numbered")
+    least = rows.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("__name").alias("__least"))
+    return rows.join(least, "component_id", "left").select(F.col("__name").alias(id_col), "n_shingles", F.col("__least").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of ``docs`` of each group of linked rows: that with the least id, null ids last.
+
+    Every row is a document of its own, whether its id is null or repeated.
+    """
+    rows = cut_lineage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    components = jaccard_components(rows.select("__row", text_col), id_col="__row", text_col=text_col, **options)
+    linked = cut_lineage(components.where(F.col("__row") != F.col("component_id")).select("__row", F.col("component_id").alias("__group")), "linked")
+    members = linked.unionByName(linked.select(F.col("__group").alias("__row"), "__group").distinct())
+    named = members.join(rows.select("__row", F.col(id_col).alias("__name")), "__row")
+    first = named.groupBy("__group").agg(F.min(F.struct(F.col("__name").isNull(), "__name", "__row")).alias("__first"))
+    losers = cut_lineage(named.join(first, "__group").where(F.col("__row") != F.col("__first")["__row"]).select("__row"), "losers")
     # Sent to all tasks only while it is counted to be small; beyond that the texts are shuffled.
     sent = F.broadcast(losers) if losers.count() <= SENT_IDS else losers
-    return docs.join(sent, F.col(id_col) == F.col("__loser"), "left_anti")
+    return rows.join(sent, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
