@@ -31,10 +31,11 @@ WIDTH = 16
 CLASSES = 64
 FREQUENT = 2048
 BLOCK_BYTES = 8 << 20
-ROUNDS = 3
-BATCH = 64
+ROUNDS = 1
+BATCH = 512
 TRAINER_WINDOWS = 4096
-MAX_TRAINERS = 256
+#: Trainers' weights travel and are averaged in pieces of so many numbers.
+PIECE = 8192
 #: Fixed value: how the public byte-level vocabulary splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -212,7 +213,7 @@ def _base_scores(parts: int, tokens: int, words: int, trained: int):
 
 @dataclass
 class Weights:
-    """What gradient descent fits."""
+    """What gradient descent fits; ``last`` and ``before`` have one row for every subword."""
 
     last: np.ndarray
     before: np.ndarray
@@ -249,10 +250,10 @@ class Shares:
 
 def first_weights(shares: Shares, width: int = WIDTH, window: int = WINDOW, seed: int = 0) -> Weights:
     rng = np.random.default_rng(seed)
-    slots, classes = shares.log_class.shape
+    tokens, classes = len(shares.slot), shares.log_class.shape[1]
     draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
     return Weights(
-        draw(slots, width), draw(slots, width), draw(window, width), draw(width, width), draw(width, width), draw(width, width), draw(width, width),
+        draw(tokens, width), draw(tokens, width), draw(window, width), draw(width, width), draw(width, width), draw(width, width), draw(width, width),
         np.zeros((width, classes), np.float32), np.zeros(classes, np.float32))
 
 
@@ -276,7 +277,7 @@ def class_numbers(after: np.ndarray, counts: np.ndarray, classes: int, seed: int
 
 
 def forward(w: Weights, last: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Batched masked attention over windows (n, length) of slots; (inputs, q, k, v, attention, mixed, state)."""
+    """Batched masked attention over windows (n, length) of subword ids; (inputs, q, k, v, attention, mixed, state)."""
     x = w.last[last] + w.before[before] + w.place[: last.shape[1]]
     q, k, v = x @ w.query, x @ w.key, x @ w.value
     weight = q @ k.transpose(0, 2, 1)
@@ -303,55 +304,95 @@ def class_shares(w: Weights, scores: np.ndarray, log_class: np.ndarray) -> np.nd
     return scores
 
 
-def summed_rows(rows: np.ndarray, number: np.ndarray, total: int) -> np.ndarray:
-    """Sums of the rows that share a number."""
-    return np.stack([np.bincount(number, weights=rows[:, d], minlength=total) for d in range(rows.shape[1])], axis=1)
+def summed_rows(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct numbers, sums of the rows that share each)."""
+    order = np.argsort(number, kind="stable")
+    held = number[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    return held[first], np.add.reduceat(rows[order], first, axis=0)
 
 
-def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, np.ndarray]:
-    """Mean loss of the classes and its gradient over windows (n, length + 2) of subword ids: two before, then the targets.
+def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Mean loss of the classes over windows (n, length + 2) of subword ids (two before, then the targets), and its gradient.
 
-    -1 is no target; where ``counted`` is false a subword is only read.
+    The gradient comes whole for the small arrays and as (rows, gradients)
+    for the embeddings, of which a batch touches few.  -1 is no target; where ``counted`` is
+    false a subword is only read.
     """
-    slots = shares.slot[np.maximum(window, 0)]
-    last, before, target = slots[:, 1:-1], slots[:, :-2], window[:, 2:]
+    ids = np.maximum(window, 0)
+    last, before, target = ids[:, 1:-1], ids[:, :-2], window[:, 2:]
     x, q, k, v, weight, mixed, state = forward(w, last, before, mask)
     n, length, width = x.shape
-    real = ((target >= 0) & counted).ravel()
-    klass = shares.class_of[shares.slot[np.maximum(target, 0).ravel()]]
-    flat = state.reshape(-1, width)
-    d_scores = class_shares(w, flat @ w.classes, shares.log_class[last.ravel()])
-    m = max(1, int(real.sum()))
-    loss = float(-np.log(d_scores[np.arange(len(klass)), klass][real]).sum() / m)
-    d_scores[np.arange(len(klass)), klass] -= 1
-    d_scores *= (real / m).astype(np.float32)[:, None]
-    d_state = (d_scores @ w.classes.T).reshape(n, length, width)
+    real = np.flatnonzero(((target >= 0) & counted).ravel())
+    klass = shares.class_of[shares.slot[target.ravel()[real]]]
+    flat = state.reshape(-1, width)[real]
+    d_scores = class_shares(w, flat @ w.classes, shares.log_class[shares.slot[last.ravel()[real]]])
+    at, m = np.arange(len(real)), max(1, len(real))
+    loss = float(-np.log(d_scores[at, klass]).sum() / m)
+    d_scores[at, klass] -= 1
+    d_scores *= np.float32(1 / m)
+    d_state = np.zeros((n * length, width), dtype=x.dtype)
+    d_state[real] = d_scores @ w.classes.T
+    d_state = d_state.reshape(n, length, width)
     d_mixed = d_state @ w.out.T
     d_weight = d_mixed @ v.transpose(0, 2, 1)
     d_v = weight.transpose(0, 2, 1) @ d_mixed
-    d_raw = weight * (d_weight - (weight * d_weight).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(width))
-    d_q, d_k = d_raw @ k, d_raw.transpose(0, 2, 1) @ q
+    d_weight -= (weight * d_weight).sum(axis=2, keepdims=True)
+    d_weight *= weight
+    d_weight *= np.float32(1 / np.sqrt(width))
+    d_q, d_k = d_weight @ k, d_weight.transpose(0, 2, 1) @ q
     d_x = d_state + d_q @ w.query.T + d_k @ w.key.T + d_v @ w.value.T
     outer = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
     rows = d_x.reshape(-1, width)
-    grad = Weights(
-        summed_rows(rows, last.ravel(), len(w.last)), summed_rows(rows, before.ravel(), len(w.before)), np.vstack([d_x.sum(axis=0), np.zeros((len(w.place) - length, width))]),
-        outer(x, d_q), outer(x, d_k), outer(x, d_v), outer(mixed, d_state), flat.T @ d_scores, d_scores.sum(axis=0))
-    return loss, grad.flat().astype(np.float32)
+    small = {
+        "place": np.vstack([d_x.sum(axis=0), np.zeros((len(w.place) - length, width), dtype=x.dtype)]), "query": outer(x, d_q), "key": outer(x, d_k), "value": outer(x, d_v),
+        "out": outer(mixed, d_state), "classes": flat.T @ d_scores, "class_bias": d_scores.sum(axis=0),
+    }
+    return loss, small, {"last": summed_rows(rows, last.ravel()), "before": summed_rows(rows, before.ravel())}
+
+
+def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, np.ndarray]:
+    """As :func:`touched_gradient`, the gradient in one piece."""
+    loss, small, touched = touched_gradient(w, shares, window, mask, counted)
+    whole = dict(small)
+    for name, (rows, values) in touched.items():
+        whole[name] = np.zeros_like(getattr(w, name))
+        whole[name][rows] = values
+    return loss, np.concatenate([whole[f.name].ravel() for f in fields(w)]).astype(np.float32)
+
 
+def descend(w: Weights, shares: Shares, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.03) -> tuple[Weights, int]:
+    """Adam over batches of windows, with the rate falling as one over the root of the steps; (weights, windows seen).
 
-def descend(w: Weights, shares: Shares, windows: Iterable[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> tuple[Weights, int]:
-    """Adam over batches of windows, with the rate falling as one over the root of the steps; (weights, windows seen)."""
-    flat, mean, square, step, seen = w.flat(), 0.0, 0.0, 0, 0
+    Of the embeddings only the rows that a batch reads move, each corrected
+    by how often it has moved.
+    """
+    w = w.filled(w.flat().astype(np.float32))
+    mean, square = ({f.name: np.zeros_like(getattr(w, f.name)) for f in fields(w)} for _ in range(2))
+    moved = {name: np.zeros(len(getattr(w, name)), dtype=np.int32) for name in ("last", "before")}
+    step, seen = 0, 0
     mask = causal_mask(len(w.place))
+
+    def change(g: np.ndarray, m: np.ndarray, s: np.ndarray, times: np.ndarray | int, pace: float) -> np.ndarray:
+        m *= 0.9
+        m += np.float32(0.1) * g
+        s *= 0.99
+        s += np.float32(0.01) * g * g
+        return (pace * (m / (1 - 0.9**times)) / (np.sqrt(s / (1 - 0.99**times)) + 1e-8)).astype(np.float32)
+
     for window, counted in windows:
-        _, g = gradient(w.filled(flat), shares, window, mask, counted)
+        _, small, touched = touched_gradient(w, shares, window, mask, counted)
         step += 1
-        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
-        flat = flat - np.float32(rate / np.sqrt(1 + step / 100)) * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        flat = flat.astype(np.float32)
+        pace = rate / np.sqrt(1 + step / 100)
+        for name, g in small.items():
+            getattr(w, name)[...] -= change(g, mean[name], square[name], step, pace)
+        for name, (rows, g) in touched.items():
+            moved[name][rows] += 1
+            m, s = mean[name][rows], square[name][rows]
+            getattr(w, name)[rows] -= change(g, m, s, moved[name][rows, None].astype(float), pace)
+            mean[name][rows], square[name][rows] = m, s
         seen += len(window)
-    return w.filled(flat), seen
+    return w, seen
 
 
 def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray, step_windows: int = 1024) -> np.ndarray:
@@ -364,13 +405,11 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
     length = len(w.place)
     texts, size = len(at) - 1, np.diff(at)
     text, number, begin = window_places(at, length)
-    slots = shares.slot[stream]
-    end_slot = shares.slot[shares.end]
-    previous = np.concatenate([slots[:1], slots[:-1]])
-    second = np.concatenate([slots[:1], previous[:-1]])
-    previous[at[:-1]] = end_slot
-    second[at[:-1]] = end_slot
-    second[np.minimum(at[:-1] + 1, len(second) - 1)[size > 1]] = end_slot
+    previous = np.concatenate([stream[:1], stream[:-1]])
+    second = np.concatenate([stream[:1], previous[:-1]])
+    previous[at[:-1]] = shares.end
+    second[at[:-1]] = shares.end
+    second[np.minimum(at[:-1] + 1, len(second) - 1)[size > 1]] = shares.end
     out = np.zeros(texts)
     mask = causal_mask(length)
     for s in range(0, len(text), step_windows):
@@ -381,7 +420,7 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
         last = previous[place]
         # One product per window, so that equal texts have equal scores wherever they stand in the block.
         scores = (forward(w, last, second[place], mask)[-1] @ w.classes)[here]
-        token, before_it = stream[place[here]], last[here]
+        token, before_it = stream[place[here]], shares.slot[last[here]]
         own = shares.slot[token]
         klass = class_shares(w, scores, shares.log_class[before_it])[np.arange(len(own)), shares.class_of[own]]
         value = np.log(klass) + shares.log_in_class[before_it, own] + shares.token_share[token]
@@ -414,17 +453,17 @@ def count_shares(blocks: DataFrame, end: int, frequent: int = FREQUENT, classes:
     wide = frequent + 1
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(wide * wide, dtype=np.int32)
+        count = np.zeros(wide * wide, dtype=np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
                 b = Block.read(batch, row)
                 stream, at = b.stream(end)
                 s = slot[stream]
                 pair = np.concatenate([slot[[end]], s[:-1]]) * np.int32(wide) + s
-                count += np.bincount(pair[np.repeat(b.train, np.diff(at))], minlength=wide * wide).astype(np.int32)
+                count += np.bincount(pair[np.repeat(b.train, np.diff(at))], minlength=wide * wide)
         hit = np.flatnonzero(count)
         for i in range(0, len(hit), 500_000):
-            yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 500_000]), pa.array(count[hit[i : i + 500_000]].astype(np.int64))], names=["pair", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 500_000]), pa.array(count[hit[i : i + 500_000]])], names=["pair", "n"])
 
     table = blocks.select("block", "train", "words", "index", "tokens", "lengths").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(wide * wide, dtype=np.float32)
@@ -463,20 +502,30 @@ def training_windows(block: Block, end: int, window: int = WINDOW) -> Iterator[t
         yield ids.astype(np.int32), (np.arange(window) >= OVERLAP) | (number[n, None] == 0)
 
 
+def _averaged(table: pa.Table) -> pa.Table:
+    """One piece of the weights of all trainers, averaged by the windows they saw."""
+    seen = table.column("n").to_numpy()
+    total = 0.0
+    for piece, n in zip(table.column("weights"), seen, strict=True):
+        total = total + np.frombuffer(piece.as_py(), np.float32).astype(np.float64) * n
+    mean = (total / seen.sum()).astype(np.float32)
+    return pa.table([pa.array([table.column("piece")[0].as_py()], pa.int32()), pa.array([mean.tobytes()], pa.binary())], names=["piece", "weights"])
+
+
 def train_weights(blocks: DataFrame, shares: Shares, rounds: int = ROUNDS, window: int = WINDOW) -> Weights:
     """Rounds of gradient descent: each trainer goes once over all windows of its blocks, then weights are averaged by windows seen.
 
-    Windows are cut from the blocks table as they are used.  There is at most
-    one trainer for every ``TRAINER_WINDOWS`` windows, one per shuffle
-    partition and ``MAX_TRAINERS``, so what reaches the driver is bounded.
+    Windows are cut from the blocks table as they are used.  Trainers follow
+    the table's partitions, with ``TRAINER_WINDOWS`` windows each at least.  Each
+    piece of the weights is averaged on the executors, so one set of weights reaches the driver however many
+    trainers there are.
     """
     spark = blocks.sparkSession
     total = blocks.agg(F.sum("windows").alias("n")).first()["n"] or 0
     weights = first_weights(shares, window=window)
     if not total:
         return weights
-    trainers = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_TRAINERS, total // TRAINER_WINDOWS))
-    dealt = blocks.where("windows > 0").select("block", "train", "words", "index", "tokens", "lengths").coalesce(trainers)
+    dealt = blocks.where("windows > 0").select("block", "train", "words", "index", "tokens", "lengths").coalesce(max(1, min(total // TRAINER_WINDOWS, (1 << 31) - 1)))
     fixed = spark.sparkContext.broadcast(shares)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
@@ -484,10 +533,14 @@ def train_weights(blocks: DataFrame, shares: Shares, rounds: int = ROUNDS, windo
         def work(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             steps = (step for batch in batches for row in range(batch.num_rows) for step in training_windows(Block.read(batch, row), fixed.value.end, window))
             fitted, seen = descend(sent.value, fixed.value, steps)
-            yield pa.RecordBatch.from_arrays([pa.array([fitted.flat().tobytes()], pa.binary()), pa.array([seen])], names=["weights", "n"])
-
-        parts = [(np.frombuffer(r["weights"], np.float32), r["n"]) for r in dealt.mapInArrow(work, "weights binary, n long").collect() if r["n"]]
-        weights = weights.filled(sum(w.astype(np.float64) * n for w, n in parts).astype(np.float32) / np.float32(sum(n for _, n in parts)))
+            if seen:
+                flat = fitted.flat()
+                pieces = [flat[i : i + PIECE].tobytes() for i in range(0, len(flat), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.binary()), pa.array([seen] * len(pieces), pa.int64())], names=["piece", "weights", "n"])
+
+        made = dealt.mapInArrow(work, "piece int, weights binary, n long").groupBy("piece").applyInArrow(_averaged, "piece int, weights binary")
+        parts = {r["piece"]: np.frombuffer(r["weights"], np.float32) for r in made.collect()}
+        weights = weights.filled(np.concatenate([parts[i] for i in range(len(parts))]))
     return weights
 
 
