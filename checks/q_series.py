@@ -246,6 +246,20 @@ def _(v):
     return rounded(anomaly.isolation_forest(v.series(), ["mention_count", "avg_sentiment", "momentum"]), "score")
 
 
+@query("j5_forest_against_closed_form", """
+    SELECT cluster_id, count(*) AS days, 1 AS scores_are_shares, 1 AS top_day_is_extreme FROM d_series GROUP BY 1""")
+def _(v):
+    """The forest over mentions alone: its highest score stands on the least or the greatest day of the series."""
+    scored = anomaly.isolation_forest(v.series(), ["mention_count"])
+    days = scored.join(v.series().select("cluster_id", "summary_date", "mention_count"), ["cluster_id", "summary_date"])
+    per = days.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("days"), F.min("score").alias("low"), F.max("score").alias("high"), F.max_by("mention_count", F.round("score", 9)).alias("top"),
+        F.min("mention_count").alias("least"), F.max("mention_count").alias("most"))
+    return per.select(
+        "cluster_id", "days", F.when((F.col("low") > 0) & (F.col("high") < 1), 1).otherwise(0).alias("scores_are_shares"),
+        F.when((F.col("top") == F.col("least")) | (F.col("top") == F.col("most")), 1).otherwise(0).alias("top_day_is_extreme"))
+
+
 @query("j6_sentiment_anomalies", _anomaly_sql("a_raw", "type = 'sentiment_spike'"), **A_VIEWS)
 def _(v):
     return _anomaly_rows(anomaly.sentiment_anomalies(v.series()))

@@ -100,6 +100,30 @@ def _(v):
     return rounded(search.ann_search(v.spark, path, centres, _query_vector(v), n_probe=4), "distance")
 
 
+@query("n7_ann_all_lists", search_sql("JOIN d_documents d ON d.id = e.document_id", "d.user_id = 2 AND e.document_id % 11 <> 0", 10))
+def _(v):
+    """Lists written in two parts, some vectors retired, an owner's filter: with all lists probed the result is exact."""
+    centres = search.list_centres(v.embeddings(), lists=20)
+    path = shared_dir(v.spark, "lists")
+    search.write_lists(v.embeddings().where("document_id % 3 = 0"), centres, path, v.documents())
+    search.write_lists(v.embeddings().where("document_id % 3 <> 0"), centres, path, v.documents(), mode="append")
+    search.retire_vectors(v.embeddings().where("document_id % 11 = 0"), path)
+    return rounded(search.ann_search(v.spark, path, centres, _query_vector(v), n_probe=20, user_id=2), "distance")
+
+
+@query("n7_ann_recall", "SELECT count(*) AS queries, 10 * count(*) AS found, 1 AS recall_is_enough, 1 AS reads_less_than_half FROM d_embeddings")
+def _(v):
+    """Recall at ten of the inverted lists against exact search, every vector a query."""
+    queries = v.embeddings().withColumnRenamed("document_id", "query_id")
+    centres = search.list_centres(v.embeddings(), lists=20)
+    near = v.stored("near", lambda: search.ann_batch_search(queries, v.embeddings(), centres, n_probe=9))
+    exact = v.stored("exact", lambda: search.batch_search(queries, v.embeddings()))
+    hits = near.join(exact, ["query_id", "document_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    totals = near.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("found"))
+    return totals.join(hits).select(
+        "queries", "found", F.when(F.col("hits") >= 0.9 * F.col("found"), 1).otherwise(0).alias("recall_is_enough"), F.lit(int(2 * 9 < len(centres))).alias("reads_less_than_half"))
+
+
 @query("n7_ann_batch_search")
 def _(v):
     queries = v.embeddings().withColumnRenamed("document_id", "query_id")

@@ -262,29 +262,43 @@ def isolation_forest(series: DataFrame, columns: list[str], key: str = "cluster_
                      trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 42, chunk_rows: int = 65536) -> DataFrame:
     """Isolation score of every row over several columns.
 
-    A task grows one tree of one series from at most ``subsample`` rows drawn by
-    hash; rows are then scored in chunks of bounded size, so a long series
-    spreads over many tasks.
+    Each tree draws ``subsample`` rows of its series by hash.  A series of no
+    more rows gives them all to every tree and goes to one task once.  Of a longer one only rows
+    whose hash for a tree lies below a bound (from the series' length, with room for chance) are copied for
+    that tree, and a task grows one tree.  Rows are then scored in chunks of bounded size, so a long series spreads
+    over many tasks.
     """
     require(trees >= 1 and subsample >= 2, "trees and subsample must be positive")
     data = series.select(key, row, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    sampled = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = Window.partitionBy(key, "tree").orderBy(F.xxhash64(F.lit(seed), "tree", row), row)
-    sampled = sampled.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= subsample)
+    lengths = data.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    counted = data.join(lengths, key)
     key_type = series.schema[key].dataType.simpleString()
+    shape = f"{key} {key_type}, tree INT, node INT, col INT, cut DOUBLE, lft INT, rgt INT, depth DOUBLE, size INT"
+    order = [key, "tree", "node", "col", "cut", "lft", "rgt", "depth", "size"]
 
-    def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("_r")[columns].to_numpy(float)
-        rng = np.random.default_rng([seed, int(k[1])])
-        nodes = _grow(x, rng, int(np.ceil(np.log2(max(len(x), 2)))))
+    def tree_of(name, tree: int, x: np.ndarray) -> pd.DataFrame:
+        nodes = _grow(x, np.random.default_rng([seed, tree]), int(np.ceil(np.log2(max(len(x), 2)))))
         out = pd.DataFrame(nodes, columns=["col", "cut", "lft", "rgt", "depth"])
-        return out.assign(**{key: k[0], "tree": k[1], "node": range(len(out)), "size": len(x)})[
-            [key, "tree", "node", "col", "cut", "lft", "rgt", "depth", "size"]
-        ]
+        return out.assign(**{key: name, "tree": tree, "node": range(len(out)), "size": len(x)})[order]
 
-    forest = sampled.groupBy(key, "tree").applyInPandas(
-        grow, f"{key} {key_type}, tree INT, node INT, col INT, cut DOUBLE, lft INT, rgt INT, depth DOUBLE, size INT"
-    )
+    def grow_all(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(row)[columns].to_numpy(float)
+        return pd.concat([tree_of(k[0], t, x) for t in range(trees)])
+
+    def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return tree_of(k[0], int(k[1]), pdf.sort_values("_r")[columns].to_numpy(float))
+
+    short = counted.where(F.col("_n") <= subsample).drop("_n").groupBy(key).applyInPandas(grow_all, shape)
+    share = F.least(F.lit(1.0), (subsample + 8 * float(np.sqrt(subsample)) + 16) / F.col("_n"))
+
+    def drawn(tree: Column) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), tree, F.col(row)), F.lit(1 << 30))
+
+    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) < share * float(1 << 30))
+    sampled = counted.where(F.col("_n") > subsample).withColumn("tree", F.explode(chosen)).drop("_n")
+    draw = Window.partitionBy(key, "tree").orderBy(drawn(F.col("tree")), row)
+    sampled = sampled.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= subsample)
+    forest = sampled.groupBy(key, "tree").applyInPandas(grow, shape).unionByName(short)
     sizes = data.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).cast("int").alias("chunks"))
     chunked = data.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64(row), "chunks").cast("int")).drop("chunks")
     copies = forest.join(sizes, key).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")

@@ -91,21 +91,50 @@ def list_centres(embeddings: DataFrame, lists: int = LISTS, seed: int = 42, iter
     return np.array(model.clusterCenters())
 
 
-def write_lists(embeddings: DataFrame, centres: np.ndarray, path: str) -> None:
-    """Store vectors by list, so that a search reads only the probed folders."""
-    placed = with_pivot(_points(embeddings, "document_id", "embedding", None, "cosine", []), centres)
-    placed.select(F.col("id").alias("document_id"), F.col("vec").alias("embedding"), F.col("lst").alias("list_id")).write.partitionBy(
-        "list_id"
-    ).parquet(path)
+def write_lists(embeddings: DataFrame, centres: np.ndarray, path: str, documents: DataFrame | None = None, mode: str = "errorifexists") -> None:
+    """Store vectors by list, so that a search reads only the probed folders.
 
+    With ``documents`` each vector carries its owner (``user_id``).  ``mode``
+    "append" adds vectors to lists that stand already; their centres stay.
+    """
+    points = _points(embeddings, "document_id", "embedding", None, "cosine", [])
+    placed = with_pivot(points, centres).select(F.col("id").alias("document_id"), F.col("vec").alias("embedding"), F.col("lst").alias("list_id"))
+    if documents is not None:
+        placed = placed.join(documents.select(F.col("id").alias("document_id"), "user_id"), "document_id", "left")
+    placed.write.mode(mode).partitionBy("list_id").parquet(f"{path}/vectors")
+
+
+def retire_vectors(documents: DataFrame, path: str) -> None:
+    """Takes documents (column ``document_id``) out of the lists; vectors appended later under the same id stay out."""
+    documents.select("document_id").distinct().write.mode("append").parquet(f"{path}/retired")
+
+
+def _standing(spark: SparkSession, path: str) -> DataFrame:
+    """The vectors of all lists that have not been retired."""
+    rows = spark.read.parquet(f"{path}/vectors")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/retired")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return rows
+    return rows.join(spark.read.parquet(f"{path}/retired").distinct(), "document_id", "left_anti")
 
-def ann_search(spark: SparkSession, path: str, centres: np.ndarray, vector: list[float], limit: int = DEFAULT_LIMIT, n_probe: int = 1) -> DataFrame:
-    """Approximate search: only the ``n_probe`` nearest lists are read."""
+
+def ann_search(
+    spark: SparkSession, path: str, centres: np.ndarray, vector: list[float], limit: int = DEFAULT_LIMIT, n_probe: int = 1, user_id=None, max_distance: float | None = None,
+) -> DataFrame:
+    """Approximate search: only the ``n_probe`` nearest lists are read, then an owner's vectors kept.
+
+    The owner's filter comes after the probe, so an owner may get fewer than
+    ``limit`` rows unless all lists are probed; then the result is that of the exact search.
+    """
+    require(1 <= n_probe, "n_probe must be positive")
     q = np.asarray(vector, dtype=float)
     q = q / np.linalg.norm(q)
     probes = [int(i) for i in squared_distances(q[None, :], centres)[0].argsort(kind="stable")[:n_probe]]
-    rows = spark.read.parquet(path).where(F.col("list_id").isin(probes)).withColumn("model_name", F.lit("list"))
-    return search_embeddings(rows, list(q), limit, dim=len(q), model_name="list")
+    rows = _standing(spark, path).where(F.col("list_id").isin(probes)).withColumn("model_name", F.lit("list"))
+    if user_id is not None:
+        require("user_id" in rows.columns, "the lists were written without owners")
+        rows = rows.where(F.col("user_id") == user_id)
+    return search_embeddings(rows, list(q), limit, dim=len(q), model_name="list", max_distance=max_distance)
 
 
 def ann_batch_search(queries: DataFrame, embeddings: DataFrame, centres: np.ndarray, limit: int = DEFAULT_LIMIT, n_probe: int = 1,
