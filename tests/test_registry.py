@@ -9,6 +9,7 @@ from checks.compare import TABLES, canonical
 QUICK = (
     "a1_scan_feed_entries", "a4_valid_stories", "b1_normalize_feed_entry", "b5_normalize_pull_request", "c4_validate_subscriptions", "d3_ingest_stats",
     "d5_upsert_latest", "f1_lexicon_sentiment", "g5_update_centroids", "h3_keywords_tfidf", "i5_merge_forecast", "j8_detect_anomalies",
+    "j5_forest_against_closed_form", "l6_skip_incomplete", "n7_ann_all_lists", "o4_cluster_detail", "o7_list_anomalies", "a14_ingest_subscribed",
     "k6_trending_score", "l5_recent_anomalies", "m3_upsert_projections", "n4_search_documents", "o11_primary_cluster",
 )
 

@@ -77,6 +77,15 @@ def test_isolation_forest_ranks_like_the_closed_form(spark):
     assert sorted(score, key=score.get)[-2:] == [day(9), day(6)] and len(score) == 10
 
 
+def test_isolation_forest_samples_long_series(spark):
+    """A series longer than the sample keeps its outliers on top, beside one that every tree sees whole."""
+    rows = series(spark, [("long", d, 1000 if d == 700 else d % 7, 0.0, 0.0) for d in range(900)] + [("short", d, 50 if d == 3 else 5, 0.0, 0.0) for d in range(10)])
+    scored = anomaly.isolation_forest(rows, ["mention_count"], trees=30, subsample=64, chunk_rows=200)
+    assert scored.count() == 910
+    top = {r.cluster_id: r.d for r in scored.groupBy("cluster_id").agg(F.max_by("summary_date", "score").alias("d")).collect()}
+    assert top == {"long": day(700), "short": day(3)}
+
+
 def test_forecast_needs_two_days_and_covers_the_future(spark):
     rows = series(spark, [("a", d, 10 + d, 0.0, 0.0) for d in range(15)] + [("b", 0, 3, 0.0, 0.0)])
     bands = timeseries.forecast_band(rows)
