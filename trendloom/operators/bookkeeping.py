@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from trendloom.functions.text import is_blank, present
 
 
+def _told_apart(items: DataFrame, key: str) -> DataFrame:
+    """Adds ``_own``: the key, or a value of the row's own where it has none, so that keyless rows never meet in one task."""
+    own = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
+    return items.withColumn("_own", F.when(present(F.col(key)), F.col(key)).otherwise(own))
+
+
 def dedupe_against_store(items: DataFrame, store: DataFrame, key: str = "dedupe_key") -> DataFrame:
     """Drop items whose (owner, key) is stored already.
 
     An empty key is never a duplicate, and owners do not see each other's
-    documents.  Keyless items skip the join, so they cannot pile up in one task.
+    documents.  The items are read once.
     """
-    keyed, keyless = items.where(present(F.col(key))), items.where(~present(F.col(key)))
     known = store.select(F.col("user_id").alias("_u"), F.col("source_path").alias("_k")).where("_k <> ''")
-    same = F.col("user_id").eqNullSafe(F.col("_u")) & (F.col(key) == F.col("_k"))
-    return keyed.join(known, same, "left_anti").unionByName(keyless)
+    same = F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("_own") == F.col("_k")) & present(F.col(key))
+    return _told_apart(items, key).join(known, same, "left_anti").drop("_own")
 
 
 def dedupe_within_batch(items: DataFrame, key: str = "dedupe_key", order: str = "pos") -> DataFrame:
@@ -25,11 +30,10 @@ def dedupe_within_batch(items: DataFrame, key: str = "dedupe_key", order: str =
 
     The rank is bounded by one, so each input partition keeps one candidate per
     key before the shuffle: a key with a third of the rows costs one row per
-    partition.
+    partition.  The items are read once.
     """
-    keyed, keyless = items.where(present(F.col(key))), items.where(~present(F.col(key)))
-    first = F.row_number().over(Window.partitionBy("user_id", key).orderBy(order))
-    return keyed.withColumn("_first", first).where("_first = 1").drop("_first").unionByName(keyless)
+    first = F.row_number().over(Window.partitionBy("user_id", present(F.col(key)), "_own").orderBy(order))
+    return _told_apart(items, key).withColumn("_first", first).where("_first = 1").drop("_first", "_own")
 
 
 def new_items(items: DataFrame, store: DataFrame, within_batch: bool = True, key: str = "dedupe_key", order: str = "pos") -> DataFrame:
