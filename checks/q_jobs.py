@@ -203,7 +203,7 @@ def _(v):
         "user_id", "concat(event_type, '-', cast(floor(value) AS BIGINT)) AS source_path"
     )
     path = shared_dir(v.spark, "fresh")
-    jobs.stream_dedupe(items, lambda: stored, path, shared_dir(v.spark, "progress"), watermark="60 days")
+    jobs.stream_dedupe(items, lambda: stored, path, shared_dir(v.spark, "progress"))
     return v.spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("items"))
 
 
