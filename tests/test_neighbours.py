@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trendloom.operators import projection, search
 from trendloom.operators.neighbours import knn_graph
@@ -87,3 +88,38 @@ def test_graph_layout_keeps_neighbours_better_than_pca(spark, vectors):
     flat = projection.project_2d(rows, method="pca").toPandas().sort_values("document_id")[["x", "y"]].to_numpy()
     graph = projection.project_2d(rows, epochs=15).toPandas().sort_values("document_id")[["x", "y"]].to_numpy()
     assert np.isfinite(graph).all() and trust(x, graph) > trust(x, flat)
+
+
+def test_every_pair_of_a_group_can_repel(spark):
+    n = 3000
+    places = spark.range(n).select(F.lit(0).alias("grp"), "id", F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    places = projection.with_cells(places.unionByName(places.where("id < 3").withColumn("grp", F.lit(1))))
+    met = projection.tries_in_cells(places, 0, 7).toPandas()
+    big, small = met[met.grp == 0], met[met.grp == 1]
+    assert len(big) == n * projection.NEGATIVES and len(small) == 3 * projection.NEGATIVES
+    assert set(small.oid) <= {0, 1, 2} and (big.bx == big.oid).all() and (big.ax == big.id).all()
+    assert big.oid.nunique() > 0.95 * n and big.oid.value_counts().max() < 8 * projection.NEGATIVES
+    assert abs(big.groupby("id").oid.mean().mean() - n / 2) < n / 20
+    again = projection.tries_in_cells(places.repartition(7), 0, 7).toPandas()
+    order = ["grp", "id", "oid"]
+    assert met.sort_values(order)[order].values.tolist() == again.sort_values(order)[order].values.tolist()
+
+
+def test_spectral_start_finds_the_leading_eigenvectors(spark):
+    rng = np.random.default_rng(3)
+    part = np.repeat([0, 1, 2], 12)
+    w = np.where(part[:, None] == part[None], 1.0, 0.02) * rng.uniform(0.5, 1.0, (36, 36))
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    edges = spark.createDataFrame([(g, i, j, float(w[i, j])) for g in (0, 1) for i in range(36) for j in range(36) if i != j], "grp INT, a LONG, b LONG, w DOUBLE")
+    start = rng.normal(size=(37, 2))
+    places = spark.createDataFrame([(g, i, *map(float, start[i])) for g in (0, 1) for i in range(37)] + [(2, 0, 1.5, 2.5)], "grp INT, id LONG, x DOUBLE, y DOUBLE")
+    found = projection.spectral_start(places, edges, rounds=25).toPandas().sort_values(["grp", "id"])
+    a, b = (found[found.grp == g][["x", "y"]].to_numpy() for g in (0, 1))
+    assert found[found.grp == 2][["x", "y"]].values.tolist() == [[1.5, 2.5]]  # nor does a group without any
+    assert np.allclose(a, b) and np.allclose(a[36], start[36])  # a point without an edge stays
+    d = w.sum(1)
+    values, vectors_ = np.linalg.eigh(w / np.sqrt(np.outer(d, d)))
+    wanted = vectors_[:, -3:-1]
+    ours = a[:36] * np.sqrt(d)[:, None]
+    ours, _ = np.linalg.qr(ours)
+    assert np.linalg.svd(wanted.T @ ours, compute_uv=False).min() > 0.999
