@@ -185,6 +185,29 @@ def test_assignments_inside_longer_values():
     assert len(found(text)) == 40_000
 
 
+def test_key_names_and_quoted_values_are_whole():
+    found = lambda text: [c for _, c in secret_scan.candidates(text)]
+    assert found("password_for_production_database=hunter2x") == ["hunter2x"]
+    assert found("x" * 100 + "_password_" + "y" * 100 + " = hunter2x") == ["hunter2x"]
+    assert found("password        =        hunter2x") == ["hunter2x"]
+    assert found('"db-password": "correct horse battery"; user="some body"') == ["correct horse battery"]
+    assert found("secret='it is \"quoted\" here'") == ['it is "quoted" here']
+    assert found('token="openended1 next word') == ["openended1"]
+    assert found("the password. Then a = hunter2x") == []
+    text = "k" * 300_000 + "password" * 100_000 + "=hunter2x" + ' token="' * 50_000
+    assert found(text)[0] == "hunter2x"
+
+
+def test_training_takes_equal_findings_once(docs):
+    line = 'token = "0123456789abcdef0123"'
+    texts = [line] * 300 + [f"{'pad ' * 20}token = 'a1b2c3d4e5f6{i:04d}'{' pad' * 20}" for i in range(20)] + [f"paid with 47853805923{i:05d} today" for i in range(20)]
+    findings = secret_scan.find_candidates(docs(texts), frozenset({"paid"}))
+    forest = secret_scan.train_forest(secret_scan.rule_labels(findings), trees=3, max_findings=21)
+    assert forest is not None and forest.trees[0].numClasses == 2
+    labelled = secret_scan.rule_labels(findings).where("label = 1").select("candidate", "before", "after", "path")
+    assert labelled.count() == 320 and labelled.distinct().count() == 21
+
+
 def test_features_see_whole_candidates():
     words = frozenset({"house"})
     plain, mixed = ("house" * 60 + end for end in ("house" * 60, "A1b2-" * 60))

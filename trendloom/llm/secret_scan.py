@@ -23,11 +23,12 @@ KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key"
 DUMMY_PARTS = ("test", "tests", "example", "examples", "sample", "mock", "fixture", "fixtures", "doc", "docs", "demo")
 
 #: A run of twelve or more key characters, or an assignment; :func:`candidates` decides which count.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?P<run>[A-Za-z0-9+/_-]{12,}+)|[=:]\s{0,2}(?P<quote>[\"']?)")
-#: What is assigned: up to white space or a quote, without quotes also up to the next assignment of a list.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])(?P<run>[A-Za-z0-9+/_-]{12,}+)|[=:]\s{0,2}[ \t]*+(?P<quote>[\"']?)")
+#: What is assigned, six characters at least: in quotes up to the closing one in the line, or else up to white space or a quote,
+#: and without quotes also up to the next assignment of a list.
+CLOSED = {'"': re.compile(r'[^"\r\n]{6,}+(?=")'), "'": re.compile(r"[^'\r\n]{6,}+(?=')")}
 QUOTED = re.compile(r"[^\s\"']{6,}+")
 PLAIN = re.compile(r"(?:[^\s\"'&;,?#|]|[&;,?#|](?!(?:amp;)?[\w.\[\]-]{1,64}+[=:])){6,}+")
-NAMED = re.compile(r"(?:" + "|".join(KEY_WORDS) + r")[\w-]{0,16}[\"']?\s{0,2}$", re.IGNORECASE)
 MIXED = re.compile(r"\d|[a-z0-9+/_-][A-Z]")
 WORD = re.compile(r"[^\W_]+")
 CLASSES = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
@@ -86,6 +87,31 @@ def features(candidate: str, before: str, after: str, path: str, words: frozense
     ]
 
 
+def key_name(text: str, end: int) -> str:
+    """The whole name that stands before ``end``, without a quote and white space after it."""
+    while end and text[end - 1] in " \t":
+        end -= 1
+    for _ in range(2):
+        end -= bool(end and text[end - 1] in "\r\n")
+    end -= bool(end and text[end - 1] in "\"'")
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return text[start:end]
+
+
+def names_secret(name: str) -> bool:
+    low = name.lower()
+    return any(k in low for k in KEY_WORDS)
+
+
+def assigned(text: str, at: int, quote: str) -> re.Match | None:
+    """The value that begins at ``at``, after an opening ``quote`` if there is one."""
+    if not quote:
+        return PLAIN.match(text, at)
+    return CLOSED[quote].match(text, at) or QUOTED.match(text, at)
+
+
 def candidates(text: str) -> Iterator[tuple[int, str]]:
     """(start, string): values that a named key is given, and key-like runs with a digit or with capitals after the first.
 
@@ -98,7 +124,7 @@ def candidates(text: str) -> Iterator[tuple[int, str]]:
         if m["run"] is not None:
             if MIXED.search(m["run"]):
                 yield m.start(), m["run"]
-        elif NAMED.search(text, max(0, m.start() - 40), m.start()) and (value := (QUOTED if m["quote"] else PLAIN).match(text, at)):
+        elif names_secret(key_name(text, m.start())) and (value := assigned(text, at, m["quote"])):
             yield at, value[0]
             at = value.end()
 
@@ -151,9 +177,12 @@ def rule_labels(findings: DataFrame) -> DataFrame:
 def train_forest(labelled: DataFrame, *, label_col: str = "label", max_findings: int = TRAINING_FINDINGS, trees: int = 30, depth: int = 8, seed: int = 0) -> RandomForestClassificationModel | None:
     """A forest from labelled findings, at most ``max_findings`` of each label in the order of their hash.
 
+    Equal findings (same string, neighbourhood and path) count once, so a line
+    that many documents share cannot fill the sample.
     Without findings of both labels there is nothing to learn and no model.
     """
-    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("double").alias("label"), array_to_vector("features").alias("vector"), F.xxhash64("candidate", "before", "after").alias("order"))
+    known = labelled.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("double").alias("label"), array_to_vector("features").alias("vector"), F.xxhash64("candidate", "before", "after", "path").alias("order"))
+    known = known.dropDuplicates(["label", "order"])
     parts = [known.where(F.col("label") == c).orderBy("order").limit(max_findings) for c in (0.0, 1.0)]
     sample = parts[0].unionByName(parts[1]).drop("order").cache()
     try:
