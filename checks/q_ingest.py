@@ -35,6 +35,16 @@ def _(v):
     return entries.withColumn("tags", F.array_join("tags", ", "))
 
 
+@query("a1_scan_feed_xml", """
+    SELECT 'http://feed.example/' || page_id AS feed_url, i AS pos, CASE WHEN (page_id + i) % 3 = 0 THEN 'http://x.example/' || page_id || '/' || i ELSE 'g' || page_id || '-' || i END AS id,
+           url || ' ' || i AS title, 'http://x.example/' || page_id || '/' || i AS link, '<b>' || i || '</b> & more' AS summary,
+           CASE WHEN i % 2 = 0 THEN 'news, tech' ELSE '' END AS tags
+    FROM pages, unnest(range(0, least(50, page_id % 60 + 1))) AS u(i)""")
+def _(v):
+    entries = landed.scan_feed_xml(v.spark, v.feed_xml_path(), F.col("channel_link"))
+    return entries.select("feed_url", "pos", "id", "title", "link", "summary", F.array_join("tags", ", ").alias("tags"))
+
+
 @query("a2_scan_story_ids", """
     SELECT 'list' || list_no AS endpoint, CAST(rn - 1 AS INT) AS pos, id
     FROM (SELECT *, row_number() OVER (PARTITION BY list_no ORDER BY id) AS rn FROM r_stories) WHERE rn <= 50""")

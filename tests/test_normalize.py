@@ -95,6 +95,18 @@ def test_feed_xml_scan(spark, tmp_path):
     assert rows["A"].id == "http://a" and rows["A"].tags == ["x"] and rows["B"].id == "g"
 
 
+def test_feed_xml_keeps_document_order_of_many_feeds(spark, tmp_path):
+    for f, n in (("a", 70), ("b", 1), ("c", 0)):
+        items = "".join(f"<item><title>{f}{i}</title><description>{'long ' * 200}</description></item>" for i in range(n))
+        (tmp_path / f"{f}.xml").write_text(f"<rss><channel><link>http://{f}</link>{items}</channel></rss>")
+    (tmp_path / "d.xml").write_text("no feed at all")
+    (tmp_path / "e.xml").write_text("")
+    rows = landed.scan_feed_xml(spark, str(tmp_path), F.regexp_extract("path", r"(\w+)\.xml$", 1)).collect()
+    assert sorted((r.feed_url, r.pos, r.title) for r in rows) == sorted([("a", i, f"a{i}") for i in range(50)] + [("b", 0, "b0")])
+    links = {r.feed_url for r in landed.scan_feed_xml(spark, str(tmp_path), F.col("channel_link"), limit=1).collect()}
+    assert links == {"http://a", "http://b"}
+
+
 def test_dedupe_rules(spark):
     items = spark.createDataFrame(
         [("u", "k", 1), ("u", "k", 2), ("v", "k", 3), ("u", "", 4), ("u", "", 5), (None, "k", 6), ("u", "old", 7)], "user_id STRING, dedupe_key STRING, pos INT"

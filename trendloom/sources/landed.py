@@ -60,26 +60,35 @@ def scan_feed_entries(spark: SparkSession, path: str, limit: int = DEFAULT_LIMIT
     return feed_entry_fields(first_per(raw, ["feed_url"], "pos", limit))
 
 
-def scan_feed_xml(spark: SparkSession, path: str, feed_url: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """Entries of landed feed XML files (``<item>`` rows), in document order of the file."""
-    ddl = (
-        "guid STRING, title STRING, link STRING, description STRING, `content:encoded` STRING, "
-        "pubDate STRING, author STRING, category ARRAY<STRING>"
+def scan_feed_xml(spark: SparkSession, path: str, feed_url: str | Column, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """First ``limit`` entries of landed feed XML documents, one file a feed, in document order.
+
+    ``path`` may name many files; ``feed_url`` is then a column over ``path``
+    (the file) and ``channel_link``.  A feed document is read whole and parsed
+    once, so an entry's ``pos`` is its place in its document whatever the
+    splits.  Files without a channel or entries give no rows.
+    """
+    item = (
+        "STRUCT<guid: STRING, title: STRING, link: STRING, description: STRING, `content:encoded`: STRING, "
+        "pubDate: STRING, author: STRING, category: ARRAY<STRING>>"
     )
-    items = spark.read.format("xml").option("rowTag", "item").schema(ddl).load(path)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_xml("value", f"channel STRUCT<link: STRING, item: ARRAY<{item}>>").alias("d"))
+    items = files.select("path", F.col("d.channel.link").alias("channel_link"), F.posexplode(F.slice("d.channel.item", 1, limit)).alias("pos", "e"))
+    e = F.col("e")
+    content = e["content:encoded"]
     raw = items.select(
-        F.lit(feed_url).alias("feed_url"),
-        F.monotonically_increasing_id().alias("pos"),
-        F.col("guid").alias("id"),
-        "title",
-        "link",
-        F.col("description").alias("summary"),
-        F.when(F.col("content:encoded").isNotNull(), F.array(F.struct(F.col("content:encoded").alias("value")))).alias("content"),
-        F.col("pubDate").alias("published"),
-        "author",
-        F.transform("category", lambda c: F.struct(c.alias("term"))).alias("tags"),
+        (F.lit(feed_url) if isinstance(feed_url, str) else feed_url).alias("feed_url"),
+        F.col("pos").cast("bigint").alias("pos"),
+        e["guid"].alias("id"),
+        e["title"].alias("title"),
+        e["link"].alias("link"),
+        e["description"].alias("summary"),
+        F.when(content.isNotNull(), F.array(F.struct(content.alias("value")))).alias("content"),
+        e["pubDate"].alias("published"),
+        e["author"].alias("author"),
+        F.transform(e["category"], lambda c: F.struct(c.alias("term"))).alias("tags"),
     )
-    return feed_entry_fields(first_per(raw, ["feed_url"], "pos", limit))
+    return feed_entry_fields(raw)
 
 
 def scan_story_ids(spark: SparkSession, path: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
