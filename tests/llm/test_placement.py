@@ -33,6 +33,21 @@ def marked(df):
     return sorted(tuple(r) for r in exact_dedup.mark_exact_duplicates(df, "doc_id", "text").select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())
 
 
+@pytest.mark.parametrize("table_bytes", [exact_dedup.TABLE_BYTES, 1000])
+def test_exact_duplicates_by_text_ids(spark, monkeypatch, table_bytes):
+    monkeypatch.setattr(exact_dedup, "TABLE_BYTES", table_bytes)
+    texts = [f"text {i % 40} " * (i % 40) for i in range(200)]
+    ids = [None if i % 50 == 7 else f"{'aé😀'[i % 3]}-{i}" for i in range(200)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id STRING, text STRING").repartition(5)
+    best = {t: max((d for d, x in zip(ids, texts, strict=True) if x == t and d is not None), default=None) for t in texts}
+    want = [(d, best[t], texts.count(t), d == best[t], hashlib.sha256(t.encode()).hexdigest()) for d, t in zip(ids, texts, strict=True)]
+    key = lambda r: (r[4], str(r[0]))
+    got = exact_dedup.mark_exact_duplicates(df, "doc_id", "text").select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    decimals = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id INT, text STRING").selectExpr("cast(doc_id AS DECIMAL(5, 1)) AS doc_id", "text")
+    assert [(r.keep_id, r.kept) for r in exact_dedup.mark_exact_duplicates(decimals, "doc_id", "text").orderBy("doc_id").collect()] == [("2.0", False), ("2.0", True)]
+
+
 @pytest.mark.parametrize("table_bytes", [exact_dedup.TABLE_BYTES, 2000])
 def test_exact_duplicates(docs, odd, empty, monkeypatch, table_bytes):
     monkeypatch.setattr(exact_dedup, "TABLE_BYTES", table_bytes)

@@ -5,15 +5,23 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 TABLE_BYTES = 24 << 20
 FAN_OUT_BITS = 4
-CONTENT = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("keep", pa.int64()), ("n", pa.int64())])
+
+
+def content_schema(ids: pa.DataType) -> pa.Schema:
+    return pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("keep", ids), ("n", pa.int64())])
+
+
+CONTENT = content_schema(pa.int64())
 
 
 class ContentTable:
@@ -23,7 +31,7 @@ class ContentTable:
         self.slots = np.full(1024, -1, dtype=np.int64)
         self.digests: list[bytes] = []
         self.contents: list[bytes] = []
-        self.keep: list[int] = []
+        self.keep: list[int | str | None] = []
         self.n: list[int] = []
         self.bytes = 0
 
@@ -36,7 +44,7 @@ class ContentTable:
             slot = (slot + 1) & mask
         return slot, -1
 
-    def add(self, digest: bytes, content: bytes, keep: int | None, n: int) -> None:
+    def add(self, digest: bytes, content: bytes, keep: int | str | None, n: int) -> None:
         slot, at = self._probe(digest, content)
         if at >= 0:
             self.n[at] += n
@@ -64,7 +72,7 @@ class ContentTable:
             yield pa.record_batch([pa.array(columns[f.name][i : i + step], f.type) for f in schema], schema=schema)
 
 
-def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _combine(batches: Iterable[pa.RecordBatch], stored: pa.Schema = CONTENT) -> Iterator[pa.RecordBatch]:
     """Merges equal contents of one input split before anything is shuffled."""
     table = ContentTable()
     for batch in batches:
@@ -72,9 +80,9 @@ def _combine(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = content.as_py()
             table.add(hashlib.sha256(raw).digest(), raw, keep.as_py(), 1)
             if table.bytes > TABLE_BYTES:
-                yield from table.batches(CONTENT)
+                yield from table.batches(stored)
                 table = ContentTable()
-    yield from table.batches(CONTENT)
+    yield from table.batches(stored)
 
 
 def _bucket(digest: bytes, level: int) -> int:
@@ -82,7 +90,7 @@ def _bucket(digest: bytes, level: int) -> int:
     return (int.from_bytes(digest[:8], "big") >> (60 - bit)) & ((1 << FAN_OUT_BITS) - 1)
 
 
-def _grace(records: Iterable[pa.RecordBatch], level: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _grace(records: Iterable[pa.RecordBatch], level: int, schema: pa.Schema, stored: pa.Schema = CONTENT) -> Iterator[pa.RecordBatch]:
     """Distinct contents of ``records``: in one table if they fit, else bucket by bucket from spill files.
 
     The first table stays open while further records come; once it is full,
@@ -99,33 +107,35 @@ def _grace(records: Iterable[pa.RecordBatch], level: int, schema: pa.Schema) ->
             if table.bytes > TABLE_BYTES and level * FAN_OUT_BITS < 60:
                 if not files:
                     files = [f"{folder}/{i}" for i in range(1 << FAN_OUT_BITS)]
-                    writers = [pa.ipc.new_stream(f, CONTENT, options=pa.ipc.IpcWriteOptions(compression="zstd")) for f in files]
-                _spill(table, level, writers)
+                    writers = [pa.ipc.new_stream(f, stored, options=pa.ipc.IpcWriteOptions(compression="zstd")) for f in files]
+                _spill(table, level, writers, stored)
                 table = ContentTable()
         if not files:
             yield from table.batches(schema)
             return
-        _spill(table, level, writers)
+        _spill(table, level, writers, stored)
         del table
         for w in writers:
             w.close()
         for f in files:
             with pa.OSFile(f) as source, pa.ipc.open_stream(source) as reader:
-                yield from _grace(reader, level + 1, schema)
+                yield from _grace(reader, level + 1, schema, stored)
 
 
-def _spill(table: ContentTable, level: int, writers: list) -> None:
-    for batch in table.batches(CONTENT):
+def _spill(table: ContentTable, level: int, writers: list, stored: pa.Schema) -> None:
+    for batch in table.batches(stored):
         where = np.array([_bucket(d.as_py(), level) for d in batch.column(0)])
         for b in np.unique(where):
             writers[b].write_batch(batch.filter(pa.array(where == b)))
 
 
-RESULT = pa.schema([("digest", pa.binary()), ("keep", pa.int64()), ("n", pa.int64())])
+def _resolve(batches: Iterable[pa.RecordBatch], stored: pa.Schema = CONTENT) -> Iterator[pa.RecordBatch]:
+    return _grace(batches, 0, pa.schema([stored.field("digest"), stored.field("keep"), stored.field("n")]), stored)
 
 
-def _resolve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _grace(batches, 0, RESULT)
+def id_type(df: DataFrame, id_col: str) -> str:
+    """``long`` for whole numbers, ``string`` for all other ids."""
+    return "long" if isinstance(df.select(id_col).schema[0].dataType, IntegralType) else "string"
 
 
 def exact_duplicates(df: DataFrame, id_col: str, content: Column) -> DataFrame:
@@ -135,18 +145,23 @@ def exact_duplicates(df: DataFrame, id_col: str, content: Column) -> DataFrame:
     content that a third of all rows share is shuffled once or a few times per
     split.  The shuffle deals contents by digest; each partition then works as
     Grace hashing does, with spill files in the task's temporary folder that go
-    when the task ends.  Null content counts as empty.
+    when the task ends.  Null content counts as empty.  Whole-number ids
+    compare as numbers, all others as text by code point.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.coalesce(content, F.lit("")).cast("binary").alias("content"), F.col(id_col).cast("long").alias("keep"))
-    partial = rows.mapInArrow(_combine, "digest binary, content binary, keep long, n long")
-    return partial.repartition(n, "digest").mapInArrow(_resolve, "digest binary, keep long, n long")
+    ids = id_type(df, id_col)
+    stored = content_schema(pa.int64() if ids == "long" else pa.string())
+    combine, resolve = partial(_combine, stored=stored), partial(_resolve, stored=stored)
+    rows = df.select(F.coalesce(content, F.lit("")).cast("binary").alias("content"), F.col(id_col).cast(ids).alias("keep"))
+    merged = rows.mapInArrow(combine, f"digest binary, content binary, keep {ids}, n long")
+    return merged.repartition(n, "digest").mapInArrow(resolve, f"digest binary, keep {ids}, n long")
 
 
 def mark_exact_duplicates(df: DataFrame, id_col: str, text_col: str, *, keep_col: str = "keep_id", size_col: str = "group_size", kept_col: str = "kept", digest_col: str = "text_sha256") -> DataFrame:
     """All rows of ``df`` with the id that stays of their text's group, the group's size, and whether they stay.
 
-    Of equal texts the row with the largest id stays; null equals empty; rows
+    Of equal texts the row with the largest id stays (ids that are no whole
+    numbers compare as text, and ``keep_col`` is text then); null equals empty; rows
     repeated with the same id and text are all kept.  Rows without id never
     stay beside one that has an id.  An empty table gives an empty result.
     Columns of ``df`` named as a result are replaced; others pass through.
@@ -155,4 +170,4 @@ def mark_exact_duplicates(df: DataFrame, id_col: str, text_col: str, *, keep_col
     groups = exact_duplicates(df, id_col, F.col(text_col)).select(
         F.lower(F.hex("digest")).alias(digest_col), F.col("keep").alias(keep_col), F.col("n").alias(size_col))
     rows = df.drop(keep_col, size_col, kept_col, digest_col).withColumn(digest_col, F.sha2(content, 256))
-    return rows.join(groups, digest_col).withColumn(kept_col, F.col(id_col).eqNullSafe(F.col(keep_col)))
+    return rows.join(groups, digest_col).withColumn(kept_col, F.col(id_col).cast(id_type(df, id_col)).eqNullSafe(F.col(keep_col)))
