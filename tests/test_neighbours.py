@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.operators import projection, search
-from trendloom.operators.neighbours import knn_graph
+from trendloom.operators.neighbours import knn_graph, nearest
 from trendloom.runtime import shared_dir
 
 
@@ -123,3 +123,17 @@ def test_spectral_start_finds_the_leading_eigenvectors(spark):
     ours = a[:36] * np.sqrt(d)[:, None]
     ours, _ = np.linalg.qr(ours)
     assert np.linalg.svd(wanted.T @ ours, compute_uv=False).min() > 0.999
+
+
+def test_groups_of_different_number_types_meet(spark):
+    rows = spark.range(60).selectExpr("id AS q", "id % 5 AS owner", "array(cast(id + 1 AS double), 1D) AS embedding")
+    centres = spark.range(10).selectExpr("id AS c", "cast(id % 5 AS INT) AS owner", "array(cast(id AS double), 1D) AS embedding")
+    kept = {name: spark.conf.get(name) for name in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with partitions too large to be merged
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = nearest(rows, centres, 1, query_key="q", corpus_key="c", group="owner").collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert {r["query_id"] for r in found} == set(range(60))

@@ -216,6 +216,9 @@ def nearest(
     require(metric in ("cosine", "euclidean"), "metric must be cosine or euclidean")
     q = _points(queries, query_key, query_vec, group, metric, [])
     c = _points(corpus, corpus_key, corpus_vec, group, metric, [])
+    # co-grouping hashes keys as they are: an INT and a BIGINT of one value would meet in different partitions
+    common = q.select("grp").union(c.select("grp")).schema["grp"].dataType
+    q, c = (side.withColumn("grp", F.col("grp").cast(common)) for side in (q, c))
     layout = Layout(c, block_rows, lists)
     q = layout.place(q)
     if layout.split:
