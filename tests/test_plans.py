@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from checks.fixtures import Spark
 from trendloom.functions import vectors as V
 from trendloom.operators import bookkeeping, clustering, search, serving, timeseries, trending
-from trendloom.sources import landed, normalize
+from trendloom.operators.subscriptions import requests
+from trendloom.plans.subscribed import ingest_subscribed, subscribed_items
+from trendloom.runtime import shared_dir
+from trendloom.sources import landed, normalize, tables
 
 
 def plan(df):
@@ -121,3 +124,20 @@ def test_lists_refuse_tables_without_their_columns(spark):
 
     with pytest.raises(ValueError, match="missing"):
         serving.list_clusters(spark.createDataFrame([(1, 1)], "id long, user_id long"), 1)
+
+
+def test_dealt_items_carry_no_texts_and_payloads_are_kept_once(spark):
+    landed = {"release": spark.createDataFrame([("acme", "r", "1", 7, "t", "n", "long text " * 50)], "owner STRING, repo STRING, pos STRING, id BIGINT, tag_name STRING, name STRING, body STRING").selectExpr(
+        "*", "'http://x' AS html_url", "named_struct('login', 'dev') AS author", "'2024' AS created_at", "'2024' AS published_at", "false AS prerelease", "false AS draft")}
+    params = '{"owner": "acme", "repo": "r", "include_commits": false, "include_issues": false, "include_prs": false}'
+    events = spark.range(40).selectExpr("concat('e', id) AS id", "id AS user_id", "'github' AS source", f"'{params}' AS source_params")
+    items, contents = subscribed_items(landed, requests(events.withColumnRenamed("id", "event_id"), keep=("event_id",)), archive=True)
+    assert items.count() == 40 and not {"doc_text", "payload"} & set(items.columns)
+    assert contents.count() == 1
+    made = ingest_subscribed(events, landed, spark.createDataFrame([], "user_id BIGINT, source_path STRING"), F.current_timestamp(), archive=True)
+    assert made.documents.where("length(raw_text) > 400").count() == 40 and made.payloads.count() == 1
+    path = shared_dir(spark, "archive")
+    tables.archive_snapshots(made.snapshots, path, "2024-01-31", made.payloads)
+    tables.archive_snapshots(made.snapshots, path, "2024-01-31", made.payloads)
+    kept = spark.read.parquet(path)
+    assert kept.count() == 40 and kept.where("get_json_object(payload, '$.body') LIKE 'long text%'").count() == 40

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.operators.subscriptions import requests
-from trendloom.plans.ingest import Ingested, ingest_items, item_columns
+from trendloom.plans.ingest import CONTENT, Ingested, ingest_items, item_columns
 from trendloom.runtime import cut_lineage, require
 from trendloom.sources.landed import feed_entry_fields, union_sources, valid_stories
 from trendloom.sources.normalize import NORMALIZERS
@@ -61,8 +61,11 @@ def _first_stories(lists: DataFrame, items: DataFrame, variants: DataFrame, most
     return valid_stories(ranked.join(items, "id")).withColumn("_rank", F.col("pos") + 1).drop("_most")
 
 
-def subscribed_items(landed: dict[str, DataFrame], wanted: DataFrame, archive: bool = False) -> DataFrame:
-    """Normalised items of all kinds, one row per item and subscriber that gets it.
+def subscribed_items(landed: dict[str, DataFrame], wanted: DataFrame, archive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Normalised items of all kinds, one row per item and subscriber that gets it, and the contents of the items.
+
+    The items name their content by ``item_type, item_ref``; titles, texts and payloads stay in the
+    contents, one row per normalised item, and are not copied for each subscriber.
 
     ``landed`` maps a kind to its landed rows (``story_ids`` and ``story``
     belong together).  Limits, states, switches and dates come from ``wanted``, the rows of
@@ -75,6 +78,7 @@ def subscribed_items(landed: dict[str, DataFrame], wanted: DataFrame, archive: b
     require(("story" in landed) == ("story_ids" in landed), "stories need their lists and items")
     wanted = cut_lineage(wanted, "requests")
     parts: dict[str, DataFrame] = {}
+    contents: dict[str, DataFrame] = {}
     for kind in (k for k in NORMALIZERS if k in landed):
         mine = wanted_of(wanted, kind)
         most = mine.agg(F.max("_limit")).first()[0]
@@ -92,6 +96,11 @@ def subscribed_items(landed: dict[str, DataFrame], wanted: DataFrame, archive: b
             kept = [*_SAME, "_rank", *(["payload"] if archive else [])]
             chosen = feed_entry_fields(chosen, kept)
         normal = item_columns(NORMALIZERS[kind](chosen), kind, [*_SAME, "_rank", *(["payload"] if archive else [])])
+        # written, so that the number of an item is the same in both results
+        normal = cut_lineage(normal.withColumn("item_ref", F.monotonically_increasing_id()), f"{kind}-items")
+        whole = [c for c in CONTENT if c in normal.columns]
+        contents[kind] = normal.select("item_ref", *whole)
+        normal = normal.drop(*whole)
         dealt = normal.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("i")
         salted = mine.withColumn("_salt", F.pmod(F.xxhash64("user_id", "event_id"), F.lit(SALTS)).cast("int")).alias("w")
         same = (F.col("i._target") == F.col("w._target")) & (F.col("i._salt") == F.col("w._salt")) & (F.col("i._rank") <= F.col("w._limit"))
@@ -100,7 +109,7 @@ def subscribed_items(landed: dict[str, DataFrame], wanted: DataFrame, archive: b
         columns = [F.col(f"i.{c}").alias(c) for c in normal.columns if not c.startswith("_")]
         parts[kind] = dealt.join(salted, same).select("w.user_id", "w.event_id", *columns)
     require(bool(parts), "no valid subscription to any landed kind of item")
-    return union_sources(parts)
+    return union_sources(parts), union_sources(contents)
 
 
 def ingest_subscribed(events: DataFrame, landed: dict[str, DataFrame], store: DataFrame, created_at: Column, *, within_batch: bool = True, archive: bool = False) -> Ingested:
@@ -109,4 +118,5 @@ def ingest_subscribed(events: DataFrame, landed: dict[str, DataFrame], store: Da
     Refused subscriptions take no part.  Documents, statistics and failures come per event.
     """
     wanted = requests(events.withColumnRenamed("id", "event_id"), keep=("event_id",))
-    return ingest_items(subscribed_items(landed, wanted, archive), store, created_at, within_batch)
+    items, contents = subscribed_items(landed, wanted, archive)
+    return ingest_items(items, store, created_at, within_batch, contents)
