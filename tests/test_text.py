@@ -104,3 +104,11 @@ def test_single_insight_skips_without_keywords(spark):
     insights = spark.createDataFrame([], "cluster_id STRING")
     row = insight.single_insight("c", clusters, insights, none, members, docs, anomalies, generated_at=F.current_timestamp()).first()
     assert (row.status, row.insight_text) == ("skipped", None)
+
+
+def test_terms_are_counted_inside_the_row(spark):
+    rows = texts(spark).unionByName(spark.createDataFrame([("b", 5, "!!!"), ("b", 6, "go go, go stop")], "cluster_id STRING, document_id INT, raw_text STRING"))
+    counts = keywords.term_counts(rows, ["and"])
+    assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
+    got = {(r.document_id, r.term): r.tf for r in counts.where("cluster_id = 'b'").collect()}
+    assert got == {(4, "single"): 1, (4, "text"): 1, (4, "single text"): 1, (6, "go"): 3, (6, "stop"): 1, (6, "go go"): 2, (6, "go stop"): 1}
