@@ -248,6 +248,15 @@ def _unlike(a, b, columns):
     return x.exceptAll(y).count() + y.exceptAll(x).count()
 
 
+def all_pages(page, limit):
+    """Rows of all pages, asked for until one is not full; ``page(limit, offset)`` gives one."""
+    total, got = 0, limit
+    while got == limit:
+        got = page(limit, total).count()
+        total += got
+    return total
+
+
 SERIES = ("cluster_id", "summary_date", "mention_count", "avg_sentiment", "momentum", "forecast_lower", "forecast_upper", "is_forecast")
 ANOMALIES = ("cluster_id", "anomaly_date", "type", "score", "direction")
 
@@ -295,7 +304,8 @@ def _(v):
     clusters, members = store.read("clusters"), store.read("cluster_members")
     users = [str(u) for u in range(5)]
     listed = sum(serving.list_clusters(clusters, u, limit=10_000).total.first()["total"] for u in users)
-    served = sum(serving.user_projections(store.read("documents"), store.read("umap_projections"), members, u, limit=10_000).count() for u in users)
+    documents, places = store.read("documents"), store.read("umap_projections")
+    served = sum(all_pages(lambda n, at, u=u: serving.user_projections(documents, places, members, u, limit=n, offset=at), 10_000) for u in users)
     first = clusters.orderBy("id").first()
     parts = {"keywords": "keywords", "series": "timeseries_summary", "insights": "insights", "anomalies": "anomalies", "members": "cluster_members"}
     detail = serving.cluster_detail(clusters, first["user_id"], first["id"], documents=store.read("documents"), **{k: store.read(t) for k, t in parts.items()})

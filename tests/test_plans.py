@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.fixtures import Spark
+from checks.q_jobs import all_pages
 from trendloom.functions import vectors as V
 from trendloom.operators import bookkeeping, clustering, search, serving, timeseries, trending
 from trendloom.operators.subscriptions import requests
@@ -141,3 +142,12 @@ def test_dealt_items_carry_no_texts_and_payloads_are_kept_once(spark):
     tables.archive_snapshots(made.snapshots, path, "2024-01-31", made.payloads)
     kept = spark.read.parquet(path)
     assert kept.count() == 40 and kept.where("get_json_object(payload, '$.body') LIKE 'long text%'").count() == 40
+
+
+def test_places_beyond_the_first_page_are_served(spark):
+    documents = spark.range(25).selectExpr("id", "0 AS user_id", "'t' AS title", "'p' AS source_path")
+    places = spark.range(25).selectExpr("id AS document_id", "'default' AS model_name", "1D AS x", "2D AS y")
+    members = spark.range(25).selectExpr("1 AS cluster_id", "id AS document_id", "0.5D AS membership_strength")
+    assert all_pages(lambda n, at: serving.user_projections(documents, places, members, 0, limit=n, offset=at), 10) == 25
+    last = serving.user_projections(documents, places, members, 0, limit=10, offset=20)
+    assert [r["document_id"] for r in last.orderBy("document_id").collect()] == [20, 21, 22, 23, 24]

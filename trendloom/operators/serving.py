@@ -198,11 +198,12 @@ def primary_cluster(members: DataFrame) -> DataFrame:
     return members.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("document_id", "cluster_id")
 
 
-def user_projections(documents: DataFrame, projections: DataFrame, members: DataFrame, user_id, limit: int = 1000, model_name: str = "default") -> DataFrame:
-    """An owner's projected documents with their primary cluster, by document id."""
+def user_projections(documents: DataFrame, projections: DataFrame, members: DataFrame, user_id, limit: int = 1000, model_name: str = "default", offset: int = 0) -> DataFrame:
+    """An owner's projected documents with their primary cluster, by document id; further ones from ``offset`` on."""
     require(1 <= limit <= MAX_LIMIT, f"limit must be 1..{MAX_LIMIT}")
+    require(offset >= 0, "offset must not be negative")
     docs = documents.where(F.col("user_id") == user_id).select(F.col("id").alias("document_id"), "title", "source_path")
     places = projections.where(F.col("model_name") == model_name).select("document_id", "x", "y")
-    shown = docs.join(places, "document_id").orderBy("document_id").limit(limit)
+    shown = docs.join(places, "document_id").orderBy("document_id").offset(offset).limit(limit)
     theirs = members.join(shown.select("document_id"), "document_id", "left_semi")
     return shown.join(primary_cluster(theirs), "document_id", "left").select(*PROJECTION_COLUMNS)
