@@ -24,6 +24,8 @@ mann frau, männer frauen, junge mädchen, vater mutter, muslim christ, jude kat
 """
 
 TRAINING_ROWS = 12_000
+#: Texts whose words are looked up at once on the driver.
+TEXTS_AT_ONCE = 500
 
 
 def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +111,11 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
     lengths = np.array([len(t) for t in texts])
     if not lengths.sum():
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), intercept)
-    words, place = np.unique(np.concatenate(texts), return_inverse=True)
-    n = np.bincount(place, minlength=len(words))
-    toxic = np.bincount(place, weights=np.repeat(labels, lengths), minlength=len(words))
-    del place
+    words, n = np.unique(np.concatenate(texts), return_counts=True)
+    toxic = np.zeros(len(words))
+    for value in np.unique(labels[(labels != 0) & (lengths > 0)]):
+        of, count = np.unique(np.concatenate([t for t, label in zip(texts, labels, strict=True) if label == value]), return_counts=True)
+        toxic[np.searchsorted(words, of)] += value * count
     expected = n * base
     strength = np.abs(toxic - expected) / np.sqrt(expected * (1 - base) + 1e-9)
     chosen = np.sort(np.argsort(np.where(n >= min_rows, -strength, np.inf), kind="stable")[: min(max_words, int((n >= min_rows).sum()))])
@@ -121,9 +124,15 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
     keys = words[chosen]
 
     def design(rows_of: list[np.ndarray]) -> Design:
-        sizes = np.array([len(t) for t in rows_of], dtype=np.int64)
-        known, at = _lookup(keys, np.concatenate(rows_of) if sizes.sum() else np.zeros(0, np.uint64))
-        return Design(np.repeat(np.arange(len(rows_of)), sizes)[known], at[known], len(rows_of), len(keys))
+        # a slice of texts at a time: of all their words only the chosen ones are held
+        rows_at, columns_at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for start in range(0, len(rows_of), TEXTS_AT_ONCE):
+            part = rows_of[start : start + TEXTS_AT_ONCE]
+            known, at = _lookup(keys, np.concatenate(part))
+            number = np.repeat(np.arange(start, start + len(part)), [len(t) for t in part])
+            rows_at.append(number[known].astype(np.int32))
+            columns_at.append(at[known].astype(np.int32))
+        return Design(np.concatenate(rows_at), np.concatenate(columns_at), len(rows_of), len(keys))
 
     x, other = design(texts), design(swapped)
     w, b = np.zeros(len(keys)), intercept
@@ -180,11 +189,11 @@ def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     order = F.xxhash64(id_col)
     first = known.select(order.alias("order")).distinct().orderBy("order").limit(max_rows).collect()
     sampled = known.where(order <= F.lit(first[-1]["order"])) if first else known
-    rows = sampled.select(F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_features, "label int, words binary, swapped binary").collect()
-    words = [np.frombuffer(r["words"], dtype=np.uint64) for r in rows]
-    swapped = [w if r["swapped"] is None else np.frombuffer(r["swapped"], dtype=np.uint64) for w, r in zip(words, rows, strict=True)]
-    labels = np.array([r["label"] for r in rows], dtype=float)
-    del rows
+    rows = sampled.select(F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_features, "label int, words binary, swapped binary").toArrow()
+    # the arrays of words are views of the table: no row is copied
+    words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows.column("words")]
+    swapped = [np.frombuffer(o.as_buffer(), dtype=np.uint64) if o.is_valid else w for w, o in zip(words, rows.column("swapped"), strict=True)]
+    labels = rows.column("label").to_numpy().astype(float)
     return fit(words, swapped, labels, **options)
 
 
