@@ -119,6 +119,17 @@ def test_learns_words_and_not_groups(spark):
     assert scores[5.0][2] < scores[0.0][2] and scores[5.0][2] < 0.3
 
 
+def test_only_places_of_chosen_words_reach_the_driver(spark, monkeypatch):
+    texts = [(i, " ".join(f"own{i}x{j}" for j in range(200)) + (" moron" if i % 5 == 0 else " kind") + " she", int(i % 5 == 0)) for i in range(60)]
+    sent = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a, **o: sent.append(a) or fit(*a, **o))
+    model = toxicity.train(spark.createDataFrame(texts, "doc_id long, text string, toxic int"))
+    keys, has, swap, labels = sent[0]
+    assert len(keys) == 3 and len(has.row) == 120 and len(swap.row) == 60 and labels.sum() == 12
+    assert len(model.words) and set(model.words) <= set(keys)
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     joined = labels.select("doc_id", "toxic").join(docs, "doc_id")

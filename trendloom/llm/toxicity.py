@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.textbytes import IS_BREAK, LOWER, slices, span_hashes, text_of, word_spans
+from trendloom.runtime import cut_lineage
 
 #: Identity terms and the term each is swapped with (both ways).
 SWAPS = """
@@ -24,8 +25,6 @@ mann frau, männer frauen, junge mädchen, vater mutter, muslim christ, jude kat
 """
 
 TRAINING_ROWS = 12_000
-#: Texts whose words are looked up at once on the driver.
-TEXTS_AT_ONCE = 500
 
 
 def _word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,68 +79,54 @@ class ToxicityModel:
 
 @dataclass(frozen=True)
 class Design:
-    """Binary rows in sparse form."""
+    """Rows of ones, or of the given entries, in sparse form."""
 
     row: np.ndarray
     column: np.ndarray
     rows: int
     columns: int
+    entry: np.ndarray | None = None
+
+    @staticmethod
+    def of(cells: list[np.ndarray], columns: int, minus: list[np.ndarray] | None = None) -> Design:
+        """Ones at each row's ``cells`` and, if given, minus ones at its ``minus``."""
+        parts = [cells] if minus is None else [cells, minus]
+        row = np.concatenate([np.repeat(np.arange(len(p), dtype=np.int32), [len(c) for c in p]) for p in parts])
+        column = np.concatenate([np.zeros(0, np.int32), *(c for p in parts for c in p)])
+        entry = None if minus is None else np.repeat([1.0, -1.0], [sum(len(c) for c in p) for p in parts])
+        return Design(row, column, len(cells), columns, entry)
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.column], minlength=self.rows)
+        return np.bincount(self.row, weights=w[self.column] if self.entry is None else w[self.column] * self.entry, minlength=self.rows)
 
     def transposed_times(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, weights=v[self.row], minlength=self.columns)
+        return np.bincount(self.column, weights=v[self.row] if self.entry is None else v[self.row] * self.entry, minlength=self.columns)
+
+
+def chosen_words(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, base: float, max_words: int = 4000) -> np.ndarray:
+    """Of the sorted ``words``, in ``n`` texts with labels that sum to ``toxic``, the ``max_words`` that tell the labels apart best."""
+    expected = n * base
+    strength = np.abs(toxic - expected) / np.sqrt(expected * (1 - base) + 1e-9)
+    return words[np.sort(np.argsort(-strength, kind="stable")[:max_words])]
 
 
-def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray, *, min_rows: int = 5, max_words: int = 4000, sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 300) -> ToxicityModel:
+def fit(keys: np.ndarray, x: Design, swap: Design, labels: np.ndarray, *, sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 300) -> ToxicityModel:
     """Logistic regression on the presence of words, with an L1 penalty and a counterfactual penalty.
 
-    ``texts[i]`` holds the distinct word hashes of a labelled text, ``swapped[i]``
-    those after its identity terms are swapped.  The second penalty is
+    ``x`` holds which of the words ``keys`` a labelled text has, ``swap`` what
+    that loses (1) and gains (-1) when its identity terms are swapped.  The second penalty is
     ``fairness`` times the mean squared difference of the two scores before
-    the logistic function.  Words are candidates from ``min_rows`` texts on; the
-    ``max_words`` that tell the labels apart best are fitted, together with
-    all identity terms among them.
+    the logistic function.
     """
-    labels = labels.astype(float)
-    rows = len(labels)
-    base = (labels.sum() + 0.5) / (rows + 1.0)
-    intercept = float(np.log(base / (1 - base)))
-    lengths = np.array([len(t) for t in texts])
-    if not lengths.sum():
-        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), intercept)
-    words, n = np.unique(np.concatenate(texts), return_counts=True)
-    toxic = np.zeros(len(words))
-    for value in np.unique(labels[(labels != 0) & (lengths > 0)]):
-        of, count = np.unique(np.concatenate([t for t, label in zip(texts, labels, strict=True) if label == value]), return_counts=True)
-        toxic[np.searchsorted(words, of)] += value * count
-    expected = n * base
-    strength = np.abs(toxic - expected) / np.sqrt(expected * (1 - base) + 1e-9)
-    chosen = np.sort(np.argsort(np.where(n >= min_rows, -strength, np.inf), kind="stable")[: min(max_words, int((n >= min_rows).sum()))])
-    if not len(chosen):
+    rows, intercept = len(labels), _log_odds(labels.sum(), len(labels))
+    if not len(keys):
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), intercept)
-    keys = words[chosen]
-
-    def design(rows_of: list[np.ndarray]) -> Design:
-        # a slice of texts at a time: of all their words only the chosen ones are held
-        rows_at, columns_at = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for start in range(0, len(rows_of), TEXTS_AT_ONCE):
-            part = rows_of[start : start + TEXTS_AT_ONCE]
-            known, at = _lookup(keys, np.concatenate(part))
-            number = np.repeat(np.arange(start, start + len(part)), [len(t) for t in part])
-            rows_at.append(number[known].astype(np.int32))
-            columns_at.append(at[known].astype(np.int32))
-        return Design(np.concatenate(rows_at), np.concatenate(columns_at), len(rows_of), len(keys))
-
-    x, other = design(texts), design(swapped)
     w, b = np.zeros(len(keys)), intercept
     look_w, look_b, momentum = w, b, 1.0
     # Step size from a bound of the curvature, by power iteration over both penalties.
     v = np.random.default_rng(0).random(len(keys))
     for _ in range(20):
-        gap = x.times(v) - other.times(v)
-        u = x.transposed_times(x.times(v)) / (4 * rows) + 2 * fairness * (x.transposed_times(gap) - other.transposed_times(gap)) / rows
+        u = x.transposed_times(x.times(v)) / (4 * rows) + 2 * fairness * swap.transposed_times(swap.times(v)) / rows
         norm = np.linalg.norm(u)
         if norm == 0:
             break
@@ -149,8 +134,7 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
     step = 1.0 / (1.1 * norm + 0.26)
     for _ in range(steps):
         score = 1.0 / (1.0 + np.exp(-np.clip(x.times(look_w) + look_b, -40, 40)))
-        gap = x.times(look_w) - other.times(look_w)
-        slope = x.transposed_times(score - labels) / rows + 2 * fairness * (x.transposed_times(gap) - other.transposed_times(gap)) / rows
+        slope = x.transposed_times(score - labels) / rows + 2 * fairness * swap.transposed_times(swap.times(look_w)) / rows
         new_w = look_w - step * slope
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * sparsity, 0)
         new_b = look_b - step * float((score - labels).mean())
@@ -162,6 +146,14 @@ def fit(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray,
     return ToxicityModel(keys[used], w[used], float(b))
 
 
+def _share(toxic: float, rows: int) -> float:
+    return (toxic + 0.5) / (rows + 1.0)
+
+
+def _log_odds(toxic: float, rows: int) -> float:
+    return float(np.log(_share(toxic, rows) / (1 - _share(toxic, rows))))
+
+
 def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct word hashes of each labelled text, and of its counterfactual if that differs."""
     own, other = swap_table()
@@ -174,27 +166,67 @@ def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = list(zip(edges[:-1], edges[1:], strict=True))
             changed = [identity[s:e].any() for s, e in spans]
             columns = [pa.array([np.unique(value[s:e]).tobytes() for s, e in spans], pa.binary()), pa.array([np.unique(flipped[s:e]).tobytes() if c else None for (s, e), c in zip(spans, changed, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("label"), *columns], names=["label", "words", "swapped"])
+            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), *columns], names=["order", "label", "words", "swapped"])
+
+
+def _hashes(cells: pa.Array) -> list[np.ndarray]:
+    """The word hashes of each cell; views, nothing is copied."""
+    return [np.frombuffer(c.as_buffer(), np.uint64) if c.is_valid else np.zeros(0, np.uint64) for c in cells]
+
+
+def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many texts of a batch each word is, and the sum of their labels."""
+    for batch in batches:
+        words = _hashes(batch.column("words"))
+        if sum(map(len, words)):
+            distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+            label = np.repeat(batch.column("label").to_numpy(zero_copy_only=False).astype(float), [len(w) for w in words])
+            counts = [np.bincount(place, minlength=len(distinct)), np.bincount(place, weights=label, minlength=len(distinct))]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=["word", "n", "toxic"])
+
+
+def _cells(keys: np.ndarray):
+    """Places among ``keys`` of a text's words, and of those it loses and gains by the swap."""
+
+    def places(words: np.ndarray) -> bytes:
+        known, at = _lookup(keys, words)
+        return at[known].astype(np.int32).tobytes()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, swapped = _hashes(batch.column("words")), _hashes(batch.column("swapped"))
+            changed = batch.column("swapped").is_valid().to_numpy(zero_copy_only=False)
+            lost = [places(np.setdiff1d(w, o, assume_unique=True)) if c else b"" for w, o, c in zip(words, swapped, changed, strict=True)]
+            gained = [places(np.setdiff1d(o, w, assume_unique=True)) if c else b"" for w, o, c in zip(words, swapped, changed, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), *(pa.array(c, pa.binary()) for c in ([places(w) for w in words], lost, gained))], names=["order", "label", "has", "lost", "gained"])
+
+    return run
 
 
-def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = TRAINING_ROWS, **options) -> ToxicityModel:
+def train(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = TRAINING_ROWS, min_rows: int = 5, max_words: int = 4000, **options) -> ToxicityModel:
     """Fits a model on at most ``max_rows`` labelled texts, taken in the order of their id's hash.
 
     Ids decide the sample before any text is read (rows that share an id go
-    together), words are cut out on the executors, and only hashes of distinct words reach the driver.
-    Rows without label are left out; null texts have no words.  Without any
+    together).  Words are cut out and counted on the executors; words in ``min_rows`` texts or more are
+    candidates, of which :func:`chosen_words` takes ``max_words``, and of each text only the places of these reach the
+    driver.  Rows without label are left out; null texts have no words.  Without any
     label the model gives every text the same score.
     """
     known = labelled.where(F.col(label_col).isNotNull())
     order = F.xxhash64(id_col)
-    first = known.select(order.alias("order")).distinct().orderBy("order").limit(max_rows).collect()
-    sampled = known.where(order <= F.lit(first[-1]["order"])) if first else known
-    rows = sampled.select(F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_features, "label int, words binary, swapped binary").toArrow()
-    # the arrays of words are views of the table: no row is copied
-    words = [np.frombuffer(w.as_buffer(), dtype=np.uint64) for w in rows.column("words")]
-    swapped = [np.frombuffer(o.as_buffer(), dtype=np.uint64) if o.is_valid else w for w, o in zip(words, rows.column("swapped"), strict=True)]
-    labels = rows.column("label").to_numpy().astype(float)
-    return fit(words, swapped, labels, **options)
+    last = known.select(order.alias("order")).distinct().orderBy("order").limit(max_rows).agg(F.max("order").alias("last")).first()["last"]
+    sampled = known if last is None else known.where(order <= F.lit(last))
+    texts = sampled.select(order.alias("order"), F.col(label_col).cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    features = cut_lineage(texts.mapInArrow(_features, "order long, label int, words binary, swapped binary"), "features")
+    total = features.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
+    counted = features.select("label", "words").mapInArrow(_word_counts, "word long, n long, toxic long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    table = counted.where(F.col("n") >= min_rows).toArrow()
+    words = table.column("word").to_numpy().view(np.uint64)
+    by_word = np.argsort(words)
+    keys = chosen_words(words[by_word], *(table.column(c).to_numpy()[by_word].astype(float) for c in ("n", "toxic")), _share(total["toxic"], total["rows"]), max_words)
+    rows = features.mapInArrow(_cells(keys), "order long, label int, has binary, lost binary, gained binary").toArrow().sort_by("order")
+    has, lost, gained = ([np.frombuffer(c.as_buffer(), np.int32) for c in rows.column(name)] for name in ("has", "lost", "gained"))
+    return fit(keys, Design.of(has, len(keys)), Design.of(lost, len(keys), gained), rows.column("label").to_numpy().astype(float), **options)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score") -> DataFrame:
