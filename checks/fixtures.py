@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trendloom import schemas
 from trendloom.functions.scores import combine_scores
 from trendloom.operators import clustering, timeseries
-from trendloom.runtime import cut_lineage, shared_dir
+from trendloom.runtime import cut_lineage, shared_dir, spread
 from trendloom.sources import landed
 
 DIM = 64
@@ -299,19 +299,17 @@ class Spark:
     def feed_path(self) -> str:
         return self.landed(self.feed_raw(), "feed")
 
-    def feed_xml_path(self) -> str:
-        """One XML document a page, named by the page, of as many entries as its id gives."""
+    def feed_xml(self) -> DataFrame:
+        """One XML document a page, of as many entries as its id gives, landed as rows: one file each would cost more than its parsing."""
         entry = (
             "concat('<item>', CASE WHEN (page_id + i) % 3 = 0 THEN '' ELSE concat('<guid isPermaLink=\"false\">g', page_id, '-', i, '</guid>') END, "
             "'<title>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), ' ', i, '</title><link>http://x.example/', page_id, '/', i, '</link>', "
             "'<description><![CDATA[<b>', i, '</b> & more]]></description>', CASE WHEN i % 2 = 0 THEN '<category>news</category><category>tech</category>' ELSE '' END, '</item>')"
         )
         head = "concat('<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>t</title><link>http://feed.example/', page_id, '</link>')"
-        pages = self.table("pages").selectExpr(
-            "page_id", f"concat({head}, array_join(transform(sequence(0, cast(page_id % 60 AS INT)), i -> {entry}), ''), '</channel></rss>') AS value")
-        path = shared_dir(self.spark, "feed-xml")
-        pages.repartition(8, "page_id").write.partitionBy("page_id").text(path)
-        return path
+        pages = spread(self.table("pages").select("page_id", "url"), "page_id")
+        return self.stored("feed-xml", lambda: pages.selectExpr(
+            "concat('feeds/', page_id, '.xml') AS path", f"concat({head}, array_join(transform(sequence(0, cast(page_id % 60 AS INT)), i -> {entry}), ''), '</channel></rss>') AS value"))
 
     def feed(self) -> DataFrame:
         """All landed entries, no per-feed cap."""

@@ -107,6 +107,15 @@ def test_feed_xml_keeps_document_order_of_many_feeds(spark, tmp_path):
     assert links == {"http://a", "http://b"}
 
 
+def test_feed_xml_of_many_feeds_in_few_files(spark, tmp_path):
+    feeds = [(f"{f}.xml", f"<rss><channel><link>http://{f}</link>{'<item><title>t</title></item>' * (f % 60)}</channel></rss>") for f in range(300)]
+    spark.createDataFrame([*feeds, ("none.xml", None), ("bad.xml", "no feed at all")], "path STRING, value STRING").coalesce(2).write.parquet(str(tmp_path / "feeds"))
+    entries = landed.feed_xml_entries(spark.read.parquet(str(tmp_path / "feeds")), F.col("channel_link"))
+    assert entries.rdd.getNumPartitions() <= 2
+    rows = entries.collect()
+    assert sorted((r.feed_url, r.pos) for r in rows) == sorted((f"http://{f}", i) for f in range(300) for i in range(min(50, f % 60)))
+
+
 def test_dedupe_rules(spark):
     items = spark.createDataFrame(
         [("u", "k", 1), ("u", "k", 2), ("v", "k", 3), ("u", "", 4), ("u", "", 5), (None, "k", 6), ("u", "old", 7)], "user_id STRING, dedupe_key STRING, pos INT"

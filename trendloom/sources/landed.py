@@ -66,14 +66,22 @@ def scan_feed_xml(spark: SparkSession, path: str, feed_url: str | Column, limit:
     ``path`` may name many files; ``feed_url`` is then a column over ``path``
     (the file) and ``channel_link``.  A feed document is read whole and parsed
     once, so an entry's ``pos`` is its place in its document whatever the
-    splits.  Files without a channel or entries give no rows.
+    splits.  Files without a channel or entries give no rows.  Each file costs
+    a listing and an opening; many feeds are better landed as rows of few
+    files, for :func:`feed_xml_entries`.
     """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return feed_xml_entries(files, feed_url, limit)
+
+
+def feed_xml_entries(documents: DataFrame, feed_url: str | Column, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """First ``limit`` entries of feed XML documents, one document a row: its ``path`` and whole text ``value``."""
     item = (
         "STRUCT<guid: STRING, title: STRING, link: STRING, description: STRING, `content:encoded`: STRING, "
         "pubDate: STRING, author: STRING, category: ARRAY<STRING>>"
     )
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_xml("value", f"channel STRUCT<link: STRING, item: ARRAY<{item}>>").alias("d"))
-    items = files.select("path", F.col("d.channel.link").alias("channel_link"), F.posexplode(F.slice("d.channel.item", 1, limit)).alias("pos", "e"))
+    parsed = documents.select("path", F.from_xml("value", f"channel STRUCT<link: STRING, item: ARRAY<{item}>>").alias("d"))
+    items = parsed.select("path", F.col("d.channel.link").alias("channel_link"), F.posexplode(F.slice("d.channel.item", 1, limit)).alias("pos", "e"))
     e = F.col("e")
     content = e["content:encoded"]
     raw = items.select(
