@@ -264,6 +264,23 @@ def toy_shares(rng, slots=12, classes=3):
     return lm_score.shares_of(total, np.arange(slots, dtype=np.int32), np.append(total, 1), after, number, slots - 1)
 
 
+def test_pieces_of_a_block_score_as_the_whole():
+    rng = np.random.default_rng(0)
+    words = np.array([3, 0, 400, 5, 0, 90, 1])
+    block = lm_score.Block(
+        0, np.arange(7), np.zeros(7, bool), np.ones(7, bool), words, rng.integers(0, 20, words.sum()).astype(np.int32), np.arange(20, dtype=np.uint64), np.ones(20, np.int64),
+        rng.integers(0, 12, 40).astype(np.uint16), np.full(20, 2, np.int32))
+    shares = toy_shares(rng)
+    w = lm_score.first_weights(shares)
+    stream, at = block.stream(shares.end)
+    whole = lm_score.text_scores(w, shares, stream, at)
+    for size in (1, 10, 100, 1000):
+        pieces = list(block.pieces(size))
+        assert [len(p.words) for p in pieces] == {1: [1] * 7, 10: [2, 1, 2, 1, 1], 100: [2, 1, 4], 1000: [7]}[size]
+        assert np.concatenate([p.stream(shares.end)[0] for p in pieces]).tolist() == stream.tolist()
+        assert np.concatenate([lm_score.text_scores(w, shares, *p.stream(shares.end)) for p in pieces]).tolist() == whole.tolist()
+
+
 def test_gradient_equals_differences():
     rng = np.random.default_rng(0)
     shares = toy_shares(rng)

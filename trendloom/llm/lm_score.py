@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ WIDTH = 16
 CLASSES = 64
 FREQUENT = 2048
 BLOCK_BYTES = 8 << 20
+#: Words of a block whose subwords are laid out at once where windows need not be mixed.
+PIECE_WORDS = 1 << 18
 ROUNDS = 1
 BATCH = 512
 TRAINER_WINDOWS = 4096
@@ -137,9 +139,19 @@ class Block:
 
     @staticmethod
     def read(batch: pa.RecordBatch | pa.Table, row: int) -> Block:
-        none = np.zeros(0)
-        have = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-        return Block(have["block"], **{n: np.frombuffer(have[n], t) if n in have else none for n, t in Block.KINDS.items()})
+        """Views of a row's columns: nothing is copied."""
+        none, names = np.zeros(0), batch.schema.names
+        return Block(batch.column("block")[row].as_py(), **{n: np.frombuffer(batch.column(n)[row].as_buffer(), t) if n in names else none for n, t in Block.KINDS.items()})
+
+    def pieces(self, words: int = PIECE_WORDS) -> Iterator[Block]:
+        """The block's texts in order, in blocks of at most ``words`` words or one text, with the same distinct words."""
+        ends = np.cumsum(self.words)
+        start = 0
+        while start < len(ends):
+            before = ends[start] - self.words[start]
+            stop = max(start + 1, int(np.searchsorted(ends, before + words, side="right")))
+            yield replace(self, words=self.words[start:stop], index=self.index[before : ends[stop - 1]], train=self.train[start:stop])
+            start = stop
 
     def stream(self, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(subword ids of all texts, each closed by ``end``; offsets of the texts)."""
@@ -276,10 +288,15 @@ def class_numbers(after: np.ndarray, counts: np.ndarray, classes: int, seed: int
     return number
 
 
-def forward(w: Weights, last: np.ndarray, before: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+def product(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """``rows @ matrix`` over windows (n, length, width) in one product, whose rounding may depend on a row's place."""
+    return (rows.reshape(-1, rows.shape[-1]) @ matrix).reshape(*rows.shape[:-1], matrix.shape[1])
+
+
+def forward(w: Weights, last: np.ndarray, before: np.ndarray, mask: np.ndarray, times: Callable = np.matmul) -> tuple[np.ndarray, ...]:
     """Batched masked attention over windows (n, length) of subword ids; (inputs, q, k, v, attention, mixed, state)."""
     x = w.last[last] + w.before[before] + w.place[: last.shape[1]]
-    q, k, v = x @ w.query, x @ w.key, x @ w.value
+    q, k, v = times(x, w.query), times(x, w.key), times(x, w.value)
     weight = q @ k.transpose(0, 2, 1)
     weight *= np.float32(1 / np.sqrt(x.shape[2]))
     weight += mask
@@ -287,7 +304,7 @@ def forward(w: Weights, last: np.ndarray, before: np.ndarray, mask: np.ndarray)
     np.exp(weight, out=weight)
     weight /= weight.sum(axis=2, keepdims=True)
     mixed = weight @ v
-    return x, q, k, v, weight, mixed, x + mixed @ w.out
+    return x, q, k, v, weight, mixed, x + times(mixed, w.out)
 
 
 def causal_mask(length: int) -> np.ndarray:
@@ -321,7 +338,7 @@ def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.nd
     """
     ids = np.maximum(window, 0)
     last, before, target = ids[:, 1:-1], ids[:, :-2], window[:, 2:]
-    x, q, k, v, weight, mixed, state = forward(w, last, before, mask)
+    x, q, k, v, weight, mixed, state = forward(w, last, before, mask, product)
     n, length, width = x.shape
     real = np.flatnonzero(((target >= 0) & counted).ravel())
     klass = shares.class_of[shares.slot[target.ravel()[real]]]
@@ -334,14 +351,14 @@ def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.nd
     d_state = np.zeros((n * length, width), dtype=x.dtype)
     d_state[real] = d_scores @ w.classes.T
     d_state = d_state.reshape(n, length, width)
-    d_mixed = d_state @ w.out.T
+    d_mixed = product(d_state, w.out.T)
     d_weight = d_mixed @ v.transpose(0, 2, 1)
     d_v = weight.transpose(0, 2, 1) @ d_mixed
     d_weight -= (weight * d_weight).sum(axis=2, keepdims=True)
     d_weight *= weight
     d_weight *= np.float32(1 / np.sqrt(width))
     d_q, d_k = d_weight @ k, d_weight.transpose(0, 2, 1) @ q
-    d_x = d_state + d_q @ w.query.T + d_k @ w.key.T + d_v @ w.value.T
+    d_x = d_state + product(d_q, w.query.T) + product(d_k, w.key.T) + product(d_v, w.value.T)
     outer = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
     rows = d_x.reshape(-1, width)
     small = {
@@ -389,7 +406,7 @@ def descend(w: Weights, shares: Shares, windows: Iterable[tuple[np.ndarray, np.n
         for name, (rows, g) in touched.items():
             moved[name][rows] += 1
             m, s = mean[name][rows], square[name][rows]
-            getattr(w, name)[rows] -= change(g, m, s, moved[name][rows, None].astype(float), pace)
+            getattr(w, name)[rows] -= change(g, m, s, moved[name][rows, None].astype(np.float32), pace)
             mean[name][rows], square[name][rows] = m, s
         seen += len(window)
     return w, seen
@@ -456,11 +473,11 @@ def count_shares(blocks: DataFrame, end: int, frequent: int = FREQUENT, classes:
         count = np.zeros(wide * wide, dtype=np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                b = Block.read(batch, row)
-                stream, at = b.stream(end)
-                s = slot[stream]
-                pair = np.concatenate([slot[[end]], s[:-1]]) * np.int32(wide) + s
-                count += np.bincount(pair[np.repeat(b.train, np.diff(at))], minlength=wide * wide)
+                for b in Block.read(batch, row).pieces():
+                    stream, at = b.stream(end)
+                    s = slot[stream]
+                    pair = np.concatenate([slot[[end]], s[:-1]]) * np.int32(wide) + s
+                    count += np.bincount(pair[np.repeat(b.train, np.diff(at))], minlength=wide * wide)
         hit = np.flatnonzero(count)
         for i in range(0, len(hit), 500_000):
             yield pa.RecordBatch.from_arrays([pa.array(hit[i : i + 500_000]), pa.array(count[hit[i : i + 500_000]])], names=["pair", "n"])
@@ -581,8 +598,7 @@ def score_texts(docs: DataFrame, ranks: bytes, held_out: Column, *, id_col: str
         for batch in batches:
             for row in range(batch.num_rows):
                 b = Block.read(batch, row)
-                stream, at = b.stream(end)
-                values = text_scores(*model.value, stream, at)
+                values = np.concatenate([np.zeros(0), *(text_scores(*model.value, *piece.stream(end)) for piece in b.pieces())])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), b.block)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["block", "row", "score"])
 
     base = blocks.select("block", "ids", "without_id", "train", "words", "index", "keys").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
