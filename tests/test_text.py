@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from trendloom.functions import text as X
 from trendloom.operators import embedding, insight, keywords, sentiment
 from trendloom.operators import subscriptions as S
 
@@ -112,3 +113,8 @@ def test_terms_are_counted_inside_the_row(spark):
     assert "HashAggregate" not in counts._jdf.queryExecution().executedPlan().toString()
     got = {(r.document_id, r.term): r.tf for r in counts.where("cluster_id = 'b'").collect()}
     assert got == {(4, "single"): 1, (4, "text"): 1, (4, "single text"): 1, (6, "go"): 3, (6, "stop"): 1, (6, "go go"): 2, (6, "go stop"): 1}
+
+
+def test_a_dotted_capital_does_not_cut_its_word(spark):
+    row = spark.createDataFrame([("İstanbul AİLE straße ΟΔΟΣ",)], "t STRING").select(X.tokens(F.col("t")).alias("k")).first()
+    assert row["k"] == ["istanbul", "aile", "straße", "οδος"]

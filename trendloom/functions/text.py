@@ -52,8 +52,11 @@ def clean_name(name: Column, max_length: int = 255, overlong: str = "truncate")
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens in text order, one-character tokens kept."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
+    """Lower-case tokens in text order, one-character tokens kept.
+
+    A capital i with dot becomes a plain i: in lower case it would be an i and a combining dot, which cuts the word in two.
+    """
+    return F.regexp_extract_all(F.lower(F.translate(text, "İ", "i")), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def ngrams(text: Column, stop_words: list[str], max_ngram: int = 2) -> Column:
