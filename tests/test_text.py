@@ -118,3 +118,10 @@ def test_terms_are_counted_inside_the_row(spark):
 def test_a_dotted_capital_does_not_cut_its_word(spark):
     row = spark.createDataFrame([("İstanbul AİLE straße ΟΔΟΣ",)], "t STRING").select(X.tokens(F.col("t")).alias("k")).first()
     assert row["k"] == ["istanbul", "aile", "straße", "οδος"]
+
+
+def test_keywords_cut_texts_into_terms_once(spark):
+    texts = spark.createDataFrame([(1, i, f"red apple number{i}") for i in range(5)] + [(2, 9, "blue pear"), (2, 10, "blue pear pie")], "cluster_id INT, document_id INT, raw_text STRING")
+    found = keywords.keywords_tfidf(texts, [], min_df=2, max_df=1.0)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert {(r.cluster_id, r.keyword) for r in found.collect()} == {(1, "red"), (1, "apple"), (1, "red apple"), (2, "blue"), (2, "pear"), (2, "blue pear")}

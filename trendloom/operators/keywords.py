@@ -54,11 +54,14 @@ def keywords_tfidf(
     Smoothed idf ``ln((1 + n) / (1 + df)) + 1``; each document's weights have
     length one; ties are alphabetical.
     """
-    counts = term_counts(texts, stop_words, max_ngram)
-    kept = document_frequency_filter(texts, counts, min_df, max_df)
-    idf = (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
-    weighed = counts.join(kept.select("cluster_id", "term", idf), ["cluster_id", "term"])
-    weighed = weighed.withColumn("w", F.col("tf") * F.col("idf"))
+    require(0 < max_df <= 1 and min_df >= 1, "min_df counts documents, max_df is a share")
+    n = cut_lineage(texts.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    # document frequencies come from the rows they weigh, so texts are cut into terms once
+    df = F.count(F.lit(1)).over(Window.partitionBy("cluster_id", "term"))
+    counts = term_counts(texts, stop_words, max_ngram).withColumn("df", df).where(F.col("df") >= min_df)
+    kept = counts.join(n, "cluster_id").where(F.col("df") <= F.col("n") * max_df)
+    idf = F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0
+    weighed = kept.withColumn("w", F.col("tf") * idf)
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("cluster_id", "document_id")))
     summed = weighed.withColumn("w", F.col("w") / length).groupBy("cluster_id", "term").agg(F.sum("w").alias("weight"))
     best = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("weight", WEIGHT_DIGITS)), "term")
