@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.operators import projection, search
-from trendloom.operators.neighbours import knn_graph, nearest
+from trendloom.operators.neighbours import GROUP_BLOCKS, Layout, knn_graph, nearest
 from trendloom.runtime import shared_dir
 
 
@@ -137,3 +137,25 @@ def test_groups_of_different_number_types_meet(spark):
         for name, value in kept.items():
             spark.conf.set(name, value)
     assert {r["query_id"] for r in found} == set(range(60))
+
+
+def test_every_row_travels_to_few_blocks(spark):
+    """Vectors that no list rules out: visits carry a row once a block of the group, not once a cell."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 32))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id LONG, vec ARRAY<DOUBLE>").withColumn("grp", F.lit(0))
+    layout = Layout(rows, 100, 64)
+    per_list = {r["lst"]: r["count"] for r in layout.corpus.groupBy("lst").count().collect()}
+    assert sum(per_list.values()) == 1200 and len(per_list) <= GROUP_BLOCKS and layout.block_rows == 150
+    visits = layout.other_lists(layout.place(rows).withColumn("bound", F.lit(100.0)))
+    assert visits.count() == 1200 * (len(per_list) - 1)
+
+
+def test_long_vectors_are_ranked_exactly(spark):
+    """Far from the origin products lose digits; the neighbours are those of the differences."""
+    rng = np.random.default_rng(4)
+    x = 1e5 + rng.normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "document_id LONG, embedding ARRAY<DOUBLE>")
+    got = knn_graph(rows, 4, metric="euclidean", block_rows=40, lists=12).toPandas().sort_values("rank")
+    gaps = np.linalg.norm(x[:, None] - x[None], axis=2) + np.diag(np.full(300, np.inf))
+    assert got.groupby("query_id")["neighbour_id"].apply(list).to_dict() == {i: np.argsort(gaps[i])[:4].tolist() for i in range(300)}
