@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,11 +16,13 @@ from trendloom.operators.embedding import embed_documents
 from trendloom.operators.neighbours import (
     BLOCK_ROWS, PIVOT_LISTS, RANK_DIGITS, _points, _top_k_kernel, nearest, scan_blocks, squared_distances, with_pivot,
 )
-from trendloom.runtime import require
+from trendloom.runtime import cut_lineage, require
 
 DEFAULT_LIMIT = 10
 LISTS = 100
 MAX_LISTS = 4096
+LIST_CELLS = 16
+CELL_ROWS = 4
 
 
 def _literal(vector: list[float]):
@@ -137,10 +140,54 @@ def ann_search(
     return search_embeddings(rows, list(q), limit, dim=len(q), model_name="list", max_distance=max_distance)
 
 
+def list_cells(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres of cells, list of each cell): lists cut finer by k-means, into ``LIST_CELLS`` cells each on average.
+
+    A cell is in the list with the nearest centre, and cells are numbered list by list.
+    """
+    each = min(LIST_CELLS, MAX_LISTS // len(centres), points.count() // (len(centres) * CELL_ROWS))
+    cells = list_centres(points.select(F.col("vec").alias("embedding")), len(centres) * each) if each > 1 else centres
+    owner = squared_distances(cells, centres).argmin(1)
+    order = np.argsort(owner, kind="stable")
+    return cells[order], owner[order]
+
+
+def _probed_kernel(limit: int):
+    """The ``limit`` best of each query over the cells it probes; rows of other cells are not looked at."""
+    best_of = _top_k_kernel(limit, "cosine", False)
+
+    def kernel(q: pd.DataFrame, c: pd.DataFrame, qv: np.ndarray, cv: np.ndarray) -> pd.DataFrame:
+        cell = c["cell"].to_numpy()
+        probes = np.concatenate([np.asarray(p, dtype=np.int64) for p in q["probe"]])
+        asks = np.repeat(np.arange(len(q)), [len(p) for p in q["probe"]])
+        found = []
+        for one in np.unique(cell):
+            of, rows = asks[probes == one], np.flatnonzero(cell == one)
+            if len(of):
+                found.append(best_of(q.iloc[of], c.iloc[rows], qv[of], cv[rows]))
+        if not found:
+            return pd.DataFrame(columns=["id", "other", "d", "rank_value"])
+        return pd.concat(found).sort_values(["rank_value", "other"]).groupby("id", sort=False).head(limit)
+
+    return kernel
+
+
 def ann_batch_search(queries: DataFrame, embeddings: DataFrame, centres: np.ndarray, limit: int = DEFAULT_LIMIT, n_probe: int = 1,
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate search for a table of queries; each visits its nearest lists."""
-    corpus = with_pivot(_points(embeddings, "document_id", "embedding", None, "cosine", []), centres)
+    """Approximate search for a table of queries; each reads as much as ``n_probe`` lists of mean size hold.
+
+    It reads the nearest cells of all lists (:func:`list_cells`) as long as their rows stay
+    within that share, at least one cell, all of them if all lists are probed.
+    """
+    require(1 <= n_probe, "n_probe must be positive")
+    points = cut_lineage(_points(embeddings, "document_id", "embedding", None, "cosine", []), "points")
+    cells, list_of = list_cells(points, centres)
+    lists = F.array(*[F.lit(int(i)) for i in list_of])
+    corpus = cut_lineage(with_pivot(points, cells).withColumnRenamed("lst", "cell").drop("pd").withColumn("lst", F.get(lists, F.col("cell"))), "cells")
+    size = np.zeros(len(cells), dtype=np.int64)
+    for r in corpus.groupBy("cell").count().collect():
+        size[r["cell"]] = r["count"]
+    share = int(size.sum()) if n_probe >= len(centres) else int(size.sum()) * n_probe // len(centres)
     q = _points(queries, "query_id", "embedding", None, "cosine", [])
     probed = T.StructType(q.schema.fields + [T.StructField("probe", T.ArrayType(T.IntegerType()))])
 
@@ -148,15 +195,19 @@ def ann_batch_search(queries: DataFrame, embeddings: DataFrame, centres: np.ndar
         for b in batches:
             if b.empty:
                 continue
-            d2 = squared_distances(np.stack(b["vec"].to_numpy()), centres)
-            yield b.assign(probe=d2.argsort(axis=1, kind="stable")[:, :n_probe].astype("int32").tolist())
-
-    visits = q.mapInPandas(probe, probed).withColumn("lst", F.explode("probe")).drop("probe")
+            order = squared_distances(np.stack(b["vec"].to_numpy()), cells).argsort(axis=1, kind="stable").astype("int32")
+            many = np.maximum((np.cumsum(size[order], axis=1) <= share).sum(axis=1), 1)
+            yield b.assign(probe=[row[:n].tolist() for row, n in zip(order, many)])
+
+    # a query goes to a list once, with the cells it probes there
+    sent = cut_lineage(q.mapInPandas(probe, probed), "probes")
+    visits = sent.withColumn("lst", F.explode(F.array_distinct(F.transform("probe", lambda i: F.get(lists, i)))))
+    visits = visits.withColumn("probe", F.filter("probe", lambda i: F.get(lists, i) == F.col("lst")))
     schema = T.StructType([
         T.StructField("grp", T.IntegerType()), T.StructField("id", q.schema["id"].dataType),
         T.StructField("other", corpus.schema["id"].dataType), T.StructField("d", T.DoubleType()), T.StructField("rank_value", T.DoubleType()),
     ])
-    found = scan_blocks(visits, corpus, _top_k_kernel(limit, "cosine", False), schema, block_rows)
+    found = scan_blocks(visits, corpus, _probed_kernel(limit), schema, block_rows)
     best = Window.partitionBy("id").orderBy("rank_value", "other")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return ranked.select(F.col("id").alias("query_id"), F.col("other").alias("document_id"), "rank", (F.col("d") * F.col("d") / 2.0).alias("distance"))
