@@ -348,6 +348,46 @@ def test_model_beats_pair_counts(spark):
     assert held["score"].sum() > held["base_score"].sum() * 1.02
 
 
+def test_large_attention_scores_give_the_same_shares():
+    """Windows whose scores pass the range of exp, in a batch of several parts, against a plain softmax."""
+    rng = np.random.default_rng(2)
+    shares = toy_shares(rng)
+    w = lm_score.first_weights(shares)
+    w.query[...], w.key[...] = w.query * 60, w.key * 60
+    window = rng.integers(0, 12, (lm_score.PART_WINDOWS + 3, lm_score.WINDOW + 2))
+    last, before, mask = window[:, 1:-1], window[:, :-2], lm_score.causal_mask(lm_score.WINDOW)
+    w.last[:4] *= 30
+    with np.errstate(over="raise", invalid="raise"):
+        weight = lm_score.forward(w, last, before, mask)[2]
+    x = (w.last[last] + w.before[before] + w.place).astype(np.float64)
+    plain = (x @ w.query) @ (x @ w.key).transpose(0, 2, 1) / 4 + mask
+    assert np.abs(np.where(mask < 0, 0, plain)).max() > 200
+    plain = np.exp(plain - plain.max(axis=2, keepdims=True))
+    assert np.abs(weight - plain / plain.sum(axis=2, keepdims=True)).max() < 1e-3
+    loss, small, touched = lm_score.touched_gradient(w, shares, window, mask)
+    parts = [lm_score.touched_gradient(w, shares, window[i : i + 1], mask) for i in range(len(window))]
+    assert abs(loss - np.mean([p[0] for p in parts])) < 1e-4 * loss
+    assert np.allclose(small["classes"], np.mean([p[1]["classes"] for p in parts], axis=0), atol=1e-4) and touched["last"][0].tolist() == np.unique(last).tolist()
+
+
+def test_readers_hold_one_block_at_a_time(spark, monkeypatch):
+    """Blocks are megabytes long: a file of several has a row group for each."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from trendloom import runtime
+
+    written = []
+    monkeypatch.setattr(runtime, "shared_dir", lambda session, label, old=runtime.shared_dir: written.append(old(session, label)) or written[-1])
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", 200)
+    docs = spark.createDataFrame([(i, f"text number {i} of this table " * 5) for i in range(12)], "doc_id long, text string").coalesce(1)
+    assert lm_score.score_texts(docs, RANKS, F.lit(False)).count() == 12
+    files = [pq.ParquetFile(f).metadata for path in written if "/blocks-" in path for f in glob.glob(f"{path}/*.parquet")]
+    assert any(m.num_rows > 1 for m in files) and all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
+
+
 # ---------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark, tmp_path):

@@ -35,6 +35,10 @@ BLOCK_BYTES = 8 << 20
 PIECE_WORDS = 1 << 18
 ROUNDS = 1
 BATCH = 512
+#: Windows worked on at once.
+PART_WINDOWS = 128
+#: Attention scores up to this size go through exp as they are.
+SAFE_SCORE = 60.0
 TRAINER_WINDOWS = 4096
 #: Trainers' weights travel and are averaged in pieces of so many numbers.
 PIECE = 8192
@@ -293,58 +297,70 @@ def product(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return (rows.reshape(-1, rows.shape[-1]) @ matrix).reshape(*rows.shape[:-1], matrix.shape[1])
 
 
+def attention_maps(w: Weights) -> np.ndarray:
+    """Query (scaled), key and value maps side by side, so that one product makes all three."""
+    return np.concatenate([w.query * np.float32(1 / np.sqrt(w.query.shape[1])), w.key, w.value], axis=1)
+
+
+def thirds(three: np.ndarray) -> list[np.ndarray]:
+    """Views of the queries, keys and values that stand side by side."""
+    return np.split(three, 3, axis=-1)
+
+
 def forward(w: Weights, last: np.ndarray, before: np.ndarray, mask: np.ndarray, times: Callable = np.matmul) -> tuple[np.ndarray, ...]:
-    """Batched masked attention over windows (n, length) of subword ids; (inputs, q, k, v, attention, mixed, state)."""
-    x = w.last[last] + w.before[before] + w.place[: last.shape[1]]
-    q, k, v = times(x, w.query), times(x, w.key), times(x, w.value)
+    """Batched masked attention over windows (n, length) of subword ids; (inputs, queries with keys and values, attention, mixed, state)."""
+    x = w.last.take(last, axis=0)
+    x += w.before.take(before, axis=0)
+    x += w.place[: last.shape[1]]
+    three = times(x, attention_maps(w))
+    q, k, v = thirds(three)
     weight = q @ k.transpose(0, 2, 1)
-    weight *= np.float32(1 / np.sqrt(x.shape[2]))
+    # a window with a score that might leave the range of exp is shifted row by row; the shares are the same either way
+    flat = weight.reshape(len(weight), -1)
+    far = np.flatnonzero(np.maximum(flat.max(axis=1), -flat.min(axis=1)) > SAFE_SCORE)
     weight += mask
-    weight -= weight.max(axis=2, keepdims=True)
+    if len(far):
+        weight[far] -= weight[far].max(axis=2, keepdims=True)
     np.exp(weight, out=weight)
-    weight /= weight.sum(axis=2, keepdims=True)
+    weight *= (1 / np.einsum("ijk->ij", weight))[:, :, None]
     mixed = weight @ v
-    return x, q, k, v, weight, mixed, x + times(mixed, w.out)
+    return x, three, weight, mixed, x + times(mixed, w.out)
 
 
 def causal_mask(length: int) -> np.ndarray:
     return np.triu(np.full((length, length), -1e9, dtype=np.float32), 1)
 
 
-def class_shares(w: Weights, scores: np.ndarray, log_class: np.ndarray) -> np.ndarray:
-    """Class probabilities of rows of scores (states by ``w.classes``), in place."""
+def class_scores(w: Weights, scores: np.ndarray, log_class: np.ndarray) -> np.ndarray:
+    """Logarithms of class probabilities but for a number per row, from rows of scores (states by ``w.classes``), in place."""
     scores += w.class_bias
     scores += log_class
     scores -= scores.max(axis=1, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=1, keepdims=True)
     return scores
 
 
 def summed_rows(rows: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the distinct numbers, sums of the rows that share each)."""
-    order = np.argsort(number, kind="stable")
-    held = number[order]
+    # numbers of 16 bits are sorted by radix
+    order = np.argsort(number.astype(np.uint16) if number.max(initial=0) < 1 << 16 else number, kind="stable")
+    held = number.take(order)
     first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-    return held[first], np.add.reduceat(rows[order], first, axis=0)
+    return held.take(first), np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
-def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """Mean loss of the classes over windows (n, length + 2) of subword ids (two before, then the targets), and its gradient.
-
-    The gradient comes whole for the small arrays and as (rows, gradients)
-    for the embeddings, of which a batch touches few.  -1 is no target; where ``counted`` is
-    false a subword is only read.
-    """
-    ids = np.maximum(window, 0)
-    last, before, target = ids[:, 1:-1], ids[:, :-2], window[:, 2:]
-    x, q, k, v, weight, mixed, state = forward(w, last, before, mask, product)
+def _window_gradient(w: Weights, shares: Shares, ids: np.ndarray, target: np.ndarray, mask: np.ndarray, counted: np.ndarray, m: int) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Loss of some windows of a batch with ``m`` targets, its gradient for the small arrays and for each input."""
+    last = ids[:, 1:-1]
+    x, three, weight, mixed, state = forward(w, last, ids[:, :-2], mask, product)
+    q, k, v = thirds(three)
     n, length, width = x.shape
     real = np.flatnonzero(((target >= 0) & counted).ravel())
-    klass = shares.class_of[shares.slot[target.ravel()[real]]]
-    flat = state.reshape(-1, width)[real]
-    d_scores = class_shares(w, flat @ w.classes, shares.log_class[shares.slot[last.ravel()[real]]])
-    at, m = np.arange(len(real)), max(1, len(real))
+    klass = shares.class_of.take(shares.slot.take(target.ravel().take(real)))
+    flat = state.reshape(-1, width).take(real, axis=0)
+    d_scores = class_scores(w, flat @ w.classes, shares.log_class.take(shares.slot.take(last.ravel().take(real)), axis=0))
+    np.exp(d_scores, out=d_scores)
+    d_scores *= (1 / np.einsum("ij->i", d_scores))[:, None]
+    at = np.arange(len(real))
     loss = float(-np.log(d_scores[at, klass]).sum() / m)
     d_scores[at, klass] -= 1
     d_scores *= np.float32(1 / m)
@@ -353,19 +369,42 @@ def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.nd
     d_state = d_state.reshape(n, length, width)
     d_mixed = product(d_state, w.out.T)
     d_weight = d_mixed @ v.transpose(0, 2, 1)
-    d_v = weight.transpose(0, 2, 1) @ d_mixed
-    d_weight -= (weight * d_weight).sum(axis=2, keepdims=True)
+    d_weight -= np.einsum("ijk,ijk->ij", weight, d_weight)[:, :, None]
     d_weight *= weight
-    d_weight *= np.float32(1 / np.sqrt(width))
-    d_q, d_k = d_weight @ k, d_weight.transpose(0, 2, 1) @ q
-    d_x = d_state + product(d_q, w.query.T) + product(d_k, w.key.T) + product(d_v, w.value.T)
+    d_three = np.empty_like(three)
+    d_q, d_k, d_v = thirds(d_three)
+    np.matmul(d_weight, k, out=d_q)
+    np.matmul(d_weight.transpose(0, 2, 1), q, out=d_k)
+    np.matmul(weight.transpose(0, 2, 1), d_mixed, out=d_v)
+    d_x = d_state + product(d_three, attention_maps(w).T)
     outer = lambda a, b: a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
-    rows = d_x.reshape(-1, width)
+    d_query, d_key, d_value = thirds(outer(x, d_three))
     small = {
-        "place": np.vstack([d_x.sum(axis=0), np.zeros((len(w.place) - length, width), dtype=x.dtype)]), "query": outer(x, d_q), "key": outer(x, d_k), "value": outer(x, d_v),
+        "place": np.vstack([d_x.sum(axis=0), np.zeros((len(w.place) - length, width), dtype=x.dtype)]), "query": d_query * np.float32(1 / np.sqrt(width)), "key": d_key, "value": d_value,
         "out": outer(mixed, d_state), "classes": flat.T @ d_scores, "class_bias": d_scores.sum(axis=0),
     }
-    return loss, small, {"last": summed_rows(rows, last.ravel()), "before": summed_rows(rows, before.ravel())}
+    return loss, small, d_x.reshape(-1, width)
+
+
+def touched_gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, dict[str, np.ndarray], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Mean loss of the classes over windows (n, length + 2) of subword ids (two before, then the targets), and its gradient.
+
+    The gradient comes whole for the small arrays and as (rows, gradients)
+    for the embeddings, of which a batch touches few.  -1 is no target; where ``counted`` is
+    false a subword is only read.  A batch is summed over parts of ``PART_WINDOWS`` windows, which stay in the processor's cache.
+    """
+    ids, target = np.maximum(window, 0), window[:, 2:]
+    counted = np.broadcast_to(counted, target.shape)
+    m = max(1, int(np.count_nonzero((target >= 0) & counted)))
+    loss, small, rows = 0.0, {}, []
+    for i in range(0, len(ids), PART_WINDOWS):
+        part = slice(i, i + PART_WINDOWS)
+        its_loss, its_small, its_rows = _window_gradient(w, shares, ids[part], target[part], mask, counted[part], m)
+        loss += its_loss
+        small = {name: small[name] + g for name, g in its_small.items()} if small else its_small
+        rows.append(its_rows)
+    rows = np.concatenate(rows)
+    return loss, small, {"last": summed_rows(rows, ids[:, 1:-1].ravel()), "before": summed_rows(rows, ids[:, :-2].ravel())}
 
 
 def gradient(w: Weights, shares: Shares, window: np.ndarray, mask: np.ndarray, counted: np.ndarray | bool = True) -> tuple[float, np.ndarray]:
@@ -405,14 +444,14 @@ def descend(w: Weights, shares: Shares, windows: Iterable[tuple[np.ndarray, np.n
             getattr(w, name)[...] -= change(g, mean[name], square[name], step, pace)
         for name, (rows, g) in touched.items():
             moved[name][rows] += 1
-            m, s = mean[name][rows], square[name][rows]
+            m, s = mean[name].take(rows, axis=0), square[name].take(rows, axis=0)
             getattr(w, name)[rows] -= change(g, m, s, moved[name][rows, None].astype(np.float32), pace)
             mean[name][rows], square[name][rows] = m, s
         seen += len(window)
     return w, seen
 
 
-def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray, step_windows: int = 1024) -> np.ndarray:
+def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray, step_windows: int = PART_WINDOWS) -> np.ndarray:
     """log10 probability of each text of a stream.
 
     Windows of ``WINDOW`` subwords overlap by ``OVERLAP``; a text's first window
@@ -434,14 +473,16 @@ def text_scores(w: Weights, shares: Shares, stream: np.ndarray, at: np.ndarray,
         place = begin[part, None] + np.arange(length)
         here = (place < at[1:][text[part], None]) & ((np.arange(length) >= OVERLAP) | (number[part, None] == 0))
         place = np.minimum(place, len(stream) - 1)
-        last = previous[place]
+        last = previous.take(place)
         # One product per window, so that equal texts have equal scores wherever they stand in the block.
-        scores = (forward(w, last, second[place], mask)[-1] @ w.classes)[here]
-        token, before_it = stream[place[here]], shares.slot[last[here]]
-        own = shares.slot[token]
-        klass = class_shares(w, scores, shares.log_class[before_it])[np.arange(len(own)), shares.class_of[own]]
-        value = np.log(klass) + shares.log_in_class[before_it, own] + shares.token_share[token]
-        out += np.bincount(np.broadcast_to(text[part, None], here.shape)[here], weights=value, minlength=texts)
+        scored = np.flatnonzero(here)
+        scores = (forward(w, last, second.take(place), mask)[-1] @ w.classes).reshape(-1, w.classes.shape[1]).take(scored, axis=0)
+        token, before_it = stream.take(place.ravel().take(scored)), shares.slot.take(last.ravel().take(scored))
+        own = shares.slot.take(token)
+        scores = class_scores(w, scores, shares.log_class.take(before_it, axis=0))
+        value = scores[np.arange(len(own)), shares.class_of.take(own)] + shares.log_in_class[before_it, own] + shares.token_share.take(token)
+        value -= np.log(np.einsum("ij->i", np.exp(scores, out=scores)))
+        out += np.bincount(np.broadcast_to(text[part, None], here.shape).ravel().take(scored), weights=value, minlength=texts)
     return out / np.log(10.0)
 
 
@@ -533,7 +574,7 @@ def train_weights(blocks: DataFrame, shares: Shares, rounds: int = ROUNDS, windo
     """Rounds of gradient descent: each trainer goes once over all windows of its blocks, then weights are averaged by windows seen.
 
     Windows are cut from the blocks table as they are used.  Trainers follow
-    the table's partitions, with ``TRAINER_WINDOWS`` windows each at least.  Each
+    the table's files, with ``TRAINER_WINDOWS`` windows each at least.  Each
     piece of the weights is averaged on the executors, so one set of weights reaches the driver however many
     trainers there are.
     """
@@ -542,7 +583,7 @@ def train_weights(blocks: DataFrame, shares: Shares, rounds: int = ROUNDS, windo
     weights = first_weights(shares, window=window)
     if not total:
         return weights
-    dealt = blocks.where("windows > 0").select("block", "train", "words", "index", "tokens", "lengths").coalesce(max(1, min(total // TRAINER_WINDOWS, (1 << 31) - 1)))
+    dealt = blocks.where("windows > 0").select("block", "train", "words", "index", "tokens", "lengths").coalesce(max(1, min(total // TRAINER_WINDOWS, len(blocks.inputFiles()))))
     fixed = spark.sparkContext.broadcast(shares)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
@@ -584,7 +625,7 @@ def score_texts(docs: DataFrame, ranks: bytes, held_out: Column, *, id_col: str
     sent = spark.sparkContext.broadcast(ranks)
     end = subwords(ranks).end
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("data"), F.coalesce(~held_out, F.lit(True)).alias("train"))
-    blocks = cut_lineage(rows.mapInArrow(_make_blocks(sent), "block long, trained long, windows long, " + ", ".join(f"{f.name} binary" for f in list(BLOCKS)[3:])), "blocks")
+    blocks = cut_lineage(rows.mapInArrow(_make_blocks(sent), "block long, trained long, windows long, " + ", ".join(f"{f.name} binary" for f in list(BLOCKS)[3:])), "blocks", group_rows=1)
     told = cut_lineage(blocks.select("block", "keys", "counts").mapInArrow(_ask_counts(parts), "part int, block long, keys binary, counts binary")
                        .groupBy("part").applyInArrow(_tell_counts, "block long, part int, counts binary, part_tokens long, part_words long"), "counts")
     sums = told.groupBy("part").agg(F.first("part_tokens").alias("t"), F.first("part_words").alias("w")).agg(F.sum("t").alias("t"), F.sum("w").alias("w")).first()
