@@ -79,6 +79,12 @@ def _(v):
     return rounded(projection.project_2d(v.embeddings(), method="pca"), "x", "y")
 
 
+def map_neighbours(placed, k):
+    """The ``k`` places nearest to each on its owner's map."""
+    flat = placed.select("document_id", "user_id", F.array("x", "y").alias("embedding"))
+    return projection.knn_graph(flat, k, key="document_id", vec="embedding", group="user_id", metric="euclidean")
+
+
 @query("m1_layout_facts", "SELECT count(*) AS points, 1 AS all_finite, 1 AS keeps_more_neighbours_than_pca FROM d_embeddings")
 def _(v):
     """Of the 15 nearest on the map, more are among the 15 nearest vectors than with principal components."""
@@ -87,11 +93,7 @@ def _(v):
 
     def kept(layout, name):
         placed = layout.select("document_id", "x", "y").join(owned.select("document_id", "user_id"), "document_id")
-        # far from the origin of a third axis, angles order places as distances do
-        reach = placed.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("reach"))
-        far = placed.join(F.broadcast(reach)).withColumn("embedding", F.array(F.col("x") / F.col("reach"), F.col("y") / F.col("reach"), F.lit(100.0)))
-        flat = projection.knn_graph(far.select("document_id", "user_id", "embedding"), 15, key="document_id", vec="embedding", group="user_id")
-        return flat.join(near, ["query_id", "neighbour_id"], "left_semi").agg(F.count(F.lit(1)).alias(name))
+        return map_neighbours(placed, 15).join(near, ["query_id", "neighbour_id"], "left_semi").agg(F.count(F.lit(1)).alias(name))
 
     graph = v.stored("map", lambda: projection.project_2d(owned, group="user_id"))
     facts = graph.agg(F.count(F.lit(1)).alias("points"), F.min(((F.abs("x") < 1e9) & (F.abs("y") < 1e9)).cast("int")).alias("all_finite"))

@@ -172,3 +172,14 @@ def test_nine_of_twenty_lists_find_nine_of_ten(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     exact = {(i, j) for i in range(0, 2000, 4) for j in np.argsort(-(unit[i] @ unit.T), kind="stable")[:10]}
     assert len(near) == 5000 and len(exact & set(zip(near["query_id"], near["document_id"]))) / len(exact) >= 0.9
+
+
+def test_neighbours_on_a_map_are_the_nearest_places(spark):
+    """Also in a clump that is small beside the map."""
+    from checks.q_jobs import map_neighbours
+
+    order = np.random.default_rng(0).permutation(60).tolist()
+    rows = [(i, 0, 1e-4 * at, 0.0) for at, i in enumerate(order)] + [(100, 0, 9.0, -9.0)]
+    found = {(r["query_id"], r["neighbour_id"]) for r in map_neighbours(spark.createDataFrame(rows, "document_id long, user_id int, x double, y double"), 4).collect()}
+    for at in range(2, 58):
+        assert {b for a, b in found if a == order[at]} == {order[at + s] for s in (-2, -1, 1, 2)}
