@@ -183,3 +183,16 @@ def test_neighbours_on_a_map_are_the_nearest_places(spark):
     found = {(r["query_id"], r["neighbour_id"]) for r in map_neighbours(spark.createDataFrame(rows, "document_id long, user_id int, x double, y double"), 4).collect()}
     for at in range(2, 58):
         assert {b for a, b in found if a == order[at]} == {order[at + s] for s in (-2, -1, 1, 2)}
+
+
+def test_packed_edges_send_every_place_and_split_hubs(spark):
+    n = 3 * projection.PACKED_EDGES
+    half = [(0, i, n, 0.5) for i in range(n)] + [(0, 0, 1, 2.0), (1, 0, 1, 1.0)]
+    edges = spark.createDataFrame(half + [(g, b, a, w) for g, a, b, w in half], "grp int, a long, b long, w double")
+    places = spark.createDataFrame([(0, i, float(i), -float(i)) for i in range(n + 1)] + [(1, 0, 7.0, 0.0), (1, 1, 8.0, 0.0)], "grp int, id long, x double, y double")
+    packed = projection.packed_edges(edges)
+    assert packed.agg(F.max(F.size("near"))).first()[0] < 1.5 * projection.PACKED_EDGES and packed.where(f"id < {n}").groupBy("grp", "id").count().where("count > 1").count() == 0
+    sent = projection.sent_along(places, packed)
+    want = edges.join(places.withColumnRenamed("id", "b"), ["grp", "b"]).select("grp", "a", "w", F.col("x").alias("bx"), F.col("y").alias("by"))
+    got = sent.select("grp", "a", "w", "bx", "by")
+    assert got.count() == edges.count() and got.exceptAll(want).count() == 0
