@@ -151,3 +151,27 @@ def test_places_beyond_the_first_page_are_served(spark):
     assert all_pages(lambda n, at: serving.user_projections(documents, places, members, 0, limit=n, offset=at), 10) == 25
     last = serving.user_projections(documents, places, members, 0, limit=10, offset=20)
     assert [r["document_id"] for r in last.orderBy("document_id").collect()] == [20, 21, 22, 23, 24]
+
+
+def test_only_stored_rows_under_keys_of_the_batch_travel(spark, monkeypatch):
+    from trendloom.plans import ingest as plan
+
+    landed = {"release": spark.createDataFrame([("acme", "r", "1", 7, "t", "n", "text")], "owner STRING, repo STRING, pos STRING, id BIGINT, tag_name STRING, name STRING, body STRING").selectExpr(
+        "*", "'http://x' AS html_url", "named_struct('login', 'dev') AS author", "'2024' AS created_at", "'2024' AS published_at", "false AS prerelease", "false AS draft")}
+    params = '{"owner": "acme", "repo": "r", "include_commits": false, "include_issues": false, "include_prs": false}'
+    events = spark.range(40).selectExpr("concat('e', id) AS id", "id AS user_id", "'github' AS source", f"'{params}' AS source_params")
+    # every user has stored the same many links, ten of them the one that comes again
+    links = spark.range(500).selectExpr("concat('http://old/', id) AS source_path")
+    store = spark.range(40).selectExpr("id AS user_id").crossJoin(links).unionByName(spark.range(10).selectExpr("id AS user_id", "'http://x' AS source_path"))
+    written = {}
+
+    def watched(df, label="stage", *rest):
+        written[label] = plan_cut(df, label, *rest)
+        return written[label]
+
+    plan_cut = plan.cut_lineage
+    monkeypatch.setattr(plan, "cut_lineage", watched)
+    made = ingest_subscribed(events, landed, store, F.current_timestamp())
+    assert written["known"].count() == 10
+    assert made.documents.count() == 30
+    assert sum(r["duplicates"] for r in made.stats.collect()) == 10

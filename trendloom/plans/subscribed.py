@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trendloom.operators.subscriptions import requests
 from trendloom.plans.ingest import CONTENT, Ingested, ingest_items, item_columns
-from trendloom.runtime import cut_lineage, require
+from trendloom.runtime import cut_lineage, require, spread
 from trendloom.sources.landed import feed_entry_fields, union_sources, valid_stories
 from trendloom.sources.normalize import NORMALIZERS
 
@@ -117,6 +117,7 @@ def ingest_subscribed(events: DataFrame, landed: dict[str, DataFrame], store: Da
 
     Refused subscriptions take no part.  Documents, statistics and failures come per event.
     """
-    wanted = requests(events.withColumnRenamed("id", "event_id"), keep=("event_id",))
+    # parameters are costly to read, and a table of many subscriptions may be one small file
+    wanted = requests(spread(events.withColumnRenamed("id", "event_id"), "event_id"), keep=("event_id",))
     items, contents = subscribed_items(landed, wanted, archive)
     return ingest_items(items, store, created_at, within_batch, contents)
