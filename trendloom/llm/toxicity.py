@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,7 +110,38 @@ def chosen_words(words: np.ndarray, n: np.ndarray, toxic: np.ndarray, base: floa
     return words[np.sort(np.argsort(-strength, kind="stable")[:max_words])]
 
 
-def fit(keys: np.ndarray, x: Design, swap: Design, labels: np.ndarray, *, sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 300) -> ToxicityModel:
+def fit(*rows, **options) -> ToxicityModel:
+    """A model of rows at hand: ``keys, x, swap, labels`` as :func:`fit_design` takes them, or ``texts, swapped, labels`` as :func:`fit_texts` does."""
+    return (fit_design if len(rows) == 4 else fit_texts)(*rows, **options)
+
+
+def fit_texts(texts: list[np.ndarray], swapped: list[np.ndarray], labels: np.ndarray, *, min_rows: int = 5, max_words: int = 4000, **options) -> ToxicityModel:
+    """:func:`fit_design` over the words of the texts.
+
+    ``texts[i]`` holds the distinct word hashes of a labelled text, ``swapped[i]``
+    those after its identity terms are swapped.  Words are candidates from ``min_rows`` texts on.
+    """
+    labels, lengths = labels.astype(float), [len(t) for t in texts]
+    words, place, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *texts]), return_inverse=True, return_counts=True)
+    toxic, often = np.bincount(place, weights=np.repeat(labels, lengths), minlength=len(words)), n >= min_rows
+    keys = chosen_words(words[often], n[often], toxic[often], _share(labels.sum(), len(labels)), max_words)
+    places = _places(keys)
+    has, lost, gained = ([places(w) for w in side] for side in (
+        texts, [np.setdiff1d(w, o) for w, o in zip(texts, swapped, strict=True)], [np.setdiff1d(o, w) for w, o in zip(texts, swapped, strict=True)]))
+    return fit_design(keys, Design.of(has, len(keys)), Design.of(lost, len(keys), gained), labels, **options)
+
+
+def _places(keys: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Words to the places among ``keys`` of those that are there."""
+
+    def places(words: np.ndarray) -> np.ndarray:
+        known, at = _lookup(keys, words)
+        return at[known].astype(np.int32)
+
+    return places
+
+
+def fit_design(keys: np.ndarray, x: Design, swap: Design, labels: np.ndarray, *, sparsity: float = 2e-4, fairness: float = 1.0, steps: int = 300) -> ToxicityModel:
     """Logistic regression on the presence of words, with an L1 penalty and a counterfactual penalty.
 
     ``x`` holds which of the words ``keys`` a labelled text has, ``swap`` what
@@ -187,10 +218,10 @@ def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cells(keys: np.ndarray):
     """Places among ``keys`` of a text's words, and of those it loses and gains by the swap."""
+    find = _places(keys)
 
     def places(words: np.ndarray) -> bytes:
-        known, at = _lookup(keys, words)
-        return at[known].astype(np.int32).tobytes()
+        return find(words).tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
