@@ -196,3 +196,20 @@ def test_packed_edges_send_every_place_and_split_hubs(spark):
     want = edges.join(places.withColumnRenamed("id", "b"), ["grp", "b"]).select("grp", "a", "w", F.col("x").alias("bx"), F.col("y").alias("by"))
     got = sent.select("grp", "a", "w", "bx", "by")
     assert got.count() == edges.count() and got.exceptAll(want).count() == 0
+
+
+def test_blocks_of_inverted_lists_grow_with_the_table(spark, monkeypatch):
+    """Else a query travels to ever more blocks of a list, and a row to ever more blocks of queries."""
+    x = np.random.default_rng(3).normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "document_id LONG, embedding ARRAY<DOUBLE>")
+    queries = rows.withColumnRenamed("document_id", "query_id")
+    centres = search.list_centres(rows, lists=4)
+    cells, scan, used = search.list_cells(rows.selectExpr("embedding AS vec"), centres), search.scan_blocks, []
+    monkeypatch.setattr(search, "list_cells", lambda *a: cells)
+
+    def found(cut):
+        monkeypatch.setattr(search, "scan_blocks", lambda v, c, k, s, n, **o: used.append(n) or scan(v, c, k, s, cut or n, **o))
+        return sorted(map(tuple, search.ann_batch_search(queries, rows, centres, n_probe=2, block_rows=16).collect()))
+
+    assert found(None) == found(9)
+    assert used[0] == -(-600 // GROUP_BLOCKS)

@@ -103,12 +103,18 @@ def _top_k_kernel(k: int, metric: str, exclude_self: bool) -> Kernel:
     return kernel
 
 
-def scan_blocks(visits: DataFrame, corpus: DataFrame, kernel: Kernel, schema: T.StructType, block_rows: int) -> DataFrame:
+def rows_of_block(largest: int, dim: int, block_rows: int) -> int:
+    """Rows of a block where the largest group has ``largest`` rows; see above."""
+    return max(block_rows, min(-(-largest // GROUP_BLOCKS), BLOCK_BYTES // (8 * (dim or 1))))
+
+
+def scan_blocks(visits: DataFrame, corpus: DataFrame, kernel: Kernel, schema: T.StructType, block_rows: int, part: str | None = None) -> DataFrame:
     """Run ``kernel`` on (query block, corpus block) pairs of the same list.
 
     ``visits`` has (grp, lst, id, vec, ...), ``corpus`` the same plus nothing
     else required.  Both sides are cut into blocks of about ``block_rows`` rows,
-    so no task ever holds a whole hot list.
+    so no task ever holds a whole hot list.  A kernel that compares with the corpus rows of one value
+    of column ``part`` at a time is given more queries at once.
     """
     in_blocks = F.greatest(F.round(F.count(F.lit(1)) / block_rows), F.lit(1)).cast("int")
     n_q = visits.groupBy("grp", "lst").agg(in_blocks.alias("nq"))
@@ -134,7 +140,8 @@ def scan_blocks(visits: DataFrame, corpus: DataFrame, kernel: Kernel, schema: T.
         if q.empty or c.empty:
             return pd.DataFrame(columns=["grp", *names])
         qv, cv = np.stack(q["vec"].to_numpy()), np.stack(c["vec"].to_numpy())
-        step = max(1, PIECE_CELLS // len(c))
+        wide = len(c) if part is None else int(c[part].value_counts().max())
+        step = max(1, PIECE_CELLS // wide)
         found = pd.concat([kernel(q.iloc[i : i + step], c, qv[i : i + step], cv) for i in range(0, len(q), step)], ignore_index=True)
         found.insert(0, "grp", key[0])
         return found
@@ -182,7 +189,7 @@ class Layout:
         sizes = corpus.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim"))
         facts = sizes.agg(F.max("n").alias("n"), F.max("dim").alias("dim")).first()
         largest = facts["n"] or 0
-        self.block_rows = max(block_rows, min(-(-largest // GROUP_BLOCKS), BLOCK_BYTES // (8 * (facts["dim"] or 1))))
+        self.block_rows = rows_of_block(largest, facts["dim"], block_rows)
         self.split = largest > block_rows
         if not self.split:
             self.corpus = corpus.withColumn("lst", F.lit(-1))

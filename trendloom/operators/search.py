@@ -14,7 +14,7 @@ from trendloom.functions import vectors as V
 from trendloom.functions.text import is_blank, strip
 from trendloom.operators.embedding import embed_documents
 from trendloom.operators.neighbours import (
-    BLOCK_ROWS, PIVOT_LISTS, RANK_DIGITS, _points, _top_k_kernel, nearest, scan_blocks, squared_distances, with_pivot,
+    BLOCK_ROWS, PIVOT_LISTS, RANK_DIGITS, _points, _top_k_kernel, nearest, rows_of_block, scan_blocks, squared_distances, with_pivot,
 )
 from trendloom.runtime import cut_lineage, require
 
@@ -207,7 +207,9 @@ def ann_batch_search(queries: DataFrame, embeddings: DataFrame, centres: np.ndar
         T.StructField("grp", T.IntegerType()), T.StructField("id", q.schema["id"].dataType),
         T.StructField("other", corpus.schema["id"].dataType), T.StructField("d", T.DoubleType()), T.StructField("rank_value", T.DoubleType()),
     ])
-    found = scan_blocks(visits, corpus, _probed_kernel(limit), schema, block_rows)
+    # a query travels to each block of a list, a row to each block of queries: blocks grow with the table as in exact search
+    rows = rows_of_block(int(size.sum()), cells.shape[1], block_rows)
+    found = scan_blocks(visits, corpus, _probed_kernel(limit), schema, rows, part="cell")
     best = Window.partitionBy("id").orderBy("rank_value", "other")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return ranked.select(F.col("id").alias("query_id"), F.col("other").alias("document_id"), "rank", (F.col("d") * F.col("d") / 2.0).alias("distance"))
