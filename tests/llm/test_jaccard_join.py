@@ -132,3 +132,26 @@ def test_forest_keeps_components_with_fewer_pairs_than_documents():
 
     forest = list(zip(out["a"], out["b"]))
     assert set(forest) <= pairs and len(forest) < len(nodes) and components(forest) == components(pairs)
+
+
+def test_blocks_are_bounded_whatever_the_shuffle_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert sum(i != c for i, _, c in known) == 20
+    told = []
+    tell = jaccard_join._tell_slots
+    monkeypatch.setattr(jaccard_join, "_tell_slots", lambda shingle, bits, part_bits: told.append(part_bits) or tell(shingle, bits, part_bits))
+    monkeypatch.setattr(jaccard_join, "PARTITION_TEXT", 1000)
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()} == known
+    assert 1 << told[0] >= sum(len(t) for _, t in rows) / 1000
+
+
+def test_long_sets_are_signed_few_at_a_time():
+    lengths = np.array([10] * 2500 + [200_000] * 4 + [2_000_000, 5])
+    parts = jaccard_join.signed_together(lengths)
+    assert np.concatenate(parts).tolist() == list(range(len(lengths)))
+    assert max(map(len, parts)) <= jaccard_join.SIGNED_SETS
+    assert all(lengths[p].sum() <= 2 * jaccard_join.SIGNED_TOKENS or len(p) <= 2 for p in parts)

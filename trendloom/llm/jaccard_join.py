@@ -19,6 +19,8 @@ CLASS_RATIO = 1.3
 GROUP_DOCS = 32
 BLOCK_DOCS = 1024
 SENT_IDS = 1_000_000
+PARTITION_TEXT = 16_000_000
+SIGNED_SETS, SIGNED_TOKENS = 1000, 1 << 19
 INFO, SIGNATURE, CANDIDATE, EQUAL, TOKENS, ANSWER = 0, 1, 2, 3, 4, 5
 _U = np.uint64
 
@@ -189,6 +191,17 @@ def _tell_common(table: pa.Table) -> pa.Table:
     return table_of(COMMON, [(b, part, press(np.packbits(c))) for b, c in zip(table.column("block").to_pylist(), each, strict=True)])
 
 
+def signed_together(lengths: np.ndarray) -> list[np.ndarray]:
+    """Places of the sets that are signed at one time: few sets, and few tokens unless a set is long itself."""
+    step = np.cumsum(lengths) // SIGNED_TOKENS + np.arange(len(lengths)) // SIGNED_SETS
+    return np.split(np.arange(len(lengths)), np.flatnonzero(np.diff(step)) + 1)
+
+
+def partitions_for(text_bytes: int, configured: int) -> int:
+    """The partitions of the exchanges: those of the session, more where a partition would hold more than ``PARTITION_TEXT``."""
+    return max(configured, -(-text_bytes // PARTITION_TEXT))
+
+
 def _first_pass(shingle: int, percent: int, bits: int, part_bits: int, parts: int):
     """A block's texts to (id, set size), equal sets, and of the sets that may link at all their tokens and signatures.
 
@@ -217,9 +230,9 @@ def _first_pass(shingle: int, percent: int, bits: int, part_bits: int, parts: in
         if len(chosen):
             own = np.array(sets.own, np.int64)[chosen]
             out.append(table_of(FIRST, [(TOKENS, int(i), None, press_ascending(sets.tokens[c]), None, None) for i, c in zip(own, chosen, strict=True)]))
-            for i in range(0, len(chosen), 1000):
-                number, sign = signatures([sets.tokens[c] for c in chosen[i : i + 1000]], schemes)
-                key, doc, a, b = _stars(sign, own[i : i + 1000][number])
+            for at in signed_together(lengths[chosen]):
+                number, sign = signatures([sets.tokens[c] for c in chosen[at]], schemes)
+                key, doc, a, b = _stars(sign, own[at][number])
                 out.append(_rows(CANDIDATE, a, b))
                 out.append(table_of(FIRST, [(SIGNATURE, p, block, None, press_ascending(key[w]), press(doc[w])) for p, w in split_keys(key, parts)]))
         return pa.concat_tables(out)
@@ -384,7 +397,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     once; only sets that share ``percent`` of their tokens go on.  Those whose
     sets may link agree in a part of their tokens (see :class:`Scheme`);
     meeting there puts similar documents into groups.  Each block merges its
-    own equal sets and meetings first, so copies go out once per block.  Groups above ``BLOCK_DOCS`` documents are cut
+    own equal sets and meetings first, so copies go out once per block.  A block's texts are bounded, whatever the session's
+    number of shuffle partitions.  Groups above ``BLOCK_DOCS`` documents are cut
     into blocks and every pair of blocks is a task of its own.
 
     Null texts and texts without words have no shingles and link with nothing.
@@ -395,11 +409,11 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     require(50 < percent <= 100 and shingle > 0, "percent must be above 50, shingle positive")
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         return _components_by_number(docs, id_col, text_col, shingle, percent)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = texts.where("id IS NOT NULL")
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions_for(int(size), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part_bits = max(1, (n - 1).bit_length())
     bits = max(part_bits, 16, int(size).bit_length())  # some slots for each token
     blocks = known.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * n)).cast("int"))
