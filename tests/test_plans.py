@@ -165,8 +165,8 @@ def test_only_stored_rows_under_keys_of_the_batch_travel(spark, monkeypatch):
     store = spark.range(40).selectExpr("id AS user_id").crossJoin(links).unionByName(spark.range(10).selectExpr("id AS user_id", "'http://x' AS source_path"))
     written = {}
 
-    def watched(df, label="stage", *rest):
-        written[label] = plan_cut(df, label, *rest)
+    def watched(df, label="stage", **options):
+        written[label] = plan_cut(df, label, **options)
         return written[label]
 
     plan_cut = plan.cut_lineage
@@ -175,3 +175,20 @@ def test_only_stored_rows_under_keys_of_the_batch_travel(spark, monkeypatch):
     assert written["known"].count() == 10
     assert made.documents.count() == 30
     assert sum(r["duplicates"] for r in made.stats.collect()) == 10
+
+
+def test_items_are_written_with_each_value_once(spark, monkeypatch):
+    from trendloom.plans import ingest as plan
+
+    written, plan_cut = {}, plan.cut_lineage
+
+    def watched(df, label="stage", **options):
+        written[label] = plan_cut(df, label, **options)
+        return written[label]
+
+    monkeypatch.setattr(plan, "cut_lineage", watched)
+    feed = _feed_rows(spark, [("f", 10, "same"), ("f", 9, "same"), ("g", 1, "same")])
+    made = plan.ingest({"feed": feed}, _stored(spark), F.current_timestamp())
+    assert not {"item_order", "doc_url"} & set(written["items"].columns)
+    assert all(f.endswith(".zstd.parquet") for f in written["items"].inputFiles())
+    assert [r["title"] for r in made.documents.collect()] == ["title f 9"]
